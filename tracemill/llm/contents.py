@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 #: Characters of remembered texts in a worker before all are forgotten.
 REMEMBERED = 24_000_000
 #: Bytes of text that are looked at as one batch.
@@ -42,6 +44,7 @@ def scan_contents(attack_view: DataFrame, make: Callable[[], Callable[[str], lis
     parts.  Null ids, null or empty messages and contents give nothing.  Rows
     are not distinct: a further delivery repeats them.
     """
+    ship(attack_view.sparkSession)
     kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

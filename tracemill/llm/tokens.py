@@ -26,9 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 #: Where the public vocabularies lie; a parameter of every function here.
 TOKENIZER_DIR = "/opt/tokenizers"
 DEFAULT_TOKENIZER = "byte_bpe_50k"
@@ -228,6 +230,11 @@ class OffsetDecoder:
         return [flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
+def _shared_ranks(spark: SparkSession, tokenizer: str, folder: str):
+    ship(spark)
+    return spark.sparkContext.broadcast(read_ranks(tokenizer, folder))
+
+
 _ENCODERS: dict[tuple[str, str], BytePairEncoder] = {}
 
 
@@ -253,7 +260,7 @@ def encode_corpus(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     Null and empty texts get an empty list; a null id stays null; repeated rows
     give repeated rows; other columns are ignored.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(read_ranks(tokenizer, folder))
+    shared = _shared_ranks(documents.sparkSession, tokenizer, folder)
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +276,7 @@ def encode_corpus(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def count_tokens(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = DEFAULT_TOKENIZER, folder: str = TOKENIZER_DIR) -> DataFrame:
     """The id of each row and ``n_tokens`` of its text (0 for null and empty)."""
-    shared = documents.sparkSession.sparkContext.broadcast(read_ranks(tokenizer, folder))
+    shared = _shared_ranks(documents.sparkSession, tokenizer, folder)
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +291,7 @@ def count_tokens(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def round_trip(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = DEFAULT_TOKENIZER, folder: str = TOKENIZER_DIR) -> DataFrame:
     """The id of each row, its ``n_tokens`` and ``same``: whether decoding the ids gives the text."""
-    shared = documents.sparkSession.sparkContext.broadcast(read_ranks(tokenizer, folder))
+    shared = _shared_ranks(documents.sparkSession, tokenizer, folder)
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
