@@ -15,6 +15,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ship import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session; raises on a cluster without one."""
@@ -41,6 +43,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
         atexit.register(self.close)
