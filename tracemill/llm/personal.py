@@ -339,3 +339,21 @@ def find_personal(attack_view: DataFrame, name_lexicon: DataFrame) -> DataFrame:
 def personal_mentions(attack_view: DataFrame, name_lexicon: DataFrame) -> DataFrame:
     """The distinct ``request_id``, ``message_index``, ``pii_type``, ``pii_text``."""
     return find_personal(attack_view, name_lexicon).drop("start").distinct()
+
+
+def redact_personal(attack_view: DataFrame, name_lexicon: DataFrame) -> DataFrame:
+    """The messages with mentions, each mention replaced by its type in brackets.
+
+    ``request_id``, ``message_index``, ``content``, ``n_mentions``; distinct.
+    The rest of the text stays as it is.
+    """
+    scratch = Scratch(attack_view.sparkSession, "redacted")
+    found = scratch.save(find_personal(attack_view, name_lexicon), "found")
+    span = F.struct(F.col("start"), F.char_length("pii_text").alias("length"), F.concat(F.lit("["), F.upper("pii_type"), F.lit("]")).alias("mark"))
+    places = found.groupBy("request_id", "message_index").agg(F.reverse(F.array_sort(F.collect_set(span))).alias("spans"))
+    texts = attack_view.where(F.col("request_id").isNotNull()).select(F.col("request_id").cast("string"), F.posexplode(F.transform("messages", lambda m: m["content"])).alias("message_index", "content"))
+    both = texts.join(places, ["request_id", "message_index"])
+    # from the last span to the first; a span that reaches into the one after it is passed over
+    step = "struct(concat(substring(a.text, 1, s.start), s.mark, substring(a.text, s.start + s.length + 1)) AS text, s.start AS at)"
+    content = F.expr(f"aggregate(spans, struct(content AS text, cast(2147483647 AS int) AS at), (a, s) -> if(s.start + s.length <= a.at, {step}, a)).text")
+    return both.select("request_id", "message_index", content.alias("content"), F.size("spans").alias("n_mentions")).distinct()

@@ -63,9 +63,12 @@ _TAG_PAIR = re.compile(r"(?<![\w:])[a-z]{2,12}:[^\s:/,|;•»]+(?=$|[\s,|;•»/
 _HASHTAG = re.compile(r"(?<![\w&#/])#[^\W\d_][\w-]*")
 _PRICE = re.compile(r"(?:[€$£★✓✔→☆✅]\s?\d[\d.,]*|\d[\d.,]*\s?[€$£])(?!\w)")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W\d_]+)?")
+_MACHINE_START = re.compile(
+    r"(?:>\s*)?(?:\d{4}-\d\d-\d\d[T ]\d\d:|\[?\d\d:\d\d:\d\d|at [\w$.]+\(|File \"|Traceback|import |from [\w.]+ import|def |class |func |type \w+ struct|interface |export |public |private |const |let |var |return\b|if .*[:{]\s*$|for .*:\s*$|assert |await |with .*:\s*$|@@|[+-]{3} |```|\}|\{|//|#!|/\*|\|.*\|\s*$|[\w.-]+(?:,[\w.-]+){2,}$)"
+)
+_MARKS = re.compile(r"[=(){;├└│┌\"\[:]|\.\d|[A-Z]{4}|\.\.\.|sha\d")
 _MACHINE = re.compile(
-    r"^\s*(?:>\s*)?(?:\d{4}-\d\d-\d\d[T ]\d\d:|\[?\d\d:\d\d:\d\d|at [\w$.]+\(|File \"|Traceback|import |from [\w.]+ import|def |class |func |type \w+ struct|interface |export |public |private |const |let |var |return\b|if .*[:{]\s*$|for .*:\s*$|assert |await |with .*:\s*$|@@|[+-]{3} |```|\}|\{)"
-    r"|[├└│┌]|==\d|\b\d+\.\d+\.\d+\b|\b(?:PASSED|FAILED|SKIPPED|DEBUG|INFO|WARN|ERROR)\b|\.\.\. (?:ok|FAIL)|\w=\w+[-.]\w|sha\d+[-:]|^\s*\|.*\|\s*$|^[\w.-]+(?:,[\w.-]+){2,}$|[\w)\]]\(.*\)|[;{]\s*$|:\d+:|\":\s|^\s*(?://|#!|/\*)"
+    r"[├└│┌]|==\d|\b\d+\.\d+\.\d+\b|\b(?:PASSED|FAILED|SKIPPED|DEBUG|INFO|WARN|ERROR)\b|\.\.\. (?:ok|FAIL)|\w=\w+[-.]\w|sha\d+[-:]|[\w)\]]\(.*\)|[;{]\s*$|:\d+:|\":\s"
 )
 _CUT = re.compile(r"\s*(?:[|•»·;]|\s/\s)\s*|(?<=[.!?…])\s+")
 _COMMA = re.compile(r",\s+")
@@ -77,7 +80,7 @@ def _parts(line: str) -> Iterator[str]:
         if not part:
             continue
         if part.count(", ") >= 2:
-            words = [w.lower() for w in _WORD.findall(part)]
+            words = _WORD.findall(part.lower())
             if sum(w in FUNCTION_WORDS for w in words) * 8 <= len(words):
                 yield from (p for p in _COMMA.split(part) if p)
                 continue
@@ -100,62 +103,61 @@ def _links(line: str) -> bool:
 def stuffed_share(text: str) -> float:
     """Share of a text's characters (white space at the ends of units aside) that is stuff."""
     units: list[tuple[int, int, int, list[str]]] = []  # length, kind, function words, content words
-    total = 0
-    stuff = 0
+    total = stuff = machine = 0
     for line in text.split("\n"):
         line = line.strip()
         if not line:
             continue
         size = len(line)
         total += size
-        tags = len(_HASHTAG.findall(line)) if "#" in line else 0
-        if tags and sum(map(len, _HASHTAG.findall(line))) > 0.5 * sum(map(len, line.split())) - 2 * tags:
-            stuff += size
-            continue
-        if (":" in line or "www." in line or "href" in line) and _links(line):
+        if "#" in line:
+            tags = _HASHTAG.findall(line)
+            if tags and sum(map(len, tags)) > 0.5 * sum(map(len, line.split())) - 2 * len(tags):
+                stuff += size
+                continue
+        if ("//" in line or "www." in line or "](" in line) and _links(line):
             stuff += size
             continue
-        if ":" in line:
+        if line.count(":") >= 3:
             pairs = _TAG_PAIR.findall(line)
             if len(pairs) >= 3 and sum(map(len, pairs)) > 0.35 * size:
                 keys = Counter(p.partition(":")[0].lower() for p in pairs)
                 if len(keys) <= max(4, len(pairs) // 2):
                     stuff += size
                     continue
-        prices = len(_PRICE.findall(line))
-        if not prices and _MACHINE.search(line):
-            units.append((size, 0, 0, []))
+        prices = ("$" in line or not line.isascii()) and _PRICE.search(line)
+        if not prices and (_MACHINE_START.match(line) or _MARKS.search(line) and _MACHINE.search(line)):
+            machine += size
             continue
         rest = size
         for part in _parts(line):
-            words = [w.lower() for w in _WORD.findall(part)]
+            words = _WORD.findall(part.lower())
             content = [w for w in words if w not in FUNCTION_WORDS and not w.isdigit()]
             length = len(part)
             rest -= length
             if prices and _PRICE.search(part) and len(words) <= 8:
                 units.append((length, 2, 0, content))
                 continue
-            f = sum(w in FUNCTION_WORDS for w in words)
+            f = len(words) - len(content) and sum([w in FUNCTION_WORDS for w in words])
             short = len(words) <= 6 and f <= 1 and not part.endswith((".", "!", "?", ":"))
             units.append((length, 3 if short or f * 6 <= len(words) else 1, f, content))
         if units and rest > 0:
             a, b, c, d = units[-1]
             units[-1] = (a + rest, b, c, d)
-    if not total:
-        return 0.0
+    if machine >= (1 - MORE_THAN) * total:  # nothing that is left can be more than half
+        return stuff / total if total else 0.0
 
     # recurrence gaps and autocorrelation over the content words in order
     flat = [w for u in units for w in u[3]]
-    n = len(flat)
-    gap = [1 << 30] * n
+    gap = [1 << 30] * len(flat)
     last: dict[str, int] = {}
+    seen = last.get
     for i, w in enumerate(flat):
-        j = last.get(w)
+        j = seen(w)
         if j is not None:
-            d = i - j
+            gap[i] = d = i - j
             if d < gap[j]:
                 gap[j] = d
-            gap[i] = d
         last[w] = i
     at = 0
     for length, kind, _, content in units:
@@ -165,13 +167,14 @@ def stuffed_share(text: str) -> float:
         elif kind == 0 or not m:
             pass
         elif kind == 3:  # a phrase
-            near = sum(g <= PHRASE_GAP for g in gap[at : at + m])
+            near = sum([g <= PHRASE_GAP for g in gap[at : at + m]])
             trade = sum(w in _TRADE for w in content)
             if near >= RECURRING * m or trade * 3 >= m or _regular(flat, at, m):
                 stuff += length
         else:
-            near = sum(g <= SENTENCE_GAP for g in gap[at : at + m])
-            if near >= RECURRING * m and _thrice(flat, at, m) or m >= 12 and max(Counter(content).values()) >= REGULAR * m:
+            own = gap[at : at + m]
+            near = sum([g <= SENTENCE_GAP for g in own]) if min(own) <= SENTENCE_GAP else 0
+            if near >= RECURRING * m and _thrice(flat, at, m) or m >= 12 and len(set(content)) <= (1 - REGULAR) * m + 1 and max(Counter(content).values()) >= REGULAR * m:
                 stuff += length
         at += m
     return stuff / total
