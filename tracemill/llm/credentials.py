@@ -16,7 +16,7 @@ reference to a variable, a vault or a function, or a word.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,7 +51,7 @@ _PRIVATE = re.compile(r"-----BEGIN (?P<kind>(?:[A-Z0-9]+ )*)PRIVATE KEY(?P<tail>
 
 _QUOTED = r"(?P<q>\\?[\"'`])(?P<v>(?:(?!(?P=q))[^\r\n]){4,}?)(?P=q)"
 _BARE = r"(?P<v>[^\s\"'`<>,;]{4,})"
-_NAME = rf"(?P<n>(?:[A-Za-z0-9]+[_.-])*[A-Za-z0-9]*?{SECRET_NAME}(?:[_-]?[A-Za-z]+)*)"
+_NAME = rf"(?P<n>(?:[A-Za-z0-9]+[_.-])*[A-Za-z0-9]*?{SECRET_NAME}[A-Za-z]*(?:[_-][A-Za-z]+)*)"
 
 
 def _rule(keys: str, pattern: str, shape: str = "any") -> tuple[tuple[str, ...], re.Pattern, str]:
@@ -61,14 +61,20 @@ def _rule(keys: str, pattern: str, shape: str = "any") -> tuple[tuple[str, ...],
 #: Keywords of the automaton that call for the assignment rules.
 _NAME_KEYS = "pass pwd psw pw secret token cred auth key bearer kennwort contrase clave"
 
-#: Keywords, pattern (group v is the literal), and the check of the value: "any" for places that leave no doubt, "strong" where a plain word may stand, "random" where most values are names.
-PLACES = [
+#: What follows the name in an assignment (group v is the literal), and the check of the value.
+ASSIGNMENTS = [
     # name = "value", name: 'value', "name": "value", name => "value"
-    _rule(_NAME_KEYS, rf"(?i)(?<![A-Za-z0-9_.$-]){_NAME}\\?[\"']?\s{{0,3}}(?::=|=>|=|:)\s{{0,3}}(?:[bfru]{{0,2}}){_QUOTED}"),
+    (re.compile(rf"\\?[\"']?\s{{0,3}}(?::=|=>|=|:)\s{{0,3}}(?:[bfru]{{0,2}}){_QUOTED}"), "any"),
     # NAME=value, name: value, //host/:_authToken=value
-    _rule(_NAME_KEYS, rf"(?i)(?<![A-Za-z0-9_.$?&-])[:_]{{0,2}}{_NAME}(?:=|:[ \t]{{1,3}}|[ \t]{{1,2}}=[ \t]{{1,2}}){_BARE}", "strong"),
+    (re.compile(rf"(?:=|:[ \t]{{1,3}}|[ \t]{{1,2}}=[ \t]{{1,2}}){_BARE}"), "strong"),
     # typed declarations: const fooToken: string = "value"
-    _rule(_NAME_KEYS, rf"(?i)(?<![A-Za-z0-9_.$-]){_NAME}\s{{0,2}}:\s{{0,2}}[A-Za-z]+\s{{0,2}}=\s{{0,2}}{_QUOTED}"),
+    (re.compile(rf"\s{{0,2}}:\s{{0,2}}[A-Za-z]+\s{{0,2}}=\s{{0,2}}{_QUOTED}"), "any"),
+]
+_RUN = re.compile(r"[A-Za-z0-9_.-]*[A-Za-zñÑ0-9]")
+_SECRET_NAME = re.compile(rf"(?i){_NAME}")
+
+#: Keywords, pattern (group v is the literal), and the check of the value: "any" for places that leave no doubt, "strong" where a plain word may stand, "random" where most values are names.
+PLACES = [
     # a constant that is named a key: only values that look drawn at random
     _rule("key", rf"\b(?:const|let|var|val|final|static|String)\s+\w*(?:[a-z0-9]Key|_KEY|\bkey)\s*(?::\s*\w+\s*)?=\s*{_QUOTED}", "random"),
     # Password=value; of connection strings
@@ -151,15 +157,21 @@ class CredentialFinder:
         for key in ("akia", "asia", "abia", "acca", "aida", "aroa", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "sk-", "k_live_", "k_prod_", "hbr_", "tk.", "hf_", "npm_", "aiza", "ya29.", "sg.", "eyj"):
             words.setdefault(key, set()).add(-1)
         words["private key"] = {-2}
+        for key in _NAME_KEYS.split():
+            words.setdefault(key, set()).add(-3)
         for key, rules in words.items():
             self.automaton.add_word(key, frozenset(rules))
+        self.names: dict[str, bool] = {}
         self.automaton.make_automaton()
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         """Non-overlapping spans, by start; of overlapping ones the first found by the more certain rule."""
         called: set[int] = set()
-        for _, rules in self.automaton.iter(text.lower()):
+        at: list[int] = []
+        for end, rules in self.automaton.iter(text.lower()):
             called |= rules
+            if -3 in rules:
+                at.append(end)
         if not called:
             return []
         taken: list[tuple[int, int]] = []
@@ -179,27 +191,58 @@ class CredentialFinder:
                     take(*m.span())
                 else:
                     blocked.append(m.span())
+        for m, shape in self._assigned(text, at):
+            self._value(text, m, shape, blocked, take)
         for i in sorted(x for x in called if x >= 0):
             _, pattern, shape = PLACES[i]
             for m in pattern.finditer(text):
-                groups = m.groupdict()
-                if groups.get("n") and not _name_is_secret(groups["n"]):
-                    continue
-                g = "v" if groups.get("v") is not None else "w"
-                lo, hi = m.span(g)
-                value = text[lo:hi]
-                if groups.get("q") is None:
-                    value = value.rstrip(".,;:)]}")
-                    hi = lo + len(value)
-                scheme = re.match(r"(?i)(?:bearer|basic|token)\s+", value)
-                if scheme:
-                    lo, value = lo + scheme.end(), value[scheme.end() :]
-                if any(lo < b and hi > a for a, b in blocked):
-                    continue
-                if is_live(value, shape) and " " not in value:
-                    take(lo, hi)
+                self._value(text, m, shape, blocked, take)
         return sorted(taken)
 
+    def _assigned(self, text: str, ends: list[int]) -> Iterator[tuple[re.Match, str]]:
+        """Assignments to names that hold one of the keywords, which end at ``ends``."""
+        done = -1
+        for end in ends:
+            if end <= done:
+                continue
+            start = end
+            while start > 0 and end - start < 120 and (text[start - 1].isalnum() or text[start - 1] in "_.-"):
+                start -= 1
+            run = _RUN.match(text, start)
+            if not run:
+                continue
+            done = run.end() - 1
+            if start and text[start - 1] in "$?&":
+                continue
+            name = run.group().lstrip("_")
+            known = self.names.get(name)
+            if known is None:
+                if len(self.names) > 100_000:
+                    self.names.clear()
+                known = self.names[name] = len(name) <= 100 and bool(_SECRET_NAME.fullmatch(name)) and _name_is_secret(name)
+            if known:
+                for pattern, shape in ASSIGNMENTS:
+                    m = pattern.match(text, run.end())
+                    if m:
+                        yield m, shape
+
+    @staticmethod
+    def _value(text: str, m: re.Match, shape: str, blocked: list[tuple[int, int]], take: Callable[[int, int], None]) -> None:
+        groups = m.groupdict()
+        g = "v" if groups.get("v") is not None else "w"
+        lo, hi = m.span(g)
+        value = text[lo:hi]
+        if groups.get("q") is None:
+            value = value.rstrip(".,;:)]}")
+            hi = lo + len(value)
+        scheme = re.match(r"(?i)(?:bearer|basic|token)\s+", value)
+        if scheme:
+            lo, value = lo + scheme.end(), value[scheme.end() :]
+        if any(lo < b and hi > a for a, b in blocked):
+            return
+        if is_live(value, shape) and " " not in value:
+            take(lo, hi)
+
 
 def mask(secret: str) -> str:
     """A placeholder of the same length and alphabet: letters to x or X, digits to 0, the rest as it is."""
