@@ -59,8 +59,9 @@ def peak_concurrency(intervals: DataFrame, start: str, end: str, key: str | None
     distinct instants.
     """
     keys = [key] if key else []
+    intervals = intervals.where(F.col(start).isNotNull() & F.col(end).isNotNull())
     steps = intervals.select(*keys, F.col(start).alias("t"), F.lit(1).alias("d")).unionByName(intervals.select(*keys, F.col(end).alias("t"), F.lit(-1).alias("d")))
-    steps = steps.where("t is not null").groupBy(*keys, "t", "d").agg(F.sum("d").alias("s"))
+    steps = steps.groupBy(*keys, "t", "d").agg(F.sum("d").alias("s"))
     w = Window.partitionBy(*keys).orderBy("t", "d").rowsBetween(Window.unboundedPreceding, 0)
     run = steps.withColumn("open", F.sum("s").over(w))
     return run.groupBy(*keys).agg(F.greatest(F.lit(0), F.max("open")).alias("peak"))
