@@ -155,11 +155,11 @@ def _bound(spark: SparkSession, folder: str) -> DataFrame:
     "q_js_divergence",
     f"""with {REQUESTS_SQL}, a as (select model, count(*) as n from req where ms % 2 = 0 group by model), b as (select model, count(*) as m from req where ms % 2 = 1 group by model),
 j as (select coalesce(n,0)/(select sum(n) from a) as p, coalesce(m,0)/(select sum(m) from b) as q from a full join b on a.model is not distinct from b.model)
-select sum((case when p>0 then p*log2(p/((p+q)/2)) else 0 end + case when q>0 then q*log2(q/((p+q)/2)) else 0 end)/2) as js_divergence from j""",
+select round(sum((case when p>0 then p*log2(p/((p+q)/2)) else 0 end + case when q>0 then q*log2(q/((p+q)/2)) else 0 end)/2), 9) as js_divergence from j""",
 )
 def _js(spark: SparkSession, folder: str) -> DataFrame:
     r = canonical_requests(table(spark, folder, "attack_view"), "model")
-    return E.js_divergence(r.where("ms % 2 = 0"), r.where("ms % 2 = 1"), "model")
+    return E.js_divergence(r.where("ms % 2 = 0"), r.where("ms % 2 = 1"), "model").select(F.round("js_divergence", 9).alias("js_divergence"))
 
 
 @query(

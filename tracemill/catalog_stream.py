@@ -75,8 +75,8 @@ def _peak(spark: SparkSession, folder: str) -> DataFrame:
     return K.peak_concurrency(e, "a", "b")
 
 
-@query("q_tumbling_counts", "select epoch_ms(time_bucket(interval '10 minutes', ts)) as start_ms, event_type, count(*) as n_events, sum(value) as total from events where ts is not null group by all")
+@query("q_tumbling_counts", "select epoch_ms(time_bucket(interval '10 minutes', ts)) as start_ms, event_type, count(*) as n_events, round(sum(value), 4) as total from events where ts is not null group by all")
 def _tumbling(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value").where("ts is not null")
-    g = e.groupBy(F.window("ts", "10 minutes").alias("w"), "event_type").agg(F.count("*").alias("n_events"), F.sum("value").alias("total"))
+    g = e.groupBy(F.window("ts", "10 minutes").alias("w"), "event_type").agg(F.count("*").alias("n_events"), F.round(F.sum("value"), 4).alias("total"))
     return g.select(F.unix_millis("w.start").alias("start_ms"), "event_type", "n_events", "total")

@@ -204,7 +204,7 @@ def low_cost(features: DataFrame, budget: int = PAIRS_PER_REQUEST) -> DataFrame:
     block = F.col("bucket")
     links: dict[str, list[DataFrame]] = {level: [B.star_edges(B.postings(f, _rare_values(level), block), cap)] for level, cap in RARE_BUCKETS.items()}
     sem = pair_scores(B.bounded_pairs(B.postings(f, F.col("signatures"), block), SEMANTIC_BUCKET, budget), f)
-    ctx = pair_scores(B.bounded_pairs(B.postings(f, F.transform("shingles", lambda s: s.cast("string")), block), CONTEXT_BUCKET, budget), f)
+    ctx = pair_scores(B.bounded_pairs(B.postings(f, F.col("shingles"), block), CONTEXT_BUCKET, budget), f)
     telling = F.concat(informative(F.col("identifiers")), _starting(F.col("identifiers"), "business_"), F.col("traces"), F.col("domains"))
     refine = scratch.save(lowcost_scores(pair_scores(B.bounded_pairs(B.postings(f, telling, block), REFINE_BUCKET, budget), f)), "refine")
     uv = lambda d: d.select(F.col("left").alias("u"), F.col("right").alias("v"))
@@ -228,7 +228,7 @@ def low_cost(features: DataFrame, budget: int = PAIRS_PER_REQUEST) -> DataFrame:
 def prefix(features: DataFrame, cap: int = 40) -> DataFrame:
     """Links of pairs that share a shingle, by similarity and what else they share."""
     scratch = Scratch(features.sparkSession, "prefix")
-    s = scratch.save(pair_scores(B.candidate_pairs(B.postings(features, F.transform("shingles", lambda x: x.cast("string"))), cap), features), "scored")
+    s = scratch.save(pair_scores(B.candidate_pairs(B.postings(features, F.col("shingles")), cap), features), "scored")
     c = F.col
     rules = {"session": c("jaccard") >= 0.22, "user": (c("jaccard") >= 0.12) & (c("ids") >= 3), "project": (c("jaccard") >= 0.08) & (c("repo") >= 1), "org": (c("jaccard") >= 0.08) & (c("domain") + c("ids") >= 3)}
     return reduce(DataFrame.unionByName, [_components("prefix", level, s.where(rule).select(c("left").alias("u"), c("right").alias("v")), features) for level, rule in rules.items()])
@@ -267,7 +267,7 @@ def context_only(features: DataFrame, budget: int = PAIRS_PER_REQUEST) -> DataFr
     scratch = Scratch(features.sparkSession, "context")
     f = scratch.save(features, "features")
     block = F.col("bucket")
-    ctx = context_links(pair_scores(B.bounded_pairs(B.postings(f, F.transform("shingles", lambda s: s.cast("string")), block), CONTEXT_BUCKET, budget), f))
+    ctx = context_links(pair_scores(B.bounded_pairs(B.postings(f, F.col("shingles"), block), CONTEXT_BUCKET, budget), f))
     telling = F.concat(informative(F.col("identifiers")), _starting(F.col("identifiers"), "business_"), F.col("traces"), F.col("domains"))
     ref = lowcost_scores(pair_scores(B.bounded_pairs(B.postings(f, telling, block), REFINE_BUCKET, budget), f)).where("link_session")
     links = ctx.select(F.col("left").alias("u"), F.col("right").alias("v")).unionByName(ref.select(F.col("left").alias("u"), F.col("right").alias("v")))
