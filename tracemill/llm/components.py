@@ -36,7 +36,7 @@ from ..scratch import Scratch
 #: A frontier or map of at most so many rows (about 60 bytes each) is broadcast.
 BROADCAST_ROWS = 50_000
 #: The search ends when a frontier is smaller than this share of the visited.
-TRICKLE = 0.005
+TRICKLE = 0.05
 
 
 def _clean(name: str) -> Column:
@@ -67,7 +67,7 @@ def _rank(name: str) -> Column:
     return F.struct(F.xxhash64(name).alias("h"), F.col(name).alias("id"))
 
 
-def connected_components(links: DataFrame, src: str = "u", dst: str = "v", id_col: str = "request_id", group_col: str = "group_id", max_rounds: int = 24) -> DataFrame:
+def connected_components(links: DataFrame, src: str = "u", dst: str = "v", id_col: str = "request_id", group_col: str = "group_id", max_rounds: int = 12) -> DataFrame:
     """One row per vertex that is linked to another one: its id and the smallest id of its group.
 
     Links are undirected, may repeat, be swapped, or be null or a self pair
