@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 from .contents import scan_contents
+from .spam import FUNCTION_WORDS
 
 #: Score from which a pattern's fillers are taken.
 ACCEPT = 0.45
@@ -103,6 +104,7 @@ _T = r"[A-ZÀ-ÖØ-ÞŠŽ][\w'’]+(?:-[A-ZÀ-ÖØ-ÞŠŽ][\w'’]+)*"
 _NAME = re.compile(rf"(?<![\w@./\\-])(?:(?:{_PARTICLES}) )?(?:{_T}|[A-Z]\.)(?:,? (?:(?:{_PARTICLES}) )?(?:{_T}|[A-Z]\.(?!\w)))*(?![\w@/\\]|\.\w|-\w)")
 _LOWER = r"[a-zà-öø-ÿšž][\w'’]+(?:-[\w'’]+)*"
 _AFTER_LOWER = re.compile(rf"(?:-{_LOWER})?(?P<c>,)? (?:(?:{_PARTICLES}|[a-z]\.) )?(?P<n>{_LOWER})")
+_LOWER_PAIR = re.compile(rf"(?<![\w@.+/-])(?=({_LOWER}) (?:(?:{_PARTICLES}|[a-z]\.) )?({_LOWER})(?![\w@/.]|-\w))")
 _BEFORE_LOWER = re.compile(rf"({_LOWER}|(?<!\w)[a-z]\.) (?:(?:{_PARTICLES}|[a-z]\.) )?$")
 #: Words before a name that are titles or labels, and words that begin sentences.
 _LEADING = set(
@@ -259,8 +261,27 @@ class MentionFinder:
         take("id_number", loose, False)
         take("name", self.title_names(text), False)
         take("name", self.lower_names(text.lower(), text), False)
+        fixed = list(taken)
+        for lo, hi in self.lower_near([(a, b) for kind, a, b, sure in out if sure], text):
+            if all(hi <= a or lo >= b for a, b in fixed):
+                out.append(("name", lo, hi, False))
         return out
 
+    @staticmethod
+    def lower_near(certain: list[tuple[int, int]], text: str) -> list[tuple[int, int]]:
+        """Pairs of words in small letters beside a certain mention, any of which may be a name that no lexicon has.
+
+        They overlap; only the one that fills a good pattern is found.
+        """
+        out: dict[tuple[int, int], None] = {}
+        for lo, hi in certain:
+            for a, b in ((max(0, lo - 60), lo), (hi, hi + 40)):
+                for m in _LOWER_PAIR.finditer(text, a, min(b, len(text))):
+                    first, last = m.group(1), m.group(2)
+                    if first not in FUNCTION_WORDS and last not in FUNCTION_WORDS and first not in _LEADING and last not in _FOLLOWING:
+                        out[m.start(1), m.end(2)] = None
+        return list(out)
+
 
 def _mentions(lexicon: list[str]) -> Callable[[], Callable[[str], list[tuple]]]:
     def make() -> Callable[[str], list[tuple]]:
