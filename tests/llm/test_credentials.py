@@ -70,3 +70,8 @@ def test_places_deliveries_nulls_and_extra_columns(spark, make_log):
     assert got == [("r1", 1, "XboS0grYOnca7D6D"), ("r1", 2, "XboS0grYOnca7D6D"), ("r5", 0, "XboS0grYOnca7D6D")]
     assert find_credentials(log.where("false")).count() == 0
     assert [r["content"] for r in redacted_messages(log).where("request_id = 'r5'").collect()] == ['secret = "XxxX0xxXXxxx0X0X"']
+
+
+def test_values_that_look_like_paths_or_placeholders():
+    assert is_live("/1PWZ/nxIs6hfjYL+C1jwqY+jkVQ7YyEtQMMi4q/sT6=") and is_live("Fakeba9651*")
+    assert not is_live("/run/secrets/app_token") and not is_live("fake-secret") and not is_live("example_password")

@@ -112,10 +112,10 @@ PLACES = [
 
 #: What stands for a secret without being one.
 _PLACEHOLDER = re.compile(
-    r"(?i)^(?:x{4,}|\*{3,}|\.{3,}|-{4,}|_{4,}|0{6,}|change[_-]?me.*|replace[_-]?(?:me|this).*|your[_-].*|my[_-](?:password|secret|token)|<.*|\[.*\]?|\{\{?.*|\$.*|%[({].*|%\w+%|@\{.*|#\{.*|n/?a|none|null|nil|undefined|true|false|todo.*|tbd|redacted.*|masked.*|hidden|removed|dummy.*|example.*|sample.*|placeholder.*|fake.*|test(?:ing|[_-]?(?:password|token|key|secret))?|(?:password|passwd|secret|token|string|str|text|bytes|key|value|required|optional|default|empty|unset)[;,.)]*)$"
+    r"(?i)^(?:x{4,}|\*{3,}|\.{3,}|-{4,}|_{4,}|0{6,}|change[_-]?me.*|replace[_-]?(?:me|this).*|your[_-].*|my[_-](?:password|secret|token)|<.*|\[.*\]?|\{\{?.*|\$.*|%[({].*|%\w+%|@\{.*|#\{.*|n/?a|none|null|nil|undefined|true|false|todo\W*|tbd|redacted\W*|masked\W*|hidden|removed|(?:dummy|example|sample|placeholder|fake|test(?:ing)?)(?:[_-].*|[_-]?(?:password|passwd|token|key|secret|value)\d*)?|(?:password|passwd|secret|token|string|str|text|bytes|key|value|required|optional|default|empty|unset)[;,.)]*)$"
 )
 _MASKED = re.compile(r"\*{5,}|•{2,}|…|x{8,}|X{8,}|\.\.\.|0{12,}|(?i:redacted|placeholder|changeme|change_me|your[-_]|insert[-_])")
-_REFERENCE = re.compile(r"\$\{|\$\(|\{\{|%\(|<[A-Za-z]|(?i:\b(?:os\.environ|process\.env|getenv|getpass|vault[.:/]|secrets?\.|env\.|config\.|settings\.|self\.|this\.|args\.|options?\.|params?\.|request\.|ssm:|arn:|data\.|var\.))|^(?:/|\./|~/|[A-Za-z]:\\)[\w.-]+/|^[A-Za-z_][\w.]*\(")
+_REFERENCE = re.compile(r"\$\{|\$\(|\{\{|%\(|<[A-Za-z]|(?i:\b(?:os\.environ|process\.env|getenv|getpass|vault[.:/]|secrets?\.|env\.|config\.|settings\.|self\.|this\.|args\.|options?\.|params?\.|request\.|ssm:|arn:|data\.|var\.))|^(?:/|\./|~/)(?:[a-z0-9_.-]+/)+[a-z0-9_.-]*$|^[A-Za-z]:\\|^[A-Za-z_][\w.]*\(")
 _DIGEST = re.compile(r"(?i)^(?:sha\d*|md5|blake\w*)[:-]|^ssh-|^AAAA[BCE]3|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
 
 
@@ -187,7 +187,7 @@ class CredentialFinder:
         if -1 in called:
             for m in _ISSUERS.finditer(text):
                 value = m.group()
-                if is_live(value) and not re.search(r"(?i)test|example|dummy|fake", value[:10]):
+                if is_live(value) and not re.search(r"(?i)[-_](?:test|example|dummy|fake)[-_]", value[:16]):
                     take(*m.span())
                 else:
                     blocked.append(m.span())
