@@ -48,6 +48,12 @@ def _mutual(spark: SparkSession, folder: str) -> DataFrame:
     return S.mutual_neighbours(S.top_k_cosine(q, q, 2), 0.01).select("left", "right", F.round("score", 6).alias("score"))
 
 
+@query("q_mutual_among_all", f"with {_V}, s as (select a.vec_id as x, b.vec_id as y, list_cosine_similarity(a.e, b.e) as score from v a join v b on a.vec_id <> b.vec_id), t as (select *, row_number() over (partition by x order by round(score, 9) desc, y) as r, lead(score) over (partition by x order by round(score, 9) desc, y) as second from s), b as (select x, y, score from t where r = 1 and score - coalesce(second, -1) >= 0.01) select a.x as left, a.y as right, round(a.score, 6) as score from b a join b c on a.x = c.y and a.y = c.x and a.x < a.y where a.x % 50 = 0 or a.y % 50 = 0")
+def _mutual_all(spark: SparkSession, folder: str) -> DataFrame:
+    v = table(spark, folder, "embeddings")
+    return S.mutual_among_all(v, _queries(v), 0.01).select("left", "right", F.round("score", 6).alias("score"))
+
+
 @query("q_hashed_recall")
 def _hashed(spark: SparkSession, folder: str) -> DataFrame:
     """Recall of the hashed index against the exact neighbours."""

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from ..ship import ship
 
 #: Vectors of a block; a pair of blocks is multiplied by one call.
@@ -67,14 +68,34 @@ def top_k_cosine(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _leading(top: DataFrame, margin: float) -> DataFrame:
+    """The first of each query where it is ahead of the second by ``margin``."""
+    w = Window.partitionBy("query_id").orderBy("rank")
+    return top.withColumn("second", F.lead("score").over(w)).where("rank = 1").where(F.col("score") - F.coalesce("second", F.lit(-1.0)) >= margin).select("query_id", "id", "score")
+
+
 def mutual_neighbours(top: DataFrame, margin: float = 0.0) -> DataFrame:
     """Pairs that are each other's first, ahead of the second by ``margin``: ``left`` < ``right``, ``score``."""
-    w = Window.partitionBy("query_id").orderBy("rank")
-    best = top.withColumn("second", F.lead("score").over(w)).where("rank = 1").where(F.col("score") - F.coalesce("second", F.lit(-1.0)) >= margin).select("query_id", "id", "score")
+    best = _leading(top, margin)
     back = best.select(F.col("query_id").alias("id"), F.col("id").alias("query_id"))
     return best.join(back, ["query_id", "id"]).where("query_id < id").select(F.col("query_id").alias("left"), F.col("id").alias("right"), "score")
 
 
+def mutual_among_all(vectors: DataFrame, queries: DataFrame, margin: float = 0.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """Mutual neighbours, among all rows, of a stated query set: ``left`` < ``right``, ``score``.
+
+    The best two of each query are looked for among all rows, and from the
+    partners found the search goes back over all rows, so nearest, runner-up
+    and margin are those of the whole table on both sides.
+    """
+    scratch = Scratch(vectors.sparkSession, "mutual")
+    best = scratch.save(_leading(top_k_cosine(vectors, queries, 2, id_col, vec_col), margin), "best")
+    partners = vectors.join(best.select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi")
+    back = _leading(top_k_cosine(vectors, partners, 2, id_col, vec_col), margin).select(F.col("query_id").alias("id"), F.col("id").alias("query_id"))
+    both = best.join(back, ["query_id", "id"])
+    return both.select(F.least("query_id", "id").alias("left"), F.greatest("query_id", "id").alias("right"), F.round("score", 12).alias("score")).dropDuplicates(["left", "right"])
+
+
 def hyperplane_bands(v: Column, size: int, bands: int, bits: int, seed: int) -> Column:
     """Signs of projections on random planes, ``bits`` a band; planes come from the seed, not from the data."""
     planes = np.random.default_rng(seed).standard_normal((bands, bits, size)).round(4)
