@@ -96,6 +96,46 @@ def mutual_among_all(vectors: DataFrame, queries: DataFrame, margin: float = 0.0
     return both.select(F.least("query_id", "id").alias("left"), F.greatest("query_id", "id").alias("right"), F.round("score", 12).alias("score")).dropDuplicates(["left", "right"])
 
 
+def _forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """Places of links of a spanning forest of the links u, v over n vertices."""
+    root, kept = np.arange(n), []
+    while True:
+        a, b = root[u], root[v]
+        live = np.flatnonzero(a != b)
+        if not len(live):
+            return np.concatenate(kept) if kept else live
+        high, at = np.unique(np.maximum(a, b)[live], return_index=True)
+        kept.append(live[at])
+        root[high] = np.minimum(a, b)[live[at]]
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def threshold_links(vectors: DataFrame, least: float, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """Links ``u``, ``v`` with the components of the graph of all pairs of rows whose cosine is at least ``least``.
+
+    Every row meets every other one, in blocks, with no cap on partners.  Each
+    two blocks give a spanning forest of their links: the components stay, and
+    the links are at most as many as the rows of both blocks.
+    """
+    blocks = Scratch(vectors.sparkSession, "threshold").save(_blocks(vectors, id_col, vec_col, BLOCK), "blocks")
+    other = blocks.select(F.col("ids").alias("o_ids"), F.col("flat").alias("o_flat"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                get = lambda name, i=i: np.asarray(batch.column(name)[i].values)
+                ids, o_ids = get("ids"), get("o_ids")
+                s = get("flat").reshape(len(ids), -1) @ get("o_flat").reshape(len(o_ids), -1).T
+                rows, cols = np.nonzero(s >= least)
+                # in one numbering, so that a row of both blocks is one vertex
+                both, at = np.unique(np.concatenate([ids, o_ids]), return_inverse=True)
+                keep = _forest(at[rows], at[len(ids) + cols], len(both))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows[keep]]), pa.array(o_ids[cols[keep]])], names=["u", "v"])
+
+    return blocks.join(other, blocks["ids"][0] <= other["o_ids"][0]).mapInArrow(run, "u long, v long")
+
+
 def hyperplane_bands(v: Column, size: int, bands: int, bits: int, seed: int) -> Column:
     """Signs of projections on random planes, ``bits`` a band; planes come from the seed, not from the data."""
     planes = np.random.default_rng(seed).standard_normal((bands, bits, size)).round(4)
