@@ -12,8 +12,10 @@ words in order:
 * the *positional autocorrelation* is the share of words equal to the one a
   lag before, at its best lag of a window; lists made from a frame have a lag
   at which they agree unnaturally often;
-* a unit *without function words* is a phrase; runs of short phrases are noun
-  lists.
+* a unit *without function words* is a phrase; a long run of short phrases in
+  a text without machine text is a noun list: stuff if nearly all its words
+  are distinct, and else with gaps up to the list's own period, the number of
+  its distinct words.
 
 A unit is stuff if most of its content words recur within the gap that its
 kind allows, or agree at the window's lag; a document if more than half of
@@ -44,6 +46,8 @@ SENTENCE_GAP = 5
 RECURRING = 0.5
 #: Share of a long unit's content words that one word alone has only in stuffed text.
 REGULAR = 0.2
+#: Short units, one after the other, that make a list; share of function words that it may have; share of distinct words of a list of distinct ones.
+LIST_UNITS, LIST_FUNCTION, LIST_DISTINCT = 30, 0.02, 0.8
 #: Longest lag of the autocorrelation, in words.
 LAGS = 24
 
@@ -72,6 +76,7 @@ _MACHINE = re.compile(
 )
 _CUT = re.compile(r"\s*(?:[|•»·;]|\s/\s)\s*|(?<=[.!?…])\s+")
 _COMMA = re.compile(r",\s+")
+_SENTENCE_MARKS = re.compile(r"[。！？，、।؟۔]")
 
 
 def _parts(line: str) -> Iterator[str]:
@@ -103,6 +108,7 @@ def _links(line: str) -> bool:
 def stuffed_share(text: str) -> float:
     """Share of a text's characters (white space at the ends of units aside) that is stuff."""
     units: list[tuple[int, int, int, list[str]]] = []  # length, kind, function words, content words
+    brief: list[bool] = []  # of each unit: whether it may be an item of a list
     total = stuff = machine = 0
     for line in text.split("\n"):
         line = line.strip()
@@ -137,10 +143,12 @@ def stuffed_share(text: str) -> float:
             rest -= length
             if prices and _PRICE.search(part) and len(words) <= 8:
                 units.append((length, 2, 0, content))
+                brief.append(False)
                 continue
             f = len(words) - len(content) and sum([w in FUNCTION_WORDS for w in words])
             short = len(words) <= 6 and f <= 1 and not part.endswith((".", "!", "?", ":"))
             units.append((length, 3 if short or f * 6 <= len(words) else 1, f, content))
+            brief.append(bool(short and content and not _SENTENCE_MARKS.search(part)))
         if units and rest > 0:
             a, b, c, d = units[-1]
             units[-1] = (a + rest, b, c, d)
@@ -160,14 +168,16 @@ def stuffed_share(text: str) -> float:
                 gap[j] = d
         last[w] = i
     at = 0
-    for length, kind, _, content in units:
+    periods = {} if machine else _lists(units, brief)
+    for n, (length, kind, _, content) in enumerate(units):
         m = len(content)
         if kind == 2:
             stuff += length
         elif kind == 0 or not m:
             pass
         elif kind == 3:  # a phrase
-            near = sum([g <= PHRASE_GAP for g in gap[at : at + m]])
+            period = periods.get(n, 0)
+            near = m if period < 0 else sum([g <= max(PHRASE_GAP, period) for g in gap[at : at + m]])
             trade = sum(w in _TRADE for w in content)
             if near >= RECURRING * m or trade * 3 >= m or _regular(flat, at, m):
                 stuff += length
@@ -180,6 +190,22 @@ def stuffed_share(text: str) -> float:
     return stuff / total
 
 
+def _lists(units: list[tuple[int, int, int, list[str]]], brief: list[bool]) -> dict[int, int]:
+    """Units of noun lists, with the list's number of distinct words, or -1 if nearly all are distinct."""
+    out: dict[int, int] = {}
+    start = 0
+    for i in range(len(units) + 1):
+        if i < len(units) and brief[i]:
+            continue
+        if i - start >= LIST_UNITS:
+            words = [w for u in units[start:i] for w in u[3]]
+            if sum(u[2] for u in units[start:i]) <= LIST_FUNCTION * len(words):
+                distinct = len(set(words))
+                out |= dict.fromkeys(range(start, i), -1 if distinct >= LIST_DISTINCT * len(words) else distinct)
+        start = i + 1
+    return out
+
+
 def _thrice(flat: list[str], at: int, m: int) -> bool:
     """Whether a word of the unit occurs three times within a few words."""
     around = Counter(flat[max(0, at - SENTENCE_GAP) : at + m + SENTENCE_GAP])
