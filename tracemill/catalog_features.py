@@ -125,6 +125,11 @@ def _stars(spark: SparkSession, folder: str) -> DataFrame:
     return B.star_edges(_posted(spark, folder), 40)
 
 
+@query("q_star_edges_all", _P + " select distinct first as u, id as v from p join z using (block, value) where size > 1 and id <> first")
+def _stars_all(spark: SparkSession, folder: str) -> DataFrame:
+    return B.star_edges(_posted(spark, folder))
+
+
 @query("q_anchor_pairs", _P + ", k as (select p.* from p join z using (block, value) where size between 2 and 12) select a.id as left, b.id as right, list_sort(list(distinct a.value)) as anchors from k a join k b on a.block = b.block and a.value = b.value and a.id < b.id group by all")
 def _anchors(spark: SparkSession, folder: str) -> DataFrame:
     return B.anchor_pairs(_posted(spark, folder), 12)
@@ -143,3 +148,8 @@ select id, min(label) as label from r group by id"""
 @query("q_components", _COMPONENTS)
 def _components(spark: SparkSession, folder: str) -> DataFrame:
     return components(B.star_edges(_posted(spark, folder), 40))
+
+
+@query("q_components_all", _COMPONENTS.replace("size between 2 and 40", "size > 1"))
+def _components_all(spark: SparkSession, folder: str) -> DataFrame:
+    return components(B.star_edges(_posted(spark, folder)))
