@@ -1,7 +1,6 @@
 from pyspark.sql import functions as F
 
 from tracemill.functions import features as X
-from tracemill.functions.handles import handles_of
 from tracemill.operators import linkage as L
 from tracemill.operators.requests import canonical_requests, request_text
 from tracemill.sources.adapters import synthetic_features
@@ -40,11 +39,24 @@ def test_set_similarities_of_empty_sides(spark):
     assert [tuple(r) for r in df.select(X.jaccard(F.col("a"), F.col("b")), X.containment(F.col("a"), F.col("b"))).collect()] == [(0.0, 0.0), (1 / 3, 0.5)]
 
 
-def test_handles():
+def handles(spark, contents, roles=None):
+    from tracemill.functions.handles import stable_handles
+
+    rows = [([("user" if roles is None else roles[i], c, None) for i, c in enumerate(contents)],)]
+    return spark.createDataFrame(rows, "messages array<struct<role string, content string, name string>>").select(stable_handles(F.col("messages")).alias("h")).head()["h"]
+
+
+def test_handles(spark):
     payload = '{"reservation_id":"M05KNL","user_id":"aarav_ahmed_6699","flight_number":"HAT023","status":"available"}'
-    assert handles_of([payload]) == ["stable_project:reservation:m05knl", "stable_user:user:aarav_ahmed_6699", "stable_context:flight:hat023"]
-    assert "stable_project:reservation:m05knl" in handles_of(["My user ID is aarav_ahmed_6699 and reservation ID: M05KNL."])
-    assert handles_of([None, "", "{broken", "[" * 5000]) == []
+    assert handles(spark, [payload]) == ["stable_project:reservation:m05knl", "stable_user:user:aarav_ahmed_6699", "stable_context:flight:hat023"]
+    assert "stable_project:reservation:m05knl" in handles(spark, ["My user ID is aarav_ahmed_6699 and reservation ID: M05KNL."])
+    assert handles(spark, [None, "", "{broken", "[" * 5000]) == []
+    assert handles(spark, [payload], ["system"]) == []
+
+
+def test_handles_of_nested_payloads_and_odd_keys(spark):
+    nested = '  {"order": {"items": [{"id": "A-100"}, {"id": 77}], "id": "#W123456"}, "Customer-IDs": ["x"], "customer_ids": "c_1", "id": "lone_1", "api_token_user_id": "u_9", "orgs": "acme_1", "organisation": "acme_2", "userId": "u_1", "count": true}'
+    assert handles(spark, [nested]) == ["stable_org:organization:acme_2", "stable_context:item:a-100"]
 
 
 def test_canonical_request_is_the_earliest_delivery(spark, make_log):

@@ -1,6 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tracemill.operators import transforms as T
+from tracemill.operators.ordered import numbered
 from tracemill.operators.requests import canonical_requests
 
 
@@ -47,10 +49,50 @@ def test_anchor_stress(spark):
 
 
 def test_lineage_edits_rebuild_the_text(spark, make_log):
-    rows = canonical_requests(make_log(("r1", ["mail a@b.example about order_1234 in /workspace/acme"], "2022-01-01T00:00:00Z"), ("r2", ["order_1234 again", None, ""], "2022-01-02T00:00:00Z")), "messages")
+    rows = canonical_requests(make_log(("r1", ["repository=acme/tool about order_1234 and ORDER-1234 in /workspace/acme by api.team.internal"], "2022-01-01T00:00:00Z"), ("r2", ["order_1234 again in /workspace/other, user_nodigit", None, ""], "2022-01-02T00:00:00Z"), ("r3", None)), "messages")
     edits = T.span_lineage(rows)
     got = {(r["request_id"], r["message_index"]): r["content"] for r in T.apply_edits(rows, edits).collect()}
-    assert got == {("r1", 0): "mail email_p000001 about handle_p000001 in workspace_p000001", ("r2", 0): "handle_p000001 again"}
+    assert got == {("r1", 0): "repository=owner_0001/repo_0001 about order_p000001 and order_p000002 in /workspace/workspace_0001 by service-0001.internal", ("r2", 0): "order_p000001 again in /workspace/workspace_0002, user_nodigit"}
+    own = {(r["request_id"], r["original"]): r["replacement"] for r in T.span_lineage(rows, "request").collect()}
+    assert own["r1", "order_1234"] == "order_p000001" and own["r2", "order_1234"] == "order_p000003"
+    good = T.validate_lineage(rows, T.apply_lineage(rows, edits), edits).head()
+    assert (good["requests"], good["edits"]) == (3, 7) and not any(good[c] for c in ("unmatched_requests", "changed_counts", "changed_shapes", "misplaced_edits", "unreproduced_contents"))
+    bad = T.validate_lineage(rows, rows, edits.withColumn("start", F.col("start") + 1)).head()
+    assert bad["misplaced_edits"] == 7 and bad["unreproduced_contents"] == 2
+
+
+def test_contents_with_any_character_keep_their_placeholders(spark, make_log):
+    rows = canonical_requests(make_log(("r", ["a\u0001 b /home/u1/x and /home/u2/y end", "/home/u2/y", ""])), "messages", "token_count")
+    assert contents(T.redact_entities(rows, r"/home/[a-z0-9/]+", "PATH"))["r"] == ["a\u0001 b [PATH_0001] and [PATH_0002] end", "[PATH_0002]", ""]
+    slugs = canonical_requests(make_log(("r", ["\u0001 /workspace/a__b/x /workspace/c__d"])), "messages", "token_count")
+    assert contents(T.pseudonymize_workspaces(slugs, "request"))["r"] == ["\u0001 /workspace/workspace_r_001/x /workspace/workspace_r_002"]
+
+
+def test_numbers_over_many_pieces_are_whole(spark):
+    n = 400_000
+    rows = spark.range(n).select(F.sha2(F.col("id").cast("string"), 256).alias("value"), (F.col("id") * 7919 % n).alias("at"), (F.col("id") % 3).alias("kind"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst")}
+    try:
+        for size, first in (("64m", "true"), ("1m", "false")):
+            for k, v in zip(before, ("64", size, first), strict=True):
+                spark.conf.set(k, v)
+            got = numbered(rows, ["at"]).agg(F.count("*"), F.count_distinct("n"), F.max("n"), F.count_if(F.col("n") != F.col("at") + 1)).head()
+            assert tuple(got) == (n, n, n, 0)
+            each = numbered(rows, ["at"], ["kind"]).groupBy("kind").agg(F.count("*").alias("c"), F.count_distinct("n").alias("d"), F.max("n").alias("m")).collect()
+            assert len(each) == 3 and all(r["c"] == r["d"] == r["m"] for r in each)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_defences_by_name(spark, make_log):
+    log = make_log(("r", ["/workspace/a__b/x sk-abcdefabcdefabcd"], "2022-01-01T00:00:00Z"))
+    rows = canonical_requests(log, "messages", "token_count")
+    for name in [*T.DEFENSES, *T.COMPOSED]:
+        assert T.apply_defense(rows, name).select("defense").head()["defense"] == name
+    assert contents(T.apply_defense(rows, "M6"))["r"] == ["[PATH_0001] [SECRET]"]
+    with pytest.raises(ValueError):
+        T.apply_defense(rows, "M5")
 
 
 def test_utility(spark, make_log):

@@ -1,8 +1,8 @@
 """Spark-native record linkage and trace analytics.
 
 The package is split into ``sources`` (scans, adapters, sinks), ``functions``
-(column expressions), ``operators`` (DataFrame to DataFrame), ``plans`` (whole
-pipelines) and ``streaming``.  ``llm`` is an optional subpackage with operators
+(column expressions), ``operators`` (DataFrame to DataFrame),
+and ``streaming``.  ``llm`` is an optional subpackage with operators
 for language-model training data; nothing else in the library imports it.
 """
 

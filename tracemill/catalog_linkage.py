@@ -16,9 +16,13 @@ def _features(spark: SparkSession, folder: str, **off: bool) -> DataFrame:
     return L.feature_table(table(spark, folder, "attack_view"), FeatureOptions(**off))
 
 
+#: Families that methods by key alone don't need.
+_KEYS_ONLY = dict.fromkeys(("words", "shingles", "identifiers", "paths", "domains", "traces", "signatures", "repositories", "business"), False)
+
+
 @query("q_temporal_labels", f"with {REQUESTS_SQL}, m as (select request_id, floor(ms / 60000.0) as minute from req), s as (select request_id, 'session' as level, floor(minute/10) as label from m union all select request_id, 'user', floor(minute/60) from m union all select request_id, 'project', floor(minute/1440) from m union all select request_id, 'org', floor(minute/1440) from m) select 'temporal' as method, level, request_id, cast(cast(label as bigint) as varchar) as label from s")
 def _temporal(spark: SparkSession, folder: str) -> DataFrame:
-    return L.temporal(_features(spark, folder))
+    return L.temporal(_features(spark, folder, **_KEYS_ONLY))
 
 
 _TOOL = """f as (select request_id, substring(sha1(coalesce(array_to_string(list_sort(list_transform(tool_schemas, lambda s: concat_ws('|', s.name, array_to_string(s.parameters, ',')))), ';'), '')), 1, 12) || '|' ||
@@ -27,7 +31,7 @@ _TOOL = """f as (select request_id, substring(sha1(coalesce(array_to_string(list
 
 @query("q_tool_labels", f"with {REQUESTS_SQL}, {_TOOL} select 'tool' as method, unnest(['session','user','project','org']) as level, request_id, label from f")
 def _tool(spark: SparkSession, folder: str) -> DataFrame:
-    return L.tool(_features(spark, folder))
+    return L.tool(_features(spark, folder, **_KEYS_ONLY))
 
 
 @query("q_rare_labels")

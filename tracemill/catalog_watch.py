@@ -35,26 +35,13 @@ def _purity(spark: SparkSession, folder: str) -> DataFrame:
     return n.join(a, "query_id").join(b, "id").groupBy("query_label", "found_label").agg(F.count("*").alias("n"))
 
 
-@query("q_threshold_components", _TOP.replace("with ", "with recursive ", 1) + ", e0 as (select cast(query_id as varchar) as u, cast(id as varchar) as v from t where rank <= 3 and score >= 0.3), e as (select u, v from e0 union select v, u from e0), r(id, label) as (select u, u from e union select e.v, r.label from r join e on r.id = e.u) select id, min(label) as label from r group by id")
-def _threshold(spark: SparkSession, folder: str) -> DataFrame:
-    v = table(spark, folder, "embeddings")
-    t = S.top_k_cosine(v, _queries(v), 3).where("score >= 0.3")
-    return components(t.select(F.col("query_id").alias("u"), F.col("id").alias("v")))
-
-
-@query("q_threshold_classes", f"with recursive {_V}, s as (select a.vec_id as u, b.vec_id as v from v a join v b on a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.3), e as (select cast(u as varchar) as u, cast(v as varchar) as v from s), r(id, label) as (select cast(vec_id as varchar), cast(vec_id as varchar) from v union select e.v, r.label from r join e on r.id = e.u) select id, min(label) as label from r group by id")
+@query("q_threshold_components", f"with recursive {_V}, s as (select a.vec_id as u, b.vec_id as v from v a join v b on a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.3), e as (select cast(u as varchar) as u, cast(v as varchar) as v from s), r(id, label) as (select cast(vec_id as varchar), cast(vec_id as varchar) from v union select e.v, r.label from r join e on r.id = e.u) select id, min(label) as label from r group by id")
 def _classes(spark: SparkSession, folder: str) -> DataFrame:
     v = table(spark, folder, "embeddings").where("embedding is not null")
     return components(S.threshold_links(v, 0.3), v.select(F.col("vec_id").cast("string").alias("id")))
 
 
-@query("q_mutual_neighbours", f"with {_V}, q as (select * from v where vec_id % 50 = 0), s as (select a.vec_id as x, b.vec_id as y, list_cosine_similarity(a.e, b.e) as score from q a join q b on a.vec_id <> b.vec_id), t as (select *, row_number() over (partition by x order by round(score, 9) desc, y) as r, lead(score) over (partition by x order by round(score, 9) desc, y) as second from s), b as (select x, y, score from t where r = 1 and score - coalesce(second, -1) >= 0.01) select a.x as left, a.y as right, round(a.score, 6) as score from b a join b c on a.x = c.y and a.y = c.x and a.x < a.y")
-def _mutual(spark: SparkSession, folder: str) -> DataFrame:
-    q = _queries(table(spark, folder, "embeddings"))
-    return S.mutual_neighbours(S.top_k_cosine(q, q, 2), 0.01).select("left", "right", F.round("score", 6).alias("score"))
-
-
-@query("q_mutual_among_all", f"with {_V}, s as (select a.vec_id as x, b.vec_id as y, list_cosine_similarity(a.e, b.e) as score from v a join v b on a.vec_id <> b.vec_id), t as (select *, row_number() over (partition by x order by round(score, 9) desc, y) as r, lead(score) over (partition by x order by round(score, 9) desc, y) as second from s), b as (select x, y, score from t where r = 1 and score - coalesce(second, -1) >= 0.01) select a.x as left, a.y as right, round(a.score, 6) as score from b a join b c on a.x = c.y and a.y = c.x and a.x < a.y where a.x % 50 = 0 or a.y % 50 = 0")
+@query("q_mutual_neighbours", f"with {_V}, s as (select a.vec_id as x, b.vec_id as y, list_cosine_similarity(a.e, b.e) as score from v a join v b on a.vec_id <> b.vec_id), t as (select *, row_number() over (partition by x order by round(score, 9) desc, y) as r, lead(score) over (partition by x order by round(score, 9) desc, y) as second from s), b as (select x, y, score from t where r = 1 and score - coalesce(second, -1) >= 0.01) select a.x as left, a.y as right, round(a.score, 6) as score from b a join b c on a.x = c.y and a.y = c.x and a.x < a.y where a.x % 50 = 0 or a.y % 50 = 0")
 def _mutual_all(spark: SparkSession, folder: str) -> DataFrame:
     v = table(spark, folder, "embeddings")
     return S.mutual_among_all(v, _queries(v), 0.01).select("left", "right", F.round("score", 6).alias("score"))

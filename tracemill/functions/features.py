@@ -20,6 +20,7 @@ IDENTIFIER = r"\b[a-z][a-z0-9]+(?:[-_][a-z0-9]+)+\b"
 REPOSITORY = r"\brepository=([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+)\b"
 WORKSPACE = r"/workspace/([^/\s]+)"
 KEY_VALUE = r"\b(tenant|customer_ref|account_cache|case_id|queue|service_line|internal_domain|loyalty_tier|region)=([A-Za-z0-9_.:/@-]+)"
+BUSINESS_OBJECT = r"(?i)\b(order|reservation|product)[_-]([a-z][a-z0-9]*\d{2}-(?:airline|retail)-[a-z]+(?:-[a-z]+)*-\d+)\b"
 WORD = r"[a-zA-Z][a-zA-Z0-9_./:-]{2,}"
 SECRET = r"\bsk-test-[A-Za-z0-9]{16,}\b"
 
@@ -112,7 +113,7 @@ _TRIM = "._-/:@;,'\"`()[]{}"
 
 
 def business_keys(text: Column) -> Column:
-    """Typed ids of ``key=value`` fields: of users, projects and organisations."""
+    """Typed ids of ``key=value`` fields and of named objects: of users, projects and organisations."""
     pairs = F.transform(F.regexp_extract_all(text, F.lit(KEY_VALUE), 0), lambda m: F.struct(F.substring_index(m, "=", 1).alias("k"), F.btrim(F.lower(F.substr(m, F.instr(m, "=") + 1)), F.lit(_TRIM)).alias("v")))
     pairs = F.filter(pairs, lambda p: (F.char_length(p["v"]) >= 3) & (F.char_length(p["v"]) <= 120))
 
@@ -129,7 +130,10 @@ def business_keys(text: Column) -> Column:
             )
         )
 
-    return F.array_distinct(F.flatten(F.transform(pairs, typed)))
+    objects = F.zip_with(F.regexp_extract_all(text, F.lit(BUSINESS_OBJECT), 1), F.regexp_extract_all(text, F.lit(BUSINESS_OBJECT), 2), lambda k, v: F.struct(F.lower(k).alias("k"), F.btrim(F.lower(v), F.lit(_TRIM)).alias("v")))
+    objects = F.filter(objects, lambda p: (F.char_length(p["v"]) >= 3) & (F.char_length(p["v"]) <= 120))
+    named = F.transform(objects, lambda p: F.concat(F.lit("business_project:"), p["k"], F.lit(":"), p["v"]))
+    return F.array_distinct(F.concat(F.flatten(F.transform(pairs, typed)), named))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -141,23 +145,23 @@ def word_list(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(WORD), 0), lambda w: F.lower(w))
 
 
-def words(text: Column, most: int = MAX_WORDS) -> Column:
-    """Normalised distinct words: trimmed, 3 to 80 characters, the last part of paths, no stop words."""
+def words(text: Column, most: int | None = MAX_WORDS) -> Column:
+    """Normalised distinct words (all of them with ``most=None``): trimmed, 3 to 80 characters, the last part of paths, no stop words."""
     trimmed = F.transform(word_list(text), lambda w: F.btrim(w, F.lit("._:-/")))
     sized = F.filter(trimmed, lambda w: (F.char_length(w) >= 3) & (F.char_length(w) <= 80))
     rooted = lambda w: F.startswith(w, F.lit("/workspace/")) | F.startswith(w, F.lit("/home/")) | F.startswith(w, F.lit("/tmp/"))
     tails = F.transform(sized, lambda w: F.when(F.contains(w, F.lit("/")) & ~rooted(w), F.substring_index(w, "/", -1)).otherwise(w))
     kept = F.filter(tails, lambda w: (w != "") & ~w.isin(*STOP_WORDS))
-    return F.slice(F.array_distinct(kept), 1, most)
+    return F.array_distinct(kept) if most is None else F.slice(F.array_distinct(kept), 1, most)
 
 
-def shingles(text: Column, size: int = 5, most: int = MAX_SHINGLES, hashed: bool = False) -> Column:
-    """Distinct runs of ``size`` words in order, at most ``most``; fewer words than that are their own shingles."""
+def shingles(text: Column, size: int = 5, most: int | None = MAX_SHINGLES, hashed: bool = False) -> Column:
+    """Distinct runs of ``size`` words in order, at most ``most`` (all with None); fewer words than that are their own shingles."""
     runs = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(t) - (size - 1))), lambda i: F.array_join(F.slice(t, i, size), " "))
     out = let(word_list(text), lambda t: F.when(F.size(t) < size, t).otherwise(runs(t)))
     if hashed:
         out = F.transform(out, lambda s: F.xxhash64(s))
-    return F.slice(F.array_distinct(out), 1, most)
+    return F.array_distinct(out) if most is None else F.slice(F.array_distinct(out), 1, most)
 
 
 def signatures(word_array: Column, bands: int = 8) -> Column:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running_sum
+
 
 def pairs_of(n: Column) -> Column:
     """Number of pairs of n things."""
@@ -172,11 +174,7 @@ def ks_statistic(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     u = a.select(F.col(column).cast("double").alias("v"), F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(b.select(F.col(column).cast("double").alias("v"), F.lit(0).alias("x"), F.lit(1).alias("y"))).where("v is not null")
     each = u.groupBy("v").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
     total = each.agg(F.sum("x").alias("tx"), F.sum("y").alias("ty"))
-    ranged = each.repartitionByRange("v").withColumn("piece", F.spark_partition_id())
-    pieces = ranged.groupBy("piece").agg(F.sum("x").alias("px"), F.sum("y").alias("py"))
-    before = pieces.select("piece", *[F.coalesce(F.sum(c).over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"b{c}") for c in ("px", "py")])
-    w = Window.partitionBy("piece").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    run = ranged.join(before, "piece").select((F.sum("x").over(w) + F.col("bpx")).alias("cx"), (F.sum("y").over(w) + F.col("bpy")).alias("cy"))
+    run = running_sum(running_sum(each, ["v"], [], "x", "cx"), ["v"], [], "y", "cy")
     return run.crossJoin(total).agg(F.coalesce(F.max(F.abs(F.col("cx") / F.col("tx") - F.col("cy") / F.col("ty"))), F.lit(0.0)).alias("ks_statistic"))
 
 

@@ -17,6 +17,7 @@ from ..functions.handles import stable_handles
 from ..scratch import Scratch
 from . import blocking as B
 from .components import components
+from .ordered import numbered, running_max, running_sum
 from .requests import canonical_requests, request_text
 
 LEVELS = ("session", "user", "project", "org")
@@ -90,9 +91,14 @@ def _labels(method: str, features: DataFrame, **columns: Column) -> DataFrame:
     return features.select(F.lit(method).alias("method"), "request_id", spread.alias("s")).select("method", "s.level", "request_id", "s.label")
 
 
-def _components(method: str, level: str, links: DataFrame, features: DataFrame) -> DataFrame:
-    found = components(links, features.select(F.col("request_id").alias("id")))
-    return found.select(F.lit(method).alias("method"), F.lit(level).alias("level"), F.col("id").alias("request_id"), "label")
+def _components(method: str, links: dict[str, DataFrame], features: DataFrame) -> DataFrame:
+    """Labels of every request at the levels of ``links``; all levels are contracted together, the level being part of the vertex."""
+    key = lambda level, c: F.concat(F.lit(f"{level}\t"), F.col(c))
+    edges = reduce(DataFrame.unionByName, [d.select(key(level, "u").alias("u"), key(level, "v").alias("v")) for level, d in links.items()])
+    spread = features.select(F.explode(F.array(*[key(level, "request_id") for level in links])).alias("id"))
+    found = components(edges, spread)
+    part = lambda c, n: F.split(c, "\t", 2)[n]
+    return found.select(F.lit(method).alias("method"), part("id", 0).alias("level"), part("id", 1).alias("request_id"), part("label", 1).alias("label"))
 
 
 def temporal(features: DataFrame) -> DataFrame:
@@ -119,28 +125,52 @@ def rare(features: DataFrame) -> DataFrame:
     """Links by rare values alone: traces, user names, repositories, and what names an organisation."""
     orgish = F.filter("identifiers", lambda v: F.contains(v, F.lit("-")) & ~F.startswith(v, F.lit("trace-")))
     values = {"session": (F.col("traces"), 12), "user": (F.col("usernames"), 500), "project": (_starting(F.col("identifiers"), "repo_full:"), 2000), "org": (F.concat(F.col("domains"), _starting(F.col("identifiers"), "repo_owner:"), orgish), 2000)}
-    return reduce(DataFrame.unionByName, [_components("rare", level, B.star_edges(B.postings(features, v), cap), features) for level, (v, cap) in values.items()])
+    return _components("rare", {level: B.star_edges(B.postings(features, v), cap) for level, (v, cap) in values.items()}, features)
 
 
-def pair_scores(pairs: DataFrame, features: DataFrame) -> DataFrame:
-    """Candidate pairs with their overlaps, similarities and time gap."""
-    a = features.select(*[F.col(c).alias(f"a_{c}") for c in features.columns])
-    b = features.select(*[F.col(c).alias(f"b_{c}") for c in features.columns])
-    both = pairs.select("left", "right").join(a, F.col("left") == F.col("a_request_id")).join(b, F.col("right") == F.col("b_request_id"))
+#: Columns of a feature row that each score of a pair needs.
+_SCORES = {
+    "gap": ("minute",), "jaccard": ("shingles",), "containment": ("shingles",), "ids": ("identifiers",), "trace": ("traces",), "domain": ("domains",), "user": ("usernames",), "sem": ("signatures",),
+    "repo": ("identifiers",), "owner": ("identifiers",), "biz_user": ("identifiers",), "biz_project": ("identifiers",), "biz_org": ("identifiers",),
+    "same_tool": ("tool_fp",), "same_system": ("system_fp",), "same_cache": ("bucket",), "length_ratio": ("token_count",),
+}
+
+
+def pair_scores(pairs: DataFrame, features: DataFrame, scores: tuple[str, ...] = tuple(_SCORES), least: Column | None = None) -> DataFrame:
+    """Candidate pairs with the asked ones of their overlaps, similarities and time gap.
+
+    Only the features that the scores need move.  ``least``: a condition on the
+    light scores (all but the similarities of shingles); pairs that fail it are
+    out before the shingles, the bulk of a feature row, are joined at all.
+    """
+    light = tuple(x for x in scores if x not in ("jaccard", "containment"))
+    heavy = tuple(x for x in scores if x in ("jaccard", "containment"))
+    if least is not None and heavy:
+        kept = _scored(pairs, features, light, ()).where(least)
+        return _scored(kept, features, heavy, light)
+    return _scored(pairs, features, scores, ())
+
+
+def _scored(pairs: DataFrame, features: DataFrame, scores: tuple[str, ...], carry: tuple[str, ...]) -> DataFrame:
+    needs = sorted({c for x in scores for c in _SCORES[x]})
+    a = features.select(F.col("request_id").alias("left"), *[F.col(c).alias(f"a_{c}") for c in needs])
+    b = features.select(F.col("request_id").alias("right"), *[F.col(c).alias(f"b_{c}") for c in needs])
+    both = pairs.select("left", "right", *carry).join(a, "left").join(b, "right")
     col = lambda side, name: F.col(f"{side}_{name}")
     over = lambda f: X.overlap(f("a"), f("b"))
-    ids = lambda s: not_stable(col(s, "identifiers"))
-    starts = lambda *p: lambda s: _starting(col(s, "identifiers"), *p)
-    small = F.when(F.size("a_shingles") <= F.size("b_shingles"), F.size("a_shingles")).otherwise(F.size("b_shingles"))
+    starts = lambda *p: over(lambda s: _starting(col(s, "identifiers"), *p))
+    small = F.least(F.size("a_shingles"), F.size("b_shingles"))
     shared = F.size(F.array_intersect("a_shingles", "b_shingles"))
-    return both.select(
-        "left", "right", F.abs(F.col("a_minute") - F.col("b_minute")).alias("gap"),
-        X.jaccard(F.col("a_shingles"), F.col("b_shingles")).alias("jaccard"), F.when(small > 0, shared / small).otherwise(0.0).alias("containment"),
-        over(ids).alias("ids"), over(lambda s: col(s, "traces")).alias("trace"), over(lambda s: col(s, "domains")).alias("domain"), over(lambda s: col(s, "usernames")).alias("user"), over(lambda s: col(s, "signatures")).alias("sem"),
-        over(starts("repo_full:")).alias("repo"), over(starts("repo_owner:")).alias("owner"), over(starts("business_user:")).alias("biz_user"), over(starts("business_project:")).alias("biz_project"), over(starts("business_org:")).alias("biz_org"),
-        (F.col("a_tool_fp") == F.col("b_tool_fp")).alias("same_tool"), (F.col("a_system_fp") == F.col("b_system_fp")).alias("same_system"), (F.col("a_bucket") == F.col("b_bucket")).alias("same_cache"),
-        (F.least("a_token_count", "b_token_count") / F.greatest(F.lit(1), F.col("a_token_count"), F.col("b_token_count"))).alias("length_ratio"),
-    )
+    union = F.size("a_shingles") + F.size("b_shingles") - shared  # the arrays are distinct
+    found = {
+        "gap": lambda: F.abs(F.col("a_minute") - F.col("b_minute")),
+        "jaccard": lambda: F.when(small > 0, shared / union).otherwise(0.0), "containment": lambda: F.when(small > 0, shared / small).otherwise(0.0),
+        "ids": lambda: over(lambda s: not_stable(col(s, "identifiers"))), "trace": lambda: over(lambda s: col(s, "traces")), "domain": lambda: over(lambda s: col(s, "domains")), "user": lambda: over(lambda s: col(s, "usernames")), "sem": lambda: over(lambda s: col(s, "signatures")),
+        "repo": lambda: starts("repo_full:"), "owner": lambda: starts("repo_owner:"), "biz_user": lambda: starts("business_user:"), "biz_project": lambda: starts("business_project:"), "biz_org": lambda: starts("business_org:"),
+        "same_tool": lambda: F.col("a_tool_fp") == F.col("b_tool_fp"), "same_system": lambda: F.col("a_system_fp") == F.col("b_system_fp"), "same_cache": lambda: F.col("a_bucket") == F.col("b_bucket"),
+        "length_ratio": lambda: F.least("a_token_count", "b_token_count") / F.greatest(F.lit(1), F.col("a_token_count"), F.col("b_token_count")),
+    }
+    return both.select("left", "right", *carry, *[found[x]().alias(x) for x in scores])
 
 
 def _flag(c: Column) -> Column:
@@ -175,63 +205,91 @@ def ambiguous_accounts(anchors: DataFrame) -> DataFrame:
     return seen.where("n <> 1").select("anchor")
 
 
-def percolation_links(features: DataFrame, level: str) -> DataFrame:
-    """Request-anchor links of a level over all buckets, ambiguous anchors left out.
+def percolation_links(features: DataFrame, levels: tuple[str, ...] = LEVELS[1:]) -> dict[str, DataFrame]:
+    """Request-anchor links of each level over all buckets, ambiguous anchors left out.
 
     A stable handle that joins several components of business anchors is
     ambiguous too.  Anchors are vertices, so a hot one costs as many links as
-    it has requests.
+    it has requests.  The components of all levels are found together.
     """
-    anchors = features.select("request_id", F.explode(F.array_distinct(_starting(F.col("identifiers"), f"business_{level}:", f"stable_{level}:"))).alias("anchor"))
-    if level == "user":
-        anchors = anchors.join(ambiguous_accounts(anchors), "anchor", "left_anti")
+    spread = F.explode(F.array(*[F.struct(F.lit(level).alias("level"), F.array_distinct(_starting(F.col("identifiers"), f"business_{level}:", f"stable_{level}:")).alias("anchors")) for level in levels]))
+    anchors = Scratch(features.sparkSession, "anchors").save(features.select("request_id", spread.alias("s")).select("request_id", "s.level", F.explode("s.anchors").alias("anchor")), "anchors")
+    anchors = anchors.join(ambiguous_accounts(anchors.where("level = 'user'")), "anchor", "left_anti")
     business = anchors.where(F.startswith("anchor", F.lit("business_")))
     stable = anchors.where(F.startswith("anchor", F.lit("stable_")))
-    parts = components(business.select(F.concat(F.lit("r\t"), "request_id").alias("u"), F.concat(F.lit("a\t"), "anchor").alias("v"))).select(F.col("id"), "label")
-    met = stable.join(parts, F.concat(F.lit("r\t"), "request_id") == F.col("id")).groupBy("anchor").agg(F.count_distinct("label").alias("n"))
-    stable = stable.join(met.where("n > 1").select("anchor"), "anchor", "left_anti")
-    return business.unionByName(stable).select(F.concat(F.lit("r\t"), "request_id").alias("u"), F.concat(F.lit("a\t"), "anchor").alias("v"))
+    request = F.concat_ws("\t", "level", F.lit("r"), "request_id")
+    parts = components(business.select(request.alias("u"), F.concat_ws("\t", "level", F.lit("a"), "anchor").alias("v"))).select(F.col("id"), "label")
+    met = stable.join(parts, request == F.col("id")).groupBy("level", "anchor").agg(F.count_distinct("label").alias("n"))
+    stable = stable.join(met.where("n > 1").select("level", "anchor"), ["level", "anchor"], "left_anti")
+    links = business.unionByName(stable).select("level", F.concat(F.lit("r\t"), "request_id").alias("u"), F.concat(F.lit("a\t"), "anchor").alias("v"))
+    return {level: links.where(F.col("level") == level).select("u", "v") for level in levels}
+
+
+_CONTEXT_SCORES = ("gap", "ids", "repo", "jaccard", "containment")
+_REFINE_SCORES = ("gap", "ids", "sem", "user", "repo", "biz_project", "domain", "owner", "biz_org", "biz_user", "jaccard")
+
+
+def _telling(c: str = "identifiers") -> Column:
+    return F.concat(informative(F.col(c)), _starting(F.col(c), "business_"), F.col("traces"), F.col("domains"))
+
+
+def semantic_stage(f: DataFrame, budget: int = PAIRS_PER_REQUEST) -> DataFrame:
+    """Links of pairs that share a signature within a cache bucket."""
+    pairs = B.bounded_pairs(B.postings(f, F.col("signatures"), F.col("bucket")), SEMANTIC_BUCKET, budget)
+    return semantic_links(pair_scores(pairs, f, ("gap", "ids", "sem", "jaccard"), (F.col("sem") >= 2) & (F.col("ids") >= 3) & (F.col("gap") <= 90)))
+
+
+def context_stage(f: DataFrame, budget: int = PAIRS_PER_REQUEST) -> DataFrame:
+    """Links of pairs that share a shingle within a cache bucket."""
+    pairs = B.bounded_pairs(B.postings(f, F.col("shingles"), F.col("bucket")), CONTEXT_BUCKET, budget)
+    return context_links(pair_scores(pairs, f, _CONTEXT_SCORES, (F.col("ids") >= 2) & (F.col("repo") >= 1) & (F.col("gap") <= 180)))
+
+
+def refine_stage(f: DataFrame, budget: int = PAIRS_PER_REQUEST) -> DataFrame:
+    """Scored pairs that share a telling value within a cache bucket."""
+    return lowcost_scores(pair_scores(B.bounded_pairs(B.postings(f, _telling(), F.col("bucket")), REFINE_BUCKET, budget), f, _REFINE_SCORES))
+
+
+def _uv(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("left").alias("u"), F.col("right").alias("v"))
 
 
 def low_cost(features: DataFrame, budget: int = PAIRS_PER_REQUEST) -> DataFrame:
     """The low-cost method: rare, semantic, context and refine links within cache buckets, then percolation over all.
 
     Candidate pairs are bounded by bucket caps and a budget a request, and
-    scored once for all levels.
+    scored once for all levels; all levels are contracted together.
     """
     scratch = Scratch(features.sparkSession, "lowcost")
     f = scratch.save(features, "features")
-    block = F.col("bucket")
-    links: dict[str, list[DataFrame]] = {level: [B.star_edges(B.postings(f, _rare_values(level), block), cap)] for level, cap in RARE_BUCKETS.items()}
-    sem = pair_scores(B.bounded_pairs(B.postings(f, F.col("signatures"), block), SEMANTIC_BUCKET, budget), f)
-    ctx = pair_scores(B.bounded_pairs(B.postings(f, F.col("shingles"), block), CONTEXT_BUCKET, budget), f)
-    telling = F.concat(informative(F.col("identifiers")), _starting(F.col("identifiers"), "business_"), F.col("traces"), F.col("domains"))
-    refine = scratch.save(lowcost_scores(pair_scores(B.bounded_pairs(B.postings(f, telling, block), REFINE_BUCKET, budget), f)), "refine")
-    uv = lambda d: d.select(F.col("left").alias("u"), F.col("right").alias("v"))
-    links["session"] += [uv(semantic_links(sem)), uv(context_links(ctx))]
+    links = {level: [B.star_edges(B.postings(f, _rare_values(level), F.col("bucket")), cap)] for level, cap in RARE_BUCKETS.items()}
+    links["session"] += [_uv(semantic_stage(f, budget)), _uv(context_stage(f, budget))]
+    refine = scratch.save(refine_stage(f, budget).where(" or ".join(f"link_{level}" for level in LEVELS)), "refine")
+    anchored = percolation_links(f)
+    tag = lambda c: F.concat(F.lit("r\t"), F.col(c)).alias(c)
+    edges = {}
     for level in LEVELS:
-        links[level].append(uv(refine.where(f"link_{level}")))
-    out = []
-    for level in LEVELS:
-        local = reduce(DataFrame.unionByName, links[level]).distinct()
-        if level != "session":
-            tagged = local.select(F.concat(F.lit("r\t"), "u").alias("u"), F.concat(F.lit("r\t"), "v").alias("v")).unionByName(percolation_links(f, level))
-            found = components(tagged).where(F.startswith("id", F.lit("r\t"))).select(F.substring("id", 3, 1_000_000).alias("request_id"), "label")
-            least = found.groupBy("label").agg(F.min("request_id").alias("least"))
-            named = found.join(least, "label").select("request_id", F.col("least").alias("label"))
-            out.append(f.select("request_id").join(named, "request_id", "left").select(F.lit("low_cost").alias("method"), F.lit(level).alias("level"), "request_id", F.coalesce("label", "request_id").alias("label")))
-        else:
-            out.append(_components("low_cost", level, local, f))
-    return reduce(DataFrame.unionByName, out)
+        local = reduce(DataFrame.unionByName, [*links[level], _uv(refine.where(f"link_{level}"))]).select(tag("u"), tag("v"))
+        edges[level] = local.unionByName(anchored[level]) if level in anchored else local
+    tagged = f.select(F.concat(F.lit("r\t"), "request_id").alias("request_id"))
+    found = _components("low_cost", edges, tagged)
+    # the label is the smallest request of the component; anchors sort before requests, so it is taken among requests
+    found = scratch.save(found, "found")
+    kind = lambda c: F.substring_index(c, "\t", 1)
+    bare = lambda c: F.substr(c, F.instr(c, "\t") + 1)
+    named = found.where(kind("request_id") == "r").select("method", "level", bare("request_id").alias("request_id"), F.col("label").alias("part"))
+    least = named.groupBy("level", "part").agg(F.min("request_id").alias("label"))
+    return named.join(least, ["level", "part"]).select("method", "level", "request_id", "label")
 
 
 def prefix(features: DataFrame, cap: int = 40) -> DataFrame:
     """Links of pairs that share a shingle, by similarity and what else they share."""
     scratch = Scratch(features.sparkSession, "prefix")
-    s = scratch.save(pair_scores(B.candidate_pairs(B.postings(features, F.col("shingles")), cap), features), "scored")
+    f = scratch.save(features, "features")
+    s = scratch.save(pair_scores(B.candidate_pairs(B.postings(f, F.col("shingles")), cap), f, ("jaccard", "ids", "repo", "domain")), "scored")
     c = F.col
     rules = {"session": c("jaccard") >= 0.22, "user": (c("jaccard") >= 0.12) & (c("ids") >= 3), "project": (c("jaccard") >= 0.08) & (c("repo") >= 1), "org": (c("jaccard") >= 0.08) & (c("domain") + c("ids") >= 3)}
-    return reduce(DataFrame.unionByName, [_components("prefix", level, s.where(rule).select(c("left").alias("u"), c("right").alias("v")), features) for level, rule in rules.items()])
+    return _components("prefix", {level: _uv(s.where(rule)) for level, rule in rules.items()}, f)
 
 
 def hybrid_scores(scored: DataFrame) -> DataFrame:
@@ -249,38 +307,73 @@ def hybrid_scores(scored: DataFrame) -> DataFrame:
     return out.withColumns({"link_session": F.coalesce((c("trace") > 0) | strong | alike, F.lit(False)), "link_user": c("user_score") >= 1.8, "link_project": c("repo") > 0, "link_org": (c("domain") > 0) & (c("org_score") >= 2.0)})
 
 
+def hybrid_pairs(features: DataFrame) -> DataFrame:
+    """Scored pairs that share a telling value, with the link of each level."""
+    telling = F.concat(informative(F.col("identifiers")), F.col("traces"), F.col("domains"), F.col("usernames"))
+    return hybrid_scores(pair_scores(B.candidate_pairs(B.postings(features, telling), 15), features, ("gap", "jaccard", "ids", "trace", "domain", "user", "repo", "same_tool", "same_system", "length_ratio")))
+
+
 def hybrid(features: DataFrame) -> DataFrame:
     """Stars of rare values and scored pairs of informative ones."""
     scratch = Scratch(features.sparkSession, "hybrid")
-    telling = F.concat(informative(F.col("identifiers")), F.col("traces"), F.col("domains"), F.col("usernames"))
-    s = scratch.save(hybrid_scores(pair_scores(B.candidate_pairs(B.postings(features, telling), 15), features)), "scored")
+    f = scratch.save(features, "features")
+    s = scratch.save(hybrid_pairs(f), "scored")
     stars = {"session": [(F.col("traces"), 20)], "user": [(F.col("usernames"), 400)], "project": [(_starting(F.col("identifiers"), "repo_full:"), 1200)], "org": [(F.col("domains"), 1200), (_starting(F.col("identifiers"), "repo_owner:"), 1200)]}
-    out = []
-    for level in LEVELS:
-        links = [B.star_edges(B.postings(features, v), cap) for v, cap in stars[level]] + [s.where(f"link_{level}").select(F.col("left").alias("u"), F.col("right").alias("v"))]
-        out.append(_components("hybrid", level, reduce(DataFrame.unionByName, links), features))
-    return reduce(DataFrame.unionByName, out)
+    links = {level: reduce(DataFrame.unionByName, [B.star_edges(B.postings(f, v), cap) for v, cap in stars[level]] + [_uv(s.where(f"link_{level}"))]) for level in LEVELS}
+    return _components("hybrid", links, f)
+
+
+def hybrid_edges(features: DataFrame, most: int = 200, samples: int = 10) -> DataFrame:
+    """A report of hybrid pairs that link at some level: scores and up to ``samples`` shared values, the first ``most`` by ids (the limit is the feature)."""
+    f = Scratch(features.sparkSession, "edges").save(features, "features")
+    s = hybrid_pairs(f).where(" or ".join(f"link_{level}" for level in LEVELS)).orderBy("left", "right").limit(most)
+    every = lambda tag: f.select(F.col("request_id").alias(tag), F.array_distinct(F.concat(informative(F.col("identifiers")), F.col("traces"), F.col("domains"), F.col("usernames"))).alias(f"{tag}_values"))
+    both = s.join(every("left"), "left").join(every("right"), "right")
+    shared = F.slice(F.array_sort(F.array_intersect("left_values", "right_values")), 1, samples)
+    return both.select("left", "right", "session_score", "user_score", "org_score", *[f"link_{level}" for level in LEVELS], shared.alias("shared"))
 
 
 def context_only(features: DataFrame, budget: int = PAIRS_PER_REQUEST) -> DataFrame:
     """Sessions by context and refine links alone; every request is its own user, project and organisation."""
     scratch = Scratch(features.sparkSession, "context")
     f = scratch.save(features, "features")
-    block = F.col("bucket")
-    ctx = context_links(pair_scores(B.bounded_pairs(B.postings(f, F.col("shingles"), block), CONTEXT_BUCKET, budget), f))
-    telling = F.concat(informative(F.col("identifiers")), _starting(F.col("identifiers"), "business_"), F.col("traces"), F.col("domains"))
-    ref = lowcost_scores(pair_scores(B.bounded_pairs(B.postings(f, telling, block), REFINE_BUCKET, budget), f)).where("link_session")
-    links = ctx.select(F.col("left").alias("u"), F.col("right").alias("v")).unionByName(ref.select(F.col("left").alias("u"), F.col("right").alias("v")))
+    links = _uv(context_stage(f, budget)).unionByName(_uv(refine_stage(f, budget).where("link_session")))
     own = F.col("request_id")
     singles = _labels("context_only", f, session=own, user=own, project=own, org=own).where("level <> 'session'")
-    return _components("context_only", "session", links, f).unionByName(singles)
+    return _components("context_only", {"session": links}, f).unionByName(singles)
+
+
+def _drawn(*parts: Column) -> Column:
+    """A random but fixed order: SHA-256 of the parts."""
+    return F.sha2(F.concat_ws(":", *parts), 256)
 
 
 def random_control(features: DataFrame, seed: int = 7) -> DataFrame:
-    """As many random clusters as the square root of the number of requests (one count)."""
+    """Requests in random order, dealt to as many clusters as the square root of their number (one count)."""
+    order = features.select("request_id", _drawn(F.lit(str(seed)), F.col("request_id")).alias("draw"))
     k = max(1, round(features.count() ** 0.5))
-    label = F.pmod(F.xxhash64("request_id", F.lit(seed)), F.lit(k))
-    return _labels("random", features, session=label, user=label, project=label, org=label)
+    label = (F.col("n") - 1) % k
+    return _labels("random", numbered(order, ["draw", "request_id"]), session=label, user=label, project=label, org=label)
+
+
+def oracle_size_control(features: DataFrame, truth: DataFrame, seed: int = 7) -> DataFrame:
+    """Requests in random order, dealt to clusters of the sizes that the truth has (largest first), at each level.
+
+    ``truth``: ``level``, ``request_id``, ``label``.  Requests without truth are
+    left over and are clusters of their own.
+    """
+    scratch = Scratch(features.sparkSession, "oracle")
+    ids = features.select("request_id").join(truth, "request_id")
+    sizes = scratch.save(numbered(ids.groupBy("level", "label").agg(F.count("*").alias("size")).withColumn("down", -F.col("size")), ["down", "label"], ["level"]), "sizes")
+    ends = running_sum(sizes, ["n"], ["level"], "size", "end").select("level", F.col("n").alias("cluster"), (F.col("end") - F.col("size")).alias("begin"))
+    spread = features.select("request_id", F.explode(F.array(*map(F.lit, LEVELS))).alias("level")).withColumn("draw", _drawn(F.lit(str(seed)), F.col("level"), F.col("request_id")))
+    dealt = numbered(spread, ["draw", "request_id"], ["level"]).select("level", "request_id", (F.col("n") - 1).alias("at"))
+    # a position belongs to the last cluster that begins at or before it; both sides are merged by position
+    both = dealt.select("level", "at", "request_id", F.lit(None).cast("long").alias("cluster"), F.lit(1).alias("k")).unionByName(ends.select("level", F.col("begin").alias("at"), F.lit(None).cast("string").alias("request_id"), "cluster", F.lit(0).alias("k")))
+    total = sizes.groupBy("level").agg(F.sum("size").alias("total"))
+    filled = running_max(both, ["at", "k", "request_id"], ["level"], "cluster", "own").where("k = 1").join(total, "level", "left")
+    label = F.when(F.col("at") < F.coalesce("total", F.lit(0)), F.col("own").cast("string")).otherwise(F.concat(F.lit("alone "), "request_id"))
+    return filled.select(F.lit("oracle_size_random").alias("method"), "level", "request_id", label.alias("label"))
 
 
 METHODS = {"temporal": temporal, "tool": tool, "rare": rare, "prefix": prefix, "hybrid": hybrid, "context_only": context_only, "low_cost": low_cost, "random": random_control}

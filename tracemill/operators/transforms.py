@@ -8,6 +8,7 @@ counts per range piece, so no task numbers the whole corpus.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.features import DOMAIN, IDENTIFIER, PATH, token_count
 from ..functions.instants import instant_millis
 from ..scratch import Scratch
+from .ordered import numbered
 
 # Patterns and texts of the transforms.
 SECRET = r"\b(?:sk|pk|ghp|xoxb|AKIA|ASIA)[-_A-Za-z0-9]{12,}\b"
@@ -66,7 +68,7 @@ def length_bucket(count: Column) -> Column:
 
 def broker_mix(rows: DataFrame, seed: int = 7) -> DataFrame:
     """Instants moved by 0 to 180 minutes, drawn from a hash of request and seed; token counts by bucket."""
-    delay = F.pmod(F.xxhash64("request_id", F.lit(seed)), F.lit(181)) * 60_000
+    delay = F.floor(unit_fraction(F.concat_ws(":", F.lit(str(seed)), "request_id")) * 181).cast("long") * 60_000
     ms = F.col("ms") if "ms" in rows.columns else instant_millis(F.col("timestamp"))
     return rows.withColumn("ms", ms + delay).withColumn("token_count", length_bucket(F.col("token_count")))
 
@@ -101,15 +103,6 @@ def _padded(n: Column, width: int) -> Column:
 
 
 # -- dictionaries by first occurrence --------------------------------------------------
-def _numbered(firsts: DataFrame, kind: str, width: int) -> DataFrame:
-    """``value`` to placeholder, numbered by the order of ``at``; pieces of the range are counted first."""
-    ranged = firsts.repartitionByRange("at").withColumn("piece", F.spark_partition_id())
-    sizes = ranged.groupBy("piece").agg(F.count("*").alias("n"))
-    before = sizes.select("piece", F.coalesce(F.sum("n").over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("piece").orderBy("at", "value"))
-    return ranged.join(before, "piece").select("value", F.concat(F.lit(f"[{kind}_"), _padded(rank + F.col("before"), width), F.lit("]")).alias("placeholder"))
-
-
 def entity_dictionary(rows: DataFrame, pattern: str, kind: str, width: int = 4) -> DataFrame:
     """Placeholders ``[KIND_0001]`` of all distinct matches (in small letters), by first occurrence.
 
@@ -117,29 +110,26 @@ def entity_dictionary(rows: DataFrame, pattern: str, kind: str, width: int = 4)
     """
     each = rows.select("request_id", "ms", F.posexplode("messages").alias("i", "m")).select("request_id", "ms", "i", F.posexplode(F.regexp_extract_all("m.content", F.lit(pattern), 0)).alias("k", "value"))
     firsts = each.groupBy(F.lower("value").alias("value")).agg(F.min(F.struct("ms", "request_id", "i", "k")).alias("at"))
-    return _numbered(firsts, kind, width)
+    return numbered(firsts, ["at", "value"]).select("value", F.concat(F.lit(f"[{kind}_"), _padded(F.col("n"), width), F.lit("]")).alias("placeholder"))
+
+
+def replace_each(text: Column, pattern: str, name: Callable[[Column], Column]) -> Column:
+    """Every match of a pattern by ``name(match)``; the text between matches stays, whatever it holds."""
+    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
+    return F.array_join(F.zip_with(between, found, lambda t, v: F.concat(t, F.coalesce(name(v), v, F.lit("")))), "")
 
 
 def redact_entities(rows: DataFrame, pattern: str, kind: str) -> DataFrame:
     """Replaces all matches of a pattern by the corpus-wide placeholders.
 
-    Contents are split into matches and the text between them; only distinct
-    matches of a request are joined with the dictionary, so texts move once.
+    Only distinct matches of a request are joined with the dictionary, so texts
+    move once.  Null contents stay null.
     """
     words = entity_dictionary(rows, pattern, kind)
     used = rows.select("request_id", F.explode(F.array_distinct(F.flatten(F.transform("messages", lambda m: F.coalesce(F.regexp_extract_all(m["content"], F.lit(pattern), 0), F.array().cast("array<string>")))))).alias("match"))
     named = used.join(words, F.lower("match") == F.col("value")).groupBy("request_id").agg(F.map_from_entries(F.collect_set(F.struct("match", "placeholder"))).alias("names"))
     out = rows.join(named, "request_id", "left")
-    mark = "\u0001"
-
-    def change(c: Column) -> Column:
-        found = F.regexp_extract_all(c, F.lit(pattern), 0)
-        between = F.split(F.regexp_replace(c, pattern, mark), mark, -1)
-        # text and placeholder in turn; contents with the mark itself are left to one more pass
-        parts = F.zip_with(between, found, lambda t, v: F.concat(t, F.coalesce(F.element_at("names", v), v, F.lit(""))))
-        return F.when(c.isNull() | F.col("names").isNull(), c).otherwise(F.array_join(parts, ""))
-
-    changed = map_contents(out.where(F.col("names").isNotNull()), change)
+    changed = map_contents(out.where(F.col("names").isNotNull()), lambda c: replace_each(c, pattern, lambda v: F.element_at("names", v)))
     return changed.drop("names").unionByName(out.where(F.col("names").isNull()).drop("names"))
 
 
@@ -156,17 +146,9 @@ def redact_all_entities(rows: DataFrame) -> DataFrame:
 def pseudonymize_workspaces(rows: DataFrame, scope: str = "stable") -> DataFrame:
     """Workspace slugs by pseudonyms: of the corpus (``stable``) or of the request alone (``request``)."""
     if scope == "request":
-        slugs = F.array_distinct(F.flatten(F.transform("messages", lambda m: F.coalesce(F.transform(F.regexp_extract_all(m["content"], F.lit(r"/workspace/([A-Za-z0-9_.-]+)"), 1), lambda s: F.lower(s)), F.array().cast("array<string>")))))
-        listed = rows.withColumn("slugs", slugs)
+        slugs = F.array_distinct(F.flatten(F.transform("messages", lambda m: F.coalesce(F.transform(F.regexp_extract_all(m["content"], F.lit(WORKSPACE_SLUG), 0), lambda s: F.lower(s)), F.array().cast("array<string>")))))
         name = lambda v: F.concat(F.lit("workspace_"), F.col("request_id"), F.lit("_"), _padded(F.array_position("slugs", F.lower(v)), 3))
-        mark = "\u0001"
-
-        def change(c: Column) -> Column:
-            found = F.regexp_extract_all(c, F.lit(r"/workspace/([A-Za-z0-9_.-]+)"), 1)
-            between = F.split(F.regexp_replace(c, WORKSPACE_SLUG, mark), mark, -1)
-            return F.when(c.isNull(), c).otherwise(F.array_join(F.zip_with(between, found, lambda t, v: F.concat(t, F.coalesce(name(v), F.lit("")))), ""))
-
-        return map_contents(listed, change).drop("slugs")
+        return map_contents(rows.withColumn("slugs", slugs), lambda c: replace_each(c, WORKSPACE_SLUG, name)).drop("slugs")
     renamed = redact_entities(rows, WORKSPACE_SLUG, "WORKSPACE")
     return map_contents(renamed, lambda c: F.regexp_replace(c, r"/workspace/\[WORKSPACE_(\d+)\]", "/workspace/workspace_$1"))
 
@@ -197,8 +179,8 @@ def turn_deltas(rows: DataFrame, group: str, order: str) -> DataFrame:
 
 
 def hash_sample(rows: DataFrame, key: str, k: int, seed: int = 7) -> DataFrame:
-    """k rows of smallest hash: uniform, the same in every run, no shuffle of whole rows before the cut."""
-    return rows.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key).limit(k)
+    """k rows of smallest hash (SHA-256 of seed and key): uniform, the same in every run, no shuffle of whole rows before the cut."""
+    return rows.orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256), key).limit(k)
 
 
 # -- anchors under stress ----------------------------------------------------------------
@@ -223,18 +205,26 @@ def collide_anchors(anchors: DataFrame, share: float, buckets: int = 16, seed: i
 
 
 # -- spans with lineage ------------------------------------------------------------------
-CATEGORIES = (("workspace", r"/workspace/[A-Za-z0-9_.-]+"), ("domain", r"\b(?:[a-z0-9-]+\.)+(?:internal|local|prod|corp)\b"), ("email", r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"), ("handle", r"\b(?:order|user|case|ticket)_[A-Za-z0-9]{4,}\b"))
+# The categories of spans and their patterns.
+CATEGORIES = {
+    "workspace": r"(?<=/workspace/)[A-Za-z0-9_.-]+",
+    "repository": r"(?<=repository=)[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+",
+    "domain": r"(?i)\b(?:[a-z0-9-]+\.)+(?:internal|local|prod|corp)\b",
+    "typed_handle": r"(?i)\b(?:user|customer|account|order|reservation|booking|case|ticket|tenant|organization|org|project|queue|product|item|flight)[_-](?=[A-Za-z0-9_.:/@-]*\d)[A-Za-z0-9][A-Za-z0-9_.:/@-]{3,}\b",
+}
 
 
-def span_edits(rows: DataFrame) -> DataFrame:
-    """Non-overlapping spans of all categories: request, message, category, start, end, original.
+def span_edits(rows: DataFrame, categories: tuple[str, ...] = tuple(CATEGORIES)) -> DataFrame:
+    """Non-overlapping spans of the categories: request, message, category, start, end, original, source hash.
 
     Native functions give no positions, so this is an Arrow function over the
-    contents.  Candidates are taken by start, then the longest, then category.
+    contents that can hold a span at all.  Candidates are taken by start, then
+    the longest, then category.  Null contents and messages give none.
     """
-    import re
-
-    compiled = [(name, re.compile(p)) for name, p in CATEGORIES]
+    unknown = [c for c in categories if c not in CATEGORIES]
+    if unknown:
+        raise ValueError(f"unknown categories: {unknown}")
+    compiled = [(name, re.compile(CATEGORIES[name])) for name in categories]
 
     @F.pandas_udf("array<struct<category:string,start:int,end:int,original:string>>")
     def spans(texts: pd.Series) -> pd.Series:
@@ -251,20 +241,32 @@ def span_edits(rows: DataFrame) -> DataFrame:
 
         return texts.map(one)
 
-    each = rows.select("request_id", "ms", F.posexplode("messages").alias("message_index", "m")).select("request_id", "ms", "message_index", F.explode(spans(F.col("m.content"))).alias("s"))
-    return each.select("request_id", "ms", "message_index", "s.*")
+    any_of = "|".join(f"(?:{CATEGORIES[c]})" for c in categories)
+    each = rows.select("request_id", "ms", F.posexplode("messages").alias("message_index", "m")).where(F.col("m.content").rlike(any_of))
+    each = each.select("request_id", "ms", "message_index", F.sha2("m.content", 256).alias("source_hash"), F.explode(spans(F.col("m.content"))).alias("s"))
+    return each.select("request_id", "ms", "message_index", "source_hash", "s.*")
 
 
-def span_lineage(rows: DataFrame) -> DataFrame:
-    """Edits with corpus-wide replacements (``order_p000001``), numbered within each category by first occurrence."""
-    edits = span_edits(rows)
-    firsts = edits.groupBy("category", "original").agg(F.min(F.struct("ms", "request_id", "message_index", "start")).alias("at"))
-    names = None
-    for category, _ in CATEGORIES:
-        n = _numbered(firsts.where(F.col("category") == category).select(F.col("original").alias("value"), "at"), category, 6)
-        n = n.select(F.lit(category).alias("category"), F.col("value").alias("original"), F.regexp_replace("placeholder", r"^\[(\w+)_(\d+)\]$", "$1_p$2").alias("replacement"))
-        names = n if names is None else names.unionByName(n)
-    return edits.join(names, ["category", "original"])
+def span_lineage(rows: DataFrame, scope: str = "dataset", categories: tuple[str, ...] = tuple(CATEGORIES)) -> DataFrame:
+    """Edits with replacements, numbered within each category by first occurrence.
+
+    ``scope``: equal originals (in any case) get one replacement in the whole
+    log (``dataset``) or in each request (``request``).
+    """
+    if scope not in ("dataset", "request"):
+        raise ValueError(f"unknown scope: {scope}")
+    own = F.col("request_id") if scope == "request" else F.lit("")
+    edits = Scratch(rows.sparkSession, "edits").save(span_edits(rows, categories).withColumns({"scope": own, "value": F.lower("original")}), "edits")
+    firsts = edits.groupBy("scope", "category", "value").agg(F.min(F.struct("ms", "request_id", "message_index", "start")).alias("at"))
+    names = numbered(firsts, ["at", "scope", "value"], ["category"])
+    four, six = _padded(F.col("n"), 4), _padded(F.col("n"), 6)
+    replacement = (
+        F.when(F.col("category") == "workspace", F.concat(F.lit("workspace_"), four))
+        .when(F.col("category") == "repository", F.concat(F.lit("owner_"), four, F.lit("/repo_"), four))
+        .when(F.col("category") == "domain", F.concat(F.lit("service-"), four, F.lit(".internal")))
+        .otherwise(F.concat(F.regexp_extract("value", "^[^_-]*", 0), F.lit("_p"), six))
+    )
+    return edits.join(names.select("scope", "category", "value", replacement.alias("replacement")), ["scope", "category", "value"]).drop("scope", "value")
 
 
 def apply_edits(rows: DataFrame, edits: DataFrame) -> DataFrame:
@@ -273,3 +275,68 @@ def apply_edits(rows: DataFrame, edits: DataFrame) -> DataFrame:
     each = rows.select("request_id", F.posexplode("messages").alias("message_index", "m")).select("request_id", "message_index", F.col("m.content").alias("content"))
     change = F.aggregate("edits", F.col("content"), lambda c, e: F.concat(F.substr(c, F.lit(1), e["start"]), e["replacement"], F.substr(c, e["end"] + 1)))
     return each.join(listed, ["request_id", "message_index"]).select("request_id", "message_index", change.alias("content"))
+
+
+def apply_lineage(rows: DataFrame, edits: DataFrame) -> DataFrame:
+    """The rows with the edited contents in their messages."""
+    changed = apply_edits(rows, edits).groupBy("request_id").agg(F.map_from_entries(F.collect_list(F.struct("message_index", "content"))).alias("changed"))
+    out = rows.join(changed, "request_id", "left")
+    edit = lambda m, i: m.withField("content", F.coalesce(F.element_at("changed", i), m["content"]))
+    return out.withColumn("messages", F.when(F.col("changed").isNull(), F.col("messages")).otherwise(F.transform("messages", edit))).drop("changed")
+
+
+def validate_lineage(source: DataFrame, transformed: DataFrame, edits: DataFrame) -> DataFrame:
+    """One row: requests, edits, characters, edited characters and their share, and how many requests break a rule each.
+
+    Rules: the same requests on both sides; as many messages, with the same
+    roles and names; each edit's original at its place, with its source's hash;
+    the edits applied to the source give the transformed contents.
+    """
+    side = lambda df, tag: df.select("request_id", F.col("messages").alias(f"{tag}_messages"))
+    both = side(source, "a").join(side(transformed, "b"), "request_id", "full")
+    shape = lambda c: F.transform(c, lambda m: F.struct(m["role"].alias("role"), m["name"].alias("name")))
+    a, b = F.coalesce(F.size("a_messages"), F.lit(-1)), F.coalesce(F.size("b_messages"), F.lit(-1))
+    rules = both.agg(
+        F.count("a_messages").alias("_"), F.count_if(F.col("a_messages").isNull() != F.col("b_messages").isNull()).alias("unmatched_requests"),
+        F.count_if(a != b).alias("changed_counts"), F.count_if((a == b) & ~shape("a_messages").eqNullSafe(shape("b_messages"))).alias("changed_shapes"),
+        F.coalesce(F.sum(F.aggregate("a_messages", F.lit(0).cast("long"), lambda n, m: n + F.coalesce(F.char_length(m["content"]), F.lit(0)))), F.lit(0)).alias("source_characters"), F.count("*").alias("requests"),
+    )
+    each = lambda df: df.select("request_id", F.posexplode("messages").alias("message_index", "m")).select("request_id", "message_index", F.col("m.content").alias("content"))
+    places = edits.join(each(source), ["request_id", "message_index"], "left")
+    fits = F.coalesce((F.substring(F.col("content"), F.col("start") + 1, F.col("end") - F.col("start")) == F.col("original")) & (F.sha2("content", 256) == F.col("source_hash")), F.lit(False))
+    declared = places.agg(F.count("*").alias("edits"), F.count_if(~fits).alias("misplaced_edits"), F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).alias("edited_characters"))
+    expected = each(source).join(apply_edits(source, edits).withColumnRenamed("content", "edited"), ["request_id", "message_index"], "left").select("request_id", "message_index", F.coalesce("edited", "content").alias("expected"))
+    wrong = expected.join(each(transformed), ["request_id", "message_index"]).agg(F.count_if(~F.col("expected").eqNullSafe(F.col("content"))).alias("unreproduced_contents"))
+    share = F.when(F.col("source_characters") > 0, F.col("edited_characters") / F.col("source_characters")).otherwise(F.lit(0.0))
+    one = rules.drop("_").crossJoin(declared).crossJoin(wrong)  # three single rows
+    return one.withColumn("edited_share", share)
+
+
+# -- the registry of defences ------------------------------------------------------------
+def _canonical(rows: DataFrame) -> DataFrame:
+    return rows if "ms" in rows.columns else rows.withColumn("ms", instant_millis(F.col("timestamp")))
+
+
+DEFENSES: dict[str, Callable[[DataFrame, int], DataFrame]] = {
+    "M0": lambda rows, seed: rows,
+    "M1": lambda rows, seed: map_contents(rows, filter_secrets),
+    "M2": lambda rows, seed: redact_all_entities(rows),
+    "M3": lambda rows, seed: minimize_context(rows),
+    "M4": lambda rows, seed: broker_mix(rows, seed),
+    "M7_WORKSPACE_STABLE": lambda rows, seed: pseudonymize_workspaces(rows),
+    "M8_WORKSPACE_SESSION": lambda rows, seed: pseudonymize_workspaces(rows, "request"),
+    "M9_PATH_TYPE_ONLY": lambda rows, seed: map_contents(rows, path_type_only),
+}
+#: Defences made of others, in order.
+COMPOSED = {"M6": ("M1", "M2", "M3", "M4")}
+
+
+def apply_defense(rows: DataFrame, name: str, seed: int = 7) -> DataFrame:
+    """A defence by its name, over canonical requests; adds the column ``defense``."""
+    steps = COMPOSED.get(name, (name,))
+    if any(s not in DEFENSES for s in steps):
+        raise ValueError(f"unknown defense: {name}")
+    out = _canonical(rows)
+    for s in steps:
+        out = DEFENSES[s](out, seed)
+    return out.withColumn("defense", F.lit(name))
