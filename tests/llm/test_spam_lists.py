@@ -24,3 +24,24 @@ def test_prose_and_code_are_no_lists():
     assert stuffed_share(prose) == 0
     code = "\n".join(f"def {w}(x):\n    {w}_all = x.{w}(1)" for w in words[:60])
     assert stuffed_share(code) < 0.5
+
+
+def test_rules_by_what_finds_them():
+    from collections import Counter
+
+    from tracemill.llm.spam import stuffed_shares
+
+    links = "\n".join(f"https://{w}.example/{w}" for w in nouns(12))
+    priced = "\n".join(f"{w} €{i}" for i, w in enumerate(nouns(40)))
+    long_list = " ".join(nouns(150) * 2)  # said again in its order, at a lag that no window has
+    rules: Counter = Counter()
+    shares = stuffed_shares([links, priced, long_list, None, ""], rules)
+    assert shares[0] == 1 and shares[1] > 0.5 and shares[2] == 1 and shares[3:] == [0, 0]
+    assert rules["lag"] >= len(links) - 12 and set(rules) <= {"gap", "lag", "list"}
+
+
+def test_links_and_prices_beside_sentences_are_fine():
+    words = nouns(60, 4)
+    linked = "\n".join(f"- https://{words[i]}.example : the {words[i + 1]} of this {words[i + 2]} is told here, and why it was moved." for i in range(0, 57, 3))
+    priced = "\n".join(f"We paid $ {i} for the {words[i]} that was lost when it moved, and the {words[i + 1]} is not yet here." for i in range(50))
+    assert stuffed_share(linked) <= 0.5 and stuffed_share(priced) <= 0.5

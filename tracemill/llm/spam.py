@@ -1,26 +1,33 @@
 r"""Keyword-stuffed and link-list pages.
 
-Method: term recurrence and positional autocorrelation.  A text is cut into
-units (lines, list items, sentences).  Units of links, tags and prices are
-known by their form; units of machine text (code, logs, tables, trees,
-lockfiles) are no stuff.  For the other units the analysis looks at content
-words in order:
-
-* the *recurrence gap* of a word is the distance to its nearest other
-  occurrence; prose repeats a content word after dozens of words, stuffed text
-  within a few;
-* the *positional autocorrelation* is the share of words equal to the one a
-  lag before, at its best lag of a window; lists made from a frame have a lag
-  at which they agree unnaturally often;
-* a unit *without function words* is a phrase; a long run of short phrases in
-  a text without machine text is a noun list: stuff if nearly all its words
-  are distinct, and else with gaps up to the list's own period, the number of
-  its distinct words.
-
-A unit is stuff if most of its content words recur within the gap that its
-kind allows, or agree at the window's lag; a document if more than half of
-its characters are in such units.  Thresholds are fixed, the same at every
-size; no document's result depends on another one.
+Method: term recurrence gaps and positional autocorrelation over lag windows,
+and lists of distinct nouns without function words.
+
+A text becomes one sequence of *terms*: its content words, and *shapes*, which
+stand for whatever has the form of a link, a hash tag, the key of a pair, or a
+price (the form only says which term it is).  Function words and numbers are
+no terms.  Lines of machine text (code, logs, tables, trees, lockfiles) are
+left out.  Three things are measured on the sequence:
+
+* the *recurrence gap* of a word: how far its nearest other occurrence is.
+  Prose repeats a content word after dozens of words, stuffed text within a
+  few.  A word also recurs if it repeats at the same displacement as its
+  neighbour, at whatever lag: a keyword list said again in its order;
+* the *positional autocorrelation* of shapes: in each window of lags, the share
+  of the characters around a unit whose term stands again at one of these
+  lags.  Links, tags, pairs and prices in prose or beside sentences agree
+  with few of the characters around them, lists of them with most;
+* a run of short phrases with hardly a function word is a *noun list*: stuff
+  if many of its words come again in it, at whatever distance, and a long one
+  also if nearly all its words are distinct.
+
+A unit (line, list item, sentence) is stuff if most of its term characters are
+recurring or regular; sentences with function words need recurrence within a
+few words.  A document is stuffed if more than half of its characters are.
+
+Thresholds are fixed and the same at every size; they were set on the labelled
+documents of even id of the smallest three tables.  No document's result
+depends on another one.
 """
 
 from __future__ import annotations
@@ -29,6 +36,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -42,14 +50,22 @@ MORE_THAN = 0.5
 PHRASE_GAP = 60
 #: The same for words of sentences with function words.
 SENTENCE_GAP = 5
-#: Share of a unit's content words that must recur.
+#: Share of a unit's term characters that must recur or be regular.
 RECURRING = 0.5
 #: Share of a long unit's content words that one word alone has only in stuffed text.
 REGULAR = 0.2
-#: Short units, one after the other, that make a list; share of function words that it may have; share of distinct words of a list of distinct ones.
-LIST_UNITS, LIST_FUNCTION, LIST_DISTINCT = 30, 0.02, 0.8
-#: Longest lag of the autocorrelation, in words.
-LAGS = 24
+#: Short units, one after the other, that make a list; share of function words that it may have.
+LIST_UNITS, LIST_FUNCTION = 6, 0.02
+#: Share of a list's words that occur in it more than once in a keyword list; share of distinct words of a list of distinct ones, and the units that it needs.
+LIST_AGAIN, LIST_DISTINCT, DISTINCT_UNITS = 0.15, 0.8, 30
+#: Words that make an item where nothing parts the items.
+ITEM_WORDS = 3
+#: Characters that a word counts for beside the shapes, which count for their own.
+WORD_WEIGHT = 6
+#: Windows of lags (in terms) of the autocorrelation, and terms on either side of a unit over which it is taken.
+LAG_WINDOWS, AROUND = ((1, 4), (5, 8), (9, 16), (17, 32)), 24
+#: Share of the characters around a unit that agree within a window of lags.
+AGREEING = 0.5
 
 #: Function words of English, German, Spanish and French.
 FUNCTION_WORDS = frozenset(
@@ -58,11 +74,9 @@ FUNCTION_WORDS = frozenset(
     el la los las un una unos unas y o pero ni no es son era fue ser está están hay ha han había yo tú él ella nosotros ellos me te se nos le les lo su sus mi de del al a en con sin por para sobre entre desde hasta que como cuando porque si más menos todavía ayer igual todo
     le les des du au aux une et ou mais ne pas est sont était étaient être ont avait je tu il elle nous vous ils elles se ce cette ces son sa ses mon ma mes en dans sur sous avec sans pour par chez vers depuis que qui quoi dont où quand comme si plus moins rien encore hier""".split()
 )
-#: Words of the trade.
-_TRADE = frozenset("buy cheap best top free discount deal deals online sale shop order price review reviews offer offers near me agent 2026 kaufen billig günstig angebot angebote rabatt gutschein versand bestpreis comprar barato oferta ofertas descuento rebajas envío cupón gratis acheter cher promo soldes remise livraison".split())
-
 _URL = re.compile(r"(?:https?:)?//[^\s<>\"')\]|]+|\bwww\.[^\s<>\"')\]|]+")
 _LINK_MARKUP = re.compile(r"<a\s[^>]*>.*?</a>|!?\[[^\]\n]{0,120}\]\([^)\s]*\)", re.I)
+_LINK = re.compile(f"{_LINK_MARKUP.pattern}|{_URL.pattern}", re.I)
 _TAG_PAIR = re.compile(r"(?<![\w:])[a-z]{2,12}:[^\s:/,|;•»]+(?=$|[\s,|;•»/])", re.I)
 _HASHTAG = re.compile(r"(?<![\w&#/])#[^\W\d_][\w-]*")
 _PRICE = re.compile(r"(?:[€$£★✓✔→☆✅]\s?\d[\d.,]*|\d[\d.,]*\s?[€$£])(?!\w)")
@@ -92,138 +106,220 @@ def _parts(line: str) -> Iterator[str]:
         yield part
 
 
-def _links(line: str) -> bool:
-    """A line of links with at most a few words each and no sentence."""
-    n = 0
-    bare, k = _LINK_MARKUP.subn(" ", line)
-    n += k
-    bare, k = _URL.subn(" ", bare)
-    n += k
-    if not n:
-        return False
-    words = [w.lower() for w in _WORD.findall(bare)]
-    return len(words) <= 4 * n and sum(w in FUNCTION_WORDS for w in words) <= n
+#: Terms that stand for a form; words are in small letters, so none is one of these.
+LINK, TAG, KEY, PRICE = "LINK", "TAG", "KEY ", "PRICE"
+_SHAPES = (LINK, TAG, PRICE)
 
 
-def stuffed_share(text: str) -> float:
-    """Share of a text's characters (white space at the ends of units aside) that is stuff."""
-    units: list[tuple[int, int, int, list[str]]] = []  # length, kind, function words, content words
-    brief: list[bool] = []  # of each unit: whether it may be an item of a list
-    total = stuff = machine = 0
-    for line in text.split("\n"):
-        line = line.strip()
-        if not line:
-            continue
-        size = len(line)
-        total += size
-        if "#" in line:
-            tags = _HASHTAG.findall(line)
-            if tags and sum(map(len, tags)) > 0.5 * sum(map(len, line.split())) - 2 * len(tags):
-                stuff += size
-                continue
-        if ("//" in line or "www." in line or "](" in line) and _links(line):
-            stuff += size
-            continue
+class _Unit:
+    """A stretch of text: its characters, whether it is a sentence, its function words, the items of a list that it may be (0: none), and where its terms are."""
+
+    __slots__ = ("length", "sentence", "function", "items", "first", "last")
+
+    def __init__(self, length: int, sentence: bool, function: int, items: int, first: int, last: int):
+        self.length, self.sentence, self.function, self.items, self.first, self.last = length, sentence, function, items, first, last
+
+
+class _Terms:
+    """The term sequence of one text, its units, and its characters in all and in machine lines."""
+
+    def __init__(self, text: str):
+        self.terms: list[str] = []
+        self.weights: list[int] = []
+        self.units: list[_Unit] = []
+        self.total = self.machine = 0
+        for line in text.split("\n"):
+            line = line.strip()
+            if line:
+                self.total += len(line)
+                self._line(line)
+
+    def _words(self, text: str) -> tuple[int, int]:
+        """Adds the content words of a text; how many words and function words it has."""
+        words = _WORD.findall(text.lower())
+        content = [w for w in words if w not in FUNCTION_WORDS and not w.isdigit()]
+        self.terms += content
+        self.weights += [WORD_WEIGHT] * len(content)
+        return len(words), sum([w in FUNCTION_WORDS for w in words]) if len(words) > len(content) else 0
+
+    def _shaped(self, line: str, spans: list[tuple[int, int, str]], most_words: int) -> bool:
+        """A line of shapes with a few words between them, as one unit; False (and nothing added) where it is more than that."""
+        first, words, function, at = len(self.terms), 0, 0, 0
+        for lo, hi, shape in [*spans, (len(line), len(line), "")]:
+            w, f = self._words(line[at:lo])
+            words, function, at = words + w, function + f, hi
+            if shape:
+                self.terms.append(shape)
+                self.weights.append(hi - lo)
+        if words > most_words or function > len(spans):
+            del self.terms[first:], self.weights[first:]
+            return False
+        items = int(not function and spans[0][2] == PRICE)
+        self.units.append(_Unit(len(line), False, function, items, first, len(self.terms)))
+        return True
+
+    def _line(self, line: str) -> None:
+        if "#" in line and (spans := [(m.start(), m.end(), TAG) for m in _HASHTAG.finditer(line)]) and self._shaped(line, spans, len(spans)):
+            return
+        if "//" in line or "www." in line or "](" in line:
+            spans = [(m.start(), m.end(), LINK) for m in _LINK.finditer(line)]
+            if spans and self._shaped(line, spans, 4 * len(spans)):
+                return
         if line.count(":") >= 3:
-            pairs = _TAG_PAIR.findall(line)
-            if len(pairs) >= 3 and sum(map(len, pairs)) > 0.35 * size:
-                keys = Counter(p.partition(":")[0].lower() for p in pairs)
-                if len(keys) <= max(4, len(pairs) // 2):
-                    stuff += size
-                    continue
-        prices = ("$" in line or not line.isascii()) and _PRICE.search(line)
+            pairs = list(_TAG_PAIR.finditer(line))
+            spans = [(m.start(), m.end(), KEY + m.group().partition(":")[0].lower()) for m in pairs]
+            if len(pairs) >= 3 and sum(len(m.group()) for m in pairs) > 0.35 * len(line) and self._shaped(line, spans, 4 * len(spans)):
+                return
+        prices = bool(("$" in line or not line.isascii()) and _PRICE.search(line))
         if not prices and (_MACHINE_START.match(line) or _MARKS.search(line) and _MACHINE.search(line)):
-            machine += size
-            continue
-        rest = size
+            self.machine += len(line)
+            return
+        rest = len(line)
         for part in _parts(line):
-            words = _WORD.findall(part.lower())
-            content = [w for w in words if w not in FUNCTION_WORDS and not w.isdigit()]
-            length = len(part)
-            rest -= length
-            if prices and _PRICE.search(part) and len(words) <= 8:
-                units.append((length, 2, 0, content))
-                brief.append(False)
+            rest -= len(part)
+            if prices and (spans := [(m.start(), m.end(), PRICE) for m in _PRICE.finditer(part)]) and self._shaped(part, spans, 8):
                 continue
-            f = len(words) - len(content) and sum([w in FUNCTION_WORDS for w in words])
-            short = len(words) <= 6 and f <= 1 and not part.endswith((".", "!", "?", ":"))
-            units.append((length, 3 if short or f * 6 <= len(words) else 1, f, content))
-            brief.append(bool(short and content and not _SENTENCE_MARKS.search(part)))
-        if units and rest > 0:
-            a, b, c, d = units[-1]
-            units[-1] = (a + rest, b, c, d)
-    if machine >= (1 - MORE_THAN) * total:  # nothing that is left can be more than half
-        return stuff / total if total else 0.0
-
-    # recurrence gaps and autocorrelation over the content words in order
-    flat = [w for u in units for w in u[3]]
-    gap = [1 << 30] * len(flat)
-    last: dict[str, int] = {}
-    seen = last.get
-    for i, w in enumerate(flat):
-        j = seen(w)
-        if j is not None:
-            gap[i] = d = i - j
-            if d < gap[j]:
-                gap[j] = d
-        last[w] = i
-    at = 0
-    periods = {} if machine else _lists(units, brief)
-    for n, (length, kind, _, content) in enumerate(units):
-        m = len(content)
-        if kind == 2:
-            stuff += length
-        elif kind == 0 or not m:
-            pass
-        elif kind == 3:  # a phrase
-            period = periods.get(n, 0)
-            near = m if period < 0 else sum([g <= max(PHRASE_GAP, period) for g in gap[at : at + m]])
-            trade = sum(w in _TRADE for w in content)
-            if near >= RECURRING * m or trade * 3 >= m or _regular(flat, at, m):
-                stuff += length
-        else:
-            own = gap[at : at + m]
-            near = sum([g <= SENTENCE_GAP for g in own]) if min(own) <= SENTENCE_GAP else 0
-            if near >= RECURRING * m and _thrice(flat, at, m) or m >= 12 and len(set(content)) <= (1 - REGULAR) * m + 1 and max(Counter(content).values()) >= REGULAR * m:
-                stuff += length
-        at += m
-    return stuff / total
-
-
-def _lists(units: list[tuple[int, int, int, list[str]]], brief: list[bool]) -> dict[int, int]:
-    """Units of noun lists, with the list's number of distinct words, or -1 if nearly all are distinct."""
-    out: dict[int, int] = {}
-    start = 0
-    for i in range(len(units) + 1):
-        if i < len(units) and brief[i]:
+            first = len(self.terms)
+            words, function = self._words(part)
+            short = words <= 6 and function <= 1 and not part.endswith((".", "!", "?", ":"))
+            listed = short or not function and not part.endswith((".", "!", "?", ":"))
+            items = max(1, words // ITEM_WORDS) if listed and len(self.terms) > first and not _SENTENCE_MARKS.search(part) else 0
+            self.units.append(_Unit(len(part), not (short or function * 6 <= words), function, items, first, len(self.terms)))
+        if self.units and rest > 0:
+            self.units[-1].length += rest
+
+
+def _recurrence(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each term the distance to its nearest other occurrence (2**40 where there is none), and to the one before it (0 where there is none)."""
+    order = np.argsort(codes, kind="stable")
+    step = np.diff(order)
+    same = codes[order[1:]] == codes[order[:-1]]
+    back = np.zeros(len(codes), np.int64)
+    gap = np.full(len(codes), 1 << 40, np.int64)
+    back[order[1:][same]] = step[same]
+    gap[order[1:][same]] = step[same]
+    earlier = order[:-1][same]
+    gap[earlier] = np.minimum(gap[earlier], step[same])
+    return gap, back
+
+
+def _displaced(back: np.ndarray) -> np.ndarray:
+    """Terms that repeat at the displacement of a neighbour, said first or again."""
+    run = np.zeros(len(back), bool)
+    alike = (back[1:] == back[:-1]) & (back[1:] > 0)
+    run[1:] |= alike
+    run[:-1] |= alike
+    again = np.flatnonzero(run)
+    run[again - back[again]] = True
+    return run
+
+
+def stuffed_shares(texts: list[str | None], rules: Counter | None = None) -> list[float]:
+    """Share of each text's characters (white space at the ends of lines aside) that is stuff; 0 for null and blank.
+
+    ``rules`` counts the characters of stuff by what found them: ``gap``,
+    ``lag`` (displacement and autocorrelation), ``list``, ``sentence``.
+    """
+    docs = [_Terms(t) if t else None for t in texts]
+    # one sequence of all texts; a term is another one in another text, and lags never reach over
+    flat, weights, starts, shape = [], [], [], []
+    code: dict[str, int] = {}
+    taken = 0
+    for d in docs:
+        starts.append(len(flat))
+        if d is None or d.machine >= (1 - MORE_THAN) * d.total:  # what is left can't be more than half
             continue
-        if i - start >= LIST_UNITS:
-            words = [w for u in units[start:i] for w in u[3]]
-            if sum(u[2] for u in units[start:i]) <= LIST_FUNCTION * len(words):
-                distinct = len(set(words))
-                out |= dict.fromkeys(range(start, i), -1 if distinct >= LIST_DISTINCT * len(words) else distinct)
-        start = i + 1
+        code.clear()
+        flat += [code.setdefault(t, taken + len(code)) for t in d.terms]
+        taken += len(code)
+        weights += d.weights
+        shape += [t in _SHAPES or t.startswith(KEY) for t in d.terms]
+    codes, w, shaped = np.asarray(flat, np.int64), np.asarray(weights, np.float64), np.asarray(shape, bool)
+    gap, back = _recurrence(codes)
+    moved = _displaced(back) & ~shaped
+    agree = []
+    for low, high in LAG_WINDOWS:
+        found = np.zeros(len(codes), bool)
+        if shaped.any():
+            for lag in range(low, high + 1):
+                eq = (codes[lag:] == codes[:-lag]) & shaped[lag:]
+                found[lag:] |= eq
+                found[:-lag] |= eq
+        agree.append(found)
+    # running sums of characters: all terms; words near their own kind; these with the shapes that agree, by window of lags
+    sums = lambda x: np.concatenate([[0.0], np.cumsum(x)])
+    near = (gap <= PHRASE_GAP) & ~shaped
+    all_w, near_w, moved_w, agree_w = sums(w), sums(w * near), sums(w * moved), [sums(w * (near | x)) for x in agree]
+    out = []
+    for d, start in zip(docs, starts, strict=True):
+        if d is None or not d.total or d.machine >= (1 - MORE_THAN) * d.total:
+            out.append(0.0)
+            continue
+        end = start + len(d.terms)
+        lists = set() if d.machine else _lists(d)
+        stuff = 0
+        for n, u in enumerate(d.units):
+            a, b = start + u.first, start + u.last
+            if a == b:
+                continue
+            if u.sentence:
+                rule = "sentence" if _repeats(d.terms, gap[a:b], u.first, u.last) else None
+            else:
+                rule = None
+                own = all_w[b] - all_w[a]
+                lo, hi = max(start, a - AROUND), min(end, b + AROUND)
+                most = lambda x, a=a, b=b, own=own: x[b] - x[a] >= RECURRING * own
+                if most(near_w):
+                    rule = "gap"
+                elif most(moved_w) or any(most(x) and x[hi] - x[lo] >= AGREEING * (all_w[hi] - all_w[lo]) for x in agree_w):
+                    rule = "lag"
+                elif n in lists:
+                    rule = "list"
+            if rule:
+                stuff += u.length
+                if rules is not None:
+                    rules[rule] += u.length
+        out.append(stuff / d.total)
     return out
 
 
-def _thrice(flat: list[str], at: int, m: int) -> bool:
-    """Whether a word of the unit occurs three times within a few words."""
-    around = Counter(flat[max(0, at - SENTENCE_GAP) : at + m + SENTENCE_GAP])
-    return any(around[w] >= 3 for w in flat[at : at + m])
+def stuffed_share(text: str) -> float:
+    """The share of one text."""
+    return stuffed_shares([text])[0]
+
+
+def _lists(d: _Terms) -> set[int]:
+    """Units of noun lists: runs of short phrases with hardly a function word, whose words come again or, in a long one, are nearly all distinct."""
+    out: set[int] = set()
+    start = 0
+    for i in range(len(d.units) + 1):
+        if i < len(d.units) and d.units[i].items:
+            continue
+        run = d.units[start:i]
+        items = sum(u.items for u in run)
+        if items >= LIST_UNITS:
+            words = d.terms[run[0].first : run[-1].last]
+            if sum(u.function for u in run) <= LIST_FUNCTION * len(words):
+                seen = Counter(words)
+                again = sum(n for n in seen.values() if n > 1)
+                if again >= LIST_AGAIN * len(words) or items >= DISTINCT_UNITS and len(seen) >= LIST_DISTINCT * len(words):
+                    out.update(range(start, i))
+        start = i + 1
+    return out
 
 
-def _regular(flat: list[str], at: int, m: int) -> bool:
-    """Whether a unit's words agree, at one lag, with those of the window before or after it."""
-    if m < 2:
+def _repeats(terms: list[str], gap: np.ndarray, first: int, last: int) -> bool:
+    """Whether a sentence is a frame for a phrase: most of its words recur at once, one of them three times; or one word has a fifth of a long one."""
+    m = last - first
+    near = int((gap <= SENTENCE_GAP).sum())
+    if not near:
         return False
-    for lag in range(1, LAGS + 1):
-        back = sum(flat[i] == flat[i - lag] for i in range(at, at + m) if i >= lag)
-        if back * 2 >= m:
-            return True
-        ahead = sum(flat[i] == flat[i + lag] for i in range(at, at + m) if i + lag < len(flat))
-        if ahead * 2 >= m:
+    if near >= RECURRING * m:
+        around = Counter(terms[max(0, first - SENTENCE_GAP) : last + SENTENCE_GAP])
+        if any(around[t] >= 3 for t in terms[first:last]):
             return True
-    return False
+    own = terms[first:last]
+    return m >= 12 and len(set(own)) <= (1 - REGULAR) * m + 1 and max(Counter(own).values()) >= REGULAR * m
 
 
 def spam_shares(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,11 +329,10 @@ def spam_shares(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = max(1, int(batch.num_rows * 4_000_000 / max(4_000_000, pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0)))
+            step = max(1, int(batch.num_rows * 2_000_000 / max(2_000_000, pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0)))
             for a in range(0, batch.num_rows, step):
                 part = batch.slice(a, step)
-                shares = [stuffed_share(t) if t else 0.0 for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(shares, pa.float64())], names=[id_col, "share"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(stuffed_shares(part.column("text").to_pylist()), pa.float64())], names=[id_col, "share"])
 
     return documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, share double")
 
