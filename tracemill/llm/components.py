@@ -4,40 +4,35 @@ Method: peel the giant component by frontier breadth-first joins from the
 vertex of highest degree, anti-join it away, and label the remaining small
 components by minimum propagation.
 
-*Peel.*  Each round joins the frontier with the edges and keeps the vertices
-not visited yet.  A frontier of at most ``BROADCAST_ROWS`` counted rows is
-broadcast, so the edges of a hub (perhaps a third of all) never move; a larger
-one is shuffled.  The search ends when the frontier is empty or has become a
-trickle (long tails would cost a round for each step); in the second case the
-visited vertices are contracted into one and the rest is left to propagation,
-so the result never depends on where the search stopped.
-
-*Propagate.*  Each round gives every vertex the smallest vertex (in a random
-but fixed order: by hash) among itself and its neighbours, then replaces both
-ends of each edge by those, dropping loops and doubles.  That keeps
-connectivity and shrinks any graph, paths included, by a constant factor a
-round in expectation.  The maps of the rounds are composed at the end, the
-smallest first, so the whole costs a small multiple of the edges.
+*Peel.*  The links are kept in both directions, written once in buckets of the
+vertex they start from.  Each round joins the frontier with them and takes the
+vertices not visited yet: a neighbour of the frontier is in the frontier, in
+the one before it, or new, so only those two are anti-joined.  The search goes
+on until its frontier is empty, whatever the size of the frontiers.
+
+*Anti-join.*  All links of visited vertices are dropped; what is left has no
+link with them.
+
+*Propagate.*  Each round gives every vertex the smallest label among its own
+and those of its neighbours.  Between rounds labels jump: a vertex takes the
+label that the vertex named by its own label has, so a path of n vertices takes
+about log n rounds and not n.  Labels only fall, and end at the smallest id of
+the component.  Vertices whose neighbourhood is done are not looked at again:
+only links with a label that fell go into the next round.
 
 Every round is a table in the shared folder: lost executors cost no earlier
-round, and plans stay short.  Nothing of the size of the data is collected or
-broadcast; the driver sees counts and one hub.
+round, and plans stay short.  Counts come with the writes.  Nothing of the size
+of the data is collected or broadcast; the driver sees counts, one hub and one
+smallest id.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 
-#: A frontier or map of at most so many rows (about 60 bytes each) is broadcast.
-BROADCAST_ROWS = 50_000
-#: The search ends when a frontier is smaller than this share of the visited.
-TRICKLE = 0.05
-
 
 def _clean(name: str) -> Column:
     t = F.trim(F.col(name).cast("string"))
@@ -55,104 +50,63 @@ def match_links(pair_evidence: DataFrame, link_decision: DataFrame, least_score:
     return a.unionByName(b)
 
 
-def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
-def _both(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-
-
-def _rank(name: str) -> Column:
-    return F.struct(F.xxhash64(name).alias("h"), F.col(name).alias("id"))
-
+def _peel(links: DataFrame, hub: str, scratch: Scratch) -> DataFrame:
+    """The vertices (``u``) of the component of ``hub``, by breadth-first search until the frontier is empty.
 
-def connected_components(links: DataFrame, src: str = "u", dst: str = "v", id_col: str = "request_id", group_col: str = "group_id", max_rounds: int = 12) -> DataFrame:
+    The levels are folders of one table, so the visited are read as one.  The
+    rounds are as many as the steps to the vertex farthest from the hub.
+    """
+    front = scratch.save(links.sparkSession.createDataFrame([(hub,)], "u string"), "visited/level=0")
+    before, n, k = front.limit(0), 1, 0
+    while n:
+        k += 1
+        reached = links.join(front, "u", "left_semi").select(F.col("v").alias("u")).distinct()
+        fresh = reached.join(front.unionByName(before), "u", "left_anti")
+        before = front
+        front, n = scratch.save_counted(fresh, f"visited/level={k}")
+    return links.sparkSession.read.schema("u string").parquet(scratch.path("visited"))
+
+
+def _propagate(links: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """``u``, ``label``: the smallest id of the component of every vertex of ``links`` (both directions); None without links."""
+    labels, n = scratch.save_counted(links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).withColumn("fell", F.lit(True)), "labels0")
+    if not n:
+        return None
+    k = 0
+    while True:
+        k += 1
+        # from every vertex whose label fell to its neighbours; the neighbour's smallest offer
+        moved = labels.where("fell").select("u", "label")
+        offers = links.join(moved, "u").groupBy(F.col("v").alias("u")).agg(F.min("label").alias("offer"))
+        # what the vertex named by the label has by now
+        named = labels.select(F.col("u").alias("label"), F.col("label").alias("jump"))
+        both = labels.join(offers, "u", "left").join(named, "label", "left")
+        least = F.least("label", F.coalesce("offer", "label"), F.coalesce("jump", "label"))
+        last = f"labels{k}"
+        labels, _ = scratch.save_counted(both.select("u", least.alias("label"), (least < F.col("label")).alias("fell")), last)
+        scratch.drop(f"labels{k - 1}")
+        if not labels.where("fell").head(1):
+            return labels.select("u", "label")
+
+
+def connected_components(links: DataFrame, src: str = "u", dst: str = "v", id_col: str = "request_id", group_col: str = "group_id") -> DataFrame:
     """One row per vertex that is linked to another one: its id and the smallest id of its group.
 
     Links are undirected, may repeat, be swapped, or be null or a self pair
     (both ignored).  Ids are compared as strings, byte by byte.  An empty table
     gives an empty result.  Other columns of ``links`` are ignored.
     """
-    spark = links.sparkSession
-    scratch = Scratch(spark, "components")
+    scratch = Scratch(links.sparkSession, "components")
     pairs = links.select(F.col(src).cast("string").alias("u"), F.col(dst).cast("string").alias("v")).where("u <> v")
-    edges = scratch.save(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
-    top = _both(edges).groupBy("u").count().orderBy(F.desc("count"), "u").limit(1).select("u")
-    hub = top.head()
+    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    edges = scratch.save(both, "edges")
+    hub = edges.groupBy("u").count().orderBy(F.desc("count"), "u").select("u").head()
     if hub is None:
         return edges.select(F.col("u").alias(id_col), F.col("v").alias(group_col))
-
-    # peel the giant component
-    visited = [scratch.save(top, "front0")]
-    seen, front, whole, k = 1, 1, False, 0
-    while k < max_rounds:
-        k += 1
-        f = _maybe_broadcast(visited[-1].select(F.col("u").alias("f")), front)
-        reached = edges.join(f, edges.u == F.col("f")).select(F.col("v").alias("u")).unionByName(edges.join(f, edges.v == F.col("f")).select("u")).distinct()
-        near = visited[-2:]  # a neighbour of the frontier is in the frontier, one step before it, or new
-        fresh = reached.join(_maybe_broadcast(reduce(DataFrame.unionByName, near), 0 if seen <= BROADCAST_ROWS else seen), "u", "left_anti")
-        visited.append(scratch.save(fresh, f"front{k}"))
-        front = visited[-1].count()
-        seen += front
-        if not front:
-            whole = True
-            break
-        if k >= 3 and front < TRICKLE * seen:
-            break
-    giant = scratch.save(reduce(DataFrame.unionByName, visited), "giant")
-    scratch.drop(*[f"front{i}" for i in range(len(visited))])
-
-    # the rest, or the rest with the visited vertices contracted into the hub
-    root = hub["u"]
-    g = _maybe_broadcast(giant, seen)
-    if whole:
-        rest = edges.join(g, "u", "left_anti")
-    else:
-        gu, gv = g.select(F.col("u").alias("gu")), g.select(F.col("u").alias("gv"))
-        rest = edges.join(gu, F.col("u") == F.col("gu"), "left").join(gv, F.col("v") == F.col("gv"), "left")
-        rest = rest.select(F.when(F.col("gu").isNull(), F.col("u")).otherwise(root).alias("u"), F.when(F.col("gv").isNull(), F.col("v")).otherwise(root).alias("v")).where("u <> v")
-        rest = rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    current = scratch.save(rest, "rest0")
-
-    maps, n = [], 0
-    left = current.count()
-    while left:
-        m = _both(current).groupBy("u").agg(F.min(_rank("v")).alias("least")).select("u", F.least(F.col("least"), _rank("u")).getField("id").alias("to"))
-        m = scratch.save(m, f"map{n}")
-        size = m.count()
-        mu, mv = m.select("u", F.col("to").alias("a")), m.select(F.col("u").alias("v"), F.col("to").alias("b"))
-        moved = current.join(_maybe_broadcast(mu, size), "u").join(_maybe_broadcast(mv, size), "v").where("a <> b")
-        n += 1
-        current = scratch.save(moved.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), f"rest{n}")
-        scratch.drop(f"rest{n - 1}")
-        maps.append((m, size))
-        left = current.count()
-
-    members = giant.select(F.col("u").alias("id"), F.lit(root).alias("label"))
-    if maps:
-        whole_map, _ = maps[-1]
-        for m, size in reversed(maps[:-1]):
-            nxt = _maybe_broadcast(whole_map.select(F.col("u").alias("to"), F.col("to").alias("end")), size)
-            whole_map = m.join(nxt, "to", "left").select("u", F.coalesce("end", "to").alias("to"))
-        small = scratch.save(whole_map.select(F.col("u").alias("id"), F.col("to").alias("label")), "small")
-        moved = None if whole else small.where(F.col("id") == root).head()
-        if moved is not None:  # the contracted part met others: one label for all of them
-            members = giant.select(F.col("u").alias("id"), F.lit(moved["label"]).alias("label"))
-            hot = moved["label"]
-        else:
-            hot = root
-        small = small.where((F.col("id") != root) | F.lit(whole))
-    else:
-        small, hot = None, root
-
+    giant = _peel(edges, hub["u"], scratch)
     # the giant group's smallest id is one value, so its members need no join on a hot key
-    if small is not None:
-        members = members.unionByName(small.where(F.col("label") == hot))
-    least = members.agg(F.min("id").alias("least")).head()["least"]
-    out = members.select(F.col("id").alias(id_col), F.lit(least).alias(group_col))
-    if small is not None:
-        others = small.where(F.col("label") != hot)
-        firsts = others.groupBy("label").agg(F.min("id").alias(group_col))
-        out = out.unionByName(others.join(firsts, "label").select(F.col("id").alias(id_col), group_col))
-    return out
+    least = giant.agg(F.min("u").alias("least")).head()["least"]
+    out = giant.select(F.col("u").alias(id_col), F.lit(least).alias(group_col))
+    rest = scratch.save(edges.join(giant, "u", "left_anti"), "rest")
+    small = _propagate(rest, scratch)
+    return out if small is None else out.unionByName(small.select(F.col("u").alias(id_col), F.col("label").alias(group_col)))
