@@ -43,5 +43,5 @@ def test_rules_by_what_finds_them():
 def test_links_and_prices_beside_sentences_are_fine():
     words = nouns(400, 4)
     linked = "\n".join(f"- https://{words[i]}.example : the {words[i + 1]} of this {words[i + 2]} is told here, and why it was moved." for i in range(0, 57, 3))
-    priced = "\n".join(" ".join(f"The {words[i + k]} of the {words[i + k + 1]} cost us $ {k} and it was not yet here." if k % 4 == 0 else f"We said that {words[i + k]} is {words[i + k + 1]}." for k in range(8)) for i in range(0, 390, 8))
+    priced = "\n".join(f"We paid $ {i} for the {words[i]} that {words[i + 1]} lost when it moved, and the {words[i + 2]} of {words[i + 3]} by {words[i + 4]} is not yet here." for i in range(0, 390, 5))
     assert stuffed_share(linked) <= 0.5 and stuffed_share(priced) <= 0.5
