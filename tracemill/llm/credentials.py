@@ -1,9 +1,15 @@
 r"""Credentials embedded in text.
 
 Method: a keyword automaton says which rules can apply to a text; issuer
-formats and assignment rules (regular expressions) give candidates; checks of
-structure throw out what is no live literal; matches are replaced by
-placeholders of the same length and alphabet.
+formats and assignment rules (regular expressions) give candidates; checksums
+and checks of structure decide which are live literals; matches are replaced
+by placeholders of the same length and alphabet.
+
+Checks: tokens that carry a checksum (CRC-32 in base 62 at the end) count
+whatever they look like if it holds, and as others do if not, as issuers with
+the same form need not have one; signed tokens are decoded, and a header that
+is readable must be JSON; private keys must have a body in base 64, closed by
+the END mark or cut off; access-key ids must be of the issuer's alphabet.
 
 Rules come in two kinds.  *Issuer formats* are found anywhere (access-key ids,
 prefixed tokens, signed tokens, private-key blocks).  *Places* are where a
@@ -15,13 +21,17 @@ reference to a variable, a vault or a function, or a word.
 
 from __future__ import annotations
 
+import base64
+import json
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .contents import scan_contents
+from .spam import FUNCTION_WORDS
 
 #: Names that say that a value is secret (any case, with - or _ or a case change between the parts).
 SECRET_NAME = r"(?:pass(?:w(?:or)?d|phrase|wort|code)?(?!port|enger|age|ed|ing|es|ive)|pwd|psw|pw|secret|token|credentials?|creds?|auth|api[_-]?key|access[_-]?key(?:[_-]?id)?|secret[_-]?key|private[_-]?key|sign(?:ing|ature)?[_-]?key|sig[_-]?key|encryption[_-]?key|master[_-]?key|account[_-]?key|shared[_-]?key|storage[_-]?key|bearer|kennwort|passwort|contrase(?:ñ|n)a|clave)"
@@ -31,14 +41,12 @@ _OTHER_NAME = re.compile(r"(?i)(?:min|max|len(?:gth)?|count|policy|rules?|hash|f
 #: Formats of issuers, with the least length that makes them whole.
 ISSUER_FORMATS = [
     r"(?<![A-Za-z0-9])(?:AKIA|ASIA|ABIA|ACCA|AIDA|AROA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{30,}",
+    r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,}",
     r"(?<![A-Za-z0-9])github_pat_[A-Za-z0-9_]{30,}",
     r"(?<![A-Za-z0-9])glpat-[A-Za-z0-9_-]{20,}",
     r"(?<![A-Za-z0-9])xox[abeoprs]-[A-Za-z0-9-]{18,}",
     r"(?<![A-Za-z0-9_-])sk-(?:[a-z]{2,8}-)?[A-Za-z0-9_-]{20,}",
     r"(?<![A-Za-z0-9])[prs]k_(?:live|prod)_[A-Za-z0-9]{12,}",
-    r"(?<![A-Za-z0-9])hbr_[A-Za-z0-9]{16,}",
-    r"(?<![A-Za-z0-9])tk\.[A-Za-z0-9_-]{20,}",
     r"(?<![A-Za-z0-9])hf_[A-Za-z0-9]{30,}",
     r"(?<![A-Za-z0-9])npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])",
     r"(?<![A-Za-z0-9])AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])",
@@ -47,6 +55,11 @@ ISSUER_FORMATS = [
     r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
 ]
 _ISSUERS = re.compile("|".join(ISSUER_FORMATS))
+#: Tokens of an issuer that isn't known: a short prefix, then letters of both cases (and digits) in disorder.
+_UNKNOWN = re.compile(r"(?<![\w./@:+-])[a-z]{2,5}[_.](?=[A-Za-z0-9-]*[a-z])(?=[A-Za-z0-9-]*[A-Z])[A-Za-z0-9_-]{18,}(?![\w(/.-])")
+_TURN = re.compile(r"[a-z](?=[A-Z0-9])|[A-Z](?=[a-z0-9])|[0-9](?=[A-Za-z])")
+#: A private key that was cut off: lines in base 64 after its BEGIN mark.
+_OPEN_PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:(?:\\r)?\\n|\r?\n)[A-Za-z0-9+/=]{40,}(?:(?:(?:\\r)?\\n|\r?\n)[A-Za-z0-9+/=]{16,})*")
 _PRIVATE = re.compile(r"-----BEGIN (?P<kind>(?:[A-Z0-9]+ )*)PRIVATE KEY(?P<tail>(?: BLOCK)?)-----.*?-----END (?P=kind)PRIVATE KEY(?P=tail)-----", re.S)
 
 _QUOTED = r"(?P<q>\\?[\"'`])(?P<v>(?:(?!(?P=q))[^\r\n]){4,}?)(?P=q)"
@@ -61,6 +74,9 @@ def _rule(keys: str, pattern: str, shape: str = "any") -> tuple[tuple[str, ...],
 #: Keywords of the automaton that call for the assignment rules.
 _NAME_KEYS = "pass pwd psw pw secret token cred auth key bearer kennwort contrase clave"
 
+#: Keywords that call for tokens of unknown issuers: what is said of such tokens.
+_UNKNOWN_KEYS = "token key secret auth bearer cred registry curl login http"
+
 #: What follows the name in an assignment (group v is the literal), and the check of the value.
 ASSIGNMENTS = [
     # name = "value", name: 'value', "name": "value", name => "value"
@@ -119,6 +135,10 @@ _REFERENCE = re.compile(r"\$\{|\$\(|\{\{|%\(|<[A-Za-z]|(?i:\b(?:os\.environ|proc
 _DIGEST = re.compile(r"(?i)^(?:sha\d*|md5|blake\w*)[:-]|^ssh-|^AAAA[BCE]3|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
 
 
+#: Characters of a name's end that say what it names (a longer name is known by its end).
+NAME_TAIL = 100
+
+
 def is_live(value: str, shape: str = "any") -> bool:
     """Whether a value in a secret's place is a literal that could be used."""
     if len(value) < 4 or _PLACEHOLDER.match(value) or _MASKED.search(value) or _REFERENCE.search(value) or _DIGEST.search(value):
@@ -139,6 +159,52 @@ def is_live(value: str, shape: str = "any") -> bool:
     return True
 
 
+_BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def checksum_holds(token: str) -> bool:
+    """Whether the last six signs of a prefixed token are the CRC-32, in base 62, of the random part before them."""
+    body = token.rpartition("_")[2]
+    if len(body) <= 6:
+        return False
+    value, signs = zlib.crc32(body[:-6].encode()), ""
+    for _ in range(6):
+        value, digit = divmod(value, 62)
+        signs = _BASE62[digit] + signs
+    return signs == body[-6:]
+
+
+def _decoded(part: str) -> bytes:
+    try:
+        return base64.urlsafe_b64decode(part + "=" * (-len(part) % 4))
+    except ValueError:
+        return b""
+
+
+def structure_of(value: str) -> str:
+    """What a literal's own structure says: ``checksum``, ``decoded`` (a signed token with a JSON header), ``broken`` (it contradicts itself), or ``shape``."""
+    if re.match(r"gh[pousr]_|github_pat_|npm_", value):
+        return "checksum" if checksum_holds(value) else "shape"
+    if value.startswith("eyJ") and value.count(".") == 2:
+        header = _decoded(value.partition(".")[0])
+        try:
+            return "decoded" if isinstance(json.loads(header), dict) else "broken"
+        except ValueError:
+            # readable text that is no JSON was never a header; bytes of any kind may be an encrypted or cut one
+            return "broken" if header and all(32 <= x < 127 for x in header) else "shape"
+    return "shape"
+
+
+#: Words of messages about passwords, which a passphrase doesn't have.
+_ABOUT = frozenset("password passphrase passwort contraseña passe enter invalid required missing wrong incorrect forgot reset change confirm repeat please field hidden show must expired".split())
+
+
+def is_passphrase(value: str) -> bool:
+    """Whether a quoted value with blanks is a phrase of three or more drawn words and no sentence."""
+    words = value.split(" ")
+    return len(words) >= 3 and all(re.fullmatch(r"[a-zà-ÿ0-9]{2,}", w) and w not in FUNCTION_WORDS and w not in _ABOUT for w in words)
+
+
 def _name_is_secret(name: str) -> bool:
     return not _OTHER_NAME.search(name) or bool(re.search(r"(?i)access[_-]?key[_-]?id$", name))
 
@@ -154,11 +220,13 @@ class CredentialFinder:
         for i, (keys, _, _) in enumerate(PLACES):
             for key in keys if keys not in (("mot", "de", "passe"), ("log", "in")) else (" ".join(keys),):
                 words.setdefault(key, set()).add(i)
-        for key in ("akia", "asia", "abia", "acca", "aida", "aroa", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "sk-", "k_live_", "k_prod_", "hbr_", "tk.", "hf_", "npm_", "aiza", "ya29.", "sg.", "eyj"):
+        for key in ("akia", "asia", "abia", "acca", "aida", "aroa", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "sk-", "k_live_", "k_prod_", "hf_", "npm_", "aiza", "ya29.", "sg.", "eyj"):
             words.setdefault(key, set()).add(-1)
         words["private key"] = {-2}
         for key in _NAME_KEYS.split():
             words.setdefault(key, set()).add(-3)
+        for key in _UNKNOWN_KEYS.split():
+            words.setdefault(key, set()).add(-4)
         for key, rules in words.items():
             self.automaton.add_word(key, frozenset(rules))
         self.names: dict[str, bool] = {}
@@ -166,6 +234,10 @@ class CredentialFinder:
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         """Non-overlapping spans, by start; of overlapping ones the first found by the more certain rule."""
+        return [(lo, hi) for lo, hi, _, _ in self.explained(text)]
+
+    def explained(self, text: str) -> list[tuple[int, int, str, str]]:
+        """The spans with the rule that found each (``key``, ``issuer``, ``assignment``, ``place``) and what its structure says."""
         called: set[int] = set()
         at: list[int] = []
         for end, rules in self.automaton.iter(text.lower()):
@@ -174,39 +246,45 @@ class CredentialFinder:
                 at.append(end)
         if not called:
             return []
-        taken: list[tuple[int, int]] = []
+        taken: list[tuple[int, int, str, str]] = []
 
-        def take(lo: int, hi: int) -> None:
-            if hi > lo and all(hi <= a or lo >= b for a, b in taken):
-                taken.append((lo, hi))
+        def take(lo: int, hi: int, rule: str) -> None:
+            if hi > lo and all(hi <= a or lo >= b for a, b, _, _ in taken):
+                taken.append((lo, hi, rule, structure_of(text[lo:hi])))
 
         blocked: list[tuple[int, int]] = []
         if -2 in called:
-            for m in _PRIVATE.finditer(text):
-                take(*m.span())
+            for pattern in (_PRIVATE, _OPEN_PRIVATE):
+                for m in pattern.finditer(text):
+                    take(*m.span(), "key")
         if -1 in called:
             for m in _ISSUERS.finditer(text):
                 value = m.group()
-                if is_live(value) and not re.search(r"(?i)[-_](?:test|example|dummy|fake)[-_]", value[:16]):
-                    take(*m.span())
+                said = structure_of(value)
+                if said in ("checksum", "decoded") or said != "broken" and is_live(value) and not re.search(r"(?i)[-_](?:test|example|dummy|fake)[-_]", value[:16]):
+                    take(*m.span(), "issuer")
                 else:
                     blocked.append(m.span())
-        for m, shape in self._assigned(text, at):
-            self._value(text, m, shape, blocked, take)
+        for m, shape, phrase in self._assigned(text, at):
+            self._value(text, m, shape, blocked, take, "assignment", phrase)
         for i in sorted(x for x in called if x >= 0):
             _, pattern, shape = PLACES[i]
             for m in pattern.finditer(text):
-                self._value(text, m, shape, blocked, take)
+                self._value(text, m, shape, blocked, take, "place", False)
+        if -4 in called:
+            for m in _UNKNOWN.finditer(text):
+                if len(_TURN.findall(m.group())) >= 6 and is_live(m.group()):
+                    take(*m.span(), "issuer")
         return sorted(taken)
 
-    def _assigned(self, text: str, ends: list[int]) -> Iterator[tuple[re.Match, str]]:
-        """Assignments to names that hold one of the keywords, which end at ``ends``."""
+    def _assigned(self, text: str, ends: list[int]) -> Iterator[tuple[re.Match, str, bool]]:
+        """Assignments to names that hold one of the keywords, which end at ``ends``, and whether a passphrase may stand there."""
         done = -1
         for end in ends:
             if end <= done:
                 continue
             start = end
-            while start > 0 and end - start < 120 and (text[start - 1].isalnum() or text[start - 1] in "_.-"):
+            while start > 0 and (text[start - 1].isalnum() or text[start - 1] in "_.-"):
                 start -= 1
             run = _RUN.match(text, start)
             if not run:
@@ -215,19 +293,20 @@ class CredentialFinder:
             if start and text[start - 1] in "$?&":
                 continue
             name = run.group().lstrip("_")
+            name = name if len(name) <= NAME_TAIL else name[-NAME_TAIL:]
             known = self.names.get(name)
             if known is None:
                 if len(self.names) > 100_000:
                     self.names.clear()
-                known = self.names[name] = len(name) <= 100 and bool(_SECRET_NAME.fullmatch(name)) and _name_is_secret(name)
+                known = self.names[name] = bool(_SECRET_NAME.fullmatch(name)) and _name_is_secret(name)
             if known:
                 for pattern, shape in ASSIGNMENTS:
                     m = pattern.match(text, run.end())
                     if m:
-                        yield m, shape
+                        yield m, shape, bool(re.search(r"(?i)pass|pwd|kennwort|contrase", name))
 
     @staticmethod
-    def _value(text: str, m: re.Match, shape: str, blocked: list[tuple[int, int]], take: Callable[[int, int], None]) -> None:
+    def _value(text: str, m: re.Match, shape: str, blocked: list[tuple[int, int]], take: Callable[[int, int, str], None], rule: str, phrase: bool) -> None:
         groups = m.groupdict()
         g = "v" if groups.get("v") is not None else "w"
         lo, hi = m.span(g)
@@ -240,13 +319,37 @@ class CredentialFinder:
             lo, value = lo + scheme.end(), value[scheme.end() :]
         if any(lo < b and hi > a for a, b in blocked):
             return
-        if is_live(value, shape) and " " not in value:
-            take(lo, hi)
+        if " " in value:
+            if phrase and groups.get("q") is not None and is_passphrase(value):
+                take(lo, hi, rule)
+        elif is_live(value, shape):
+            take(lo, hi, rule)
+
+
+_KEPT = re.compile(r"-----(?:BEGIN|END) [A-Z0-9 ]+-----|\\u[0-9a-fA-F]{4}|\\.")
 
 
 def mask(secret: str) -> str:
-    """A placeholder of the same length and alphabet: letters to x or X, digits to 0, the rest as it is."""
-    return re.sub(r"[0-9]", "0", re.sub(r"[^\W\d_]", lambda m: "X" if m.group().isupper() else "x", secret))
+    """A placeholder of the same length and alphabet.
+
+    Letters become x or X and digits 0; in hexadecimal a or A and 0, in base 32
+    A and 2, so what parses such text still does.  Marks of a key, line breaks
+    and escapes of the language around stay as they are.
+    """
+    bare = _KEPT.sub("", secret)
+    solid = re.sub(r"[^A-Za-z0-9]", "", bare)
+    hexadecimal = bool(re.fullmatch(r"[0-9a-f]{8,}|[0-9A-F]{8,}", solid)) and bool(re.search(r"[A-Fa-f]", solid))
+    base32 = bool(re.fullmatch(r"[A-Z2-7]{16,}", solid)) and bool(re.search(r"[2-7]", solid))
+    low, up, digit = ("a", "A", "0") if hexadecimal else ("x", "A", "2") if base32 else ("x", "X", "0")
+
+    def cover(text: str) -> str:
+        return re.sub(r"[0-9]", digit, re.sub(r"[^\W\d_]", lambda m: up if m.group().isupper() else low, text))
+
+    out, at = [], 0
+    for m in _KEPT.finditer(secret):
+        out += [cover(secret[at : m.start()]), m.group()]
+        at = m.end()
+    return "".join([*out, cover(secret[at:])])
 
 
 def redact(text: str, spans: list[tuple[int, int]]) -> str:
@@ -280,6 +383,17 @@ def find_credentials(attack_view: DataFrame) -> DataFrame:
     return scan_contents(attack_view, _find, [("secret", "string")]).distinct()
 
 
+def _explain() -> Callable[[str], list[tuple]]:
+    finder = CredentialFinder()
+    return lambda text: [(rule, said, hi - lo) for lo, hi, rule, said in finder.explained(text)]
+
+
+def credential_checks(attack_view: DataFrame) -> DataFrame:
+    """How the credentials were found: ``rule``, ``structure``, ``n_places`` and ``n_characters`` over all deliveries."""
+    each = scan_contents(attack_view, _explain, [("rule", "string"), ("structure", "string"), ("size", "int")])
+    return each.groupBy("rule", "structure").agg(F.count("*").alias("n_places"), F.sum("size").alias("n_characters"))
+
+
 def redacted_messages(attack_view: DataFrame) -> DataFrame:
     """The messages that hold credentials, with placeholders in their place.
 

@@ -22,6 +22,10 @@ def p1_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return credentials.redacted_messages(*_read(spark, folder, "attack_view"))
 
 
+def p1_checks(spark: SparkSession, folder: str) -> DataFrame:
+    return credentials.credential_checks(*_read(spark, folder, "attack_view"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_characters(*_read(spark, folder, "attack_view"))
 
@@ -77,7 +81,7 @@ def p8_against_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_passages, p3_found, p4_found, p4_redacted, p6_ids, p6_round_trip, p7_containers, p7_fill, p8_found, p8_against_labels)}
+    return {f.__name__: f for f in (p1_found, p1_redacted, p1_checks, p2_found, p2_passages, p3_found, p4_found, p4_redacted, p6_ids, p6_round_trip, p7_containers, p7_fill, p8_found, p8_against_labels)}
 
 
 _P2 = """
