@@ -44,6 +44,11 @@ _ASCII_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^{_ASCII_SPA
 
 #: Pieces a worker remembers before it forgets all of them (about 100 bytes each).
 REMEMBERED = 400_000
+#: Checked pairs of tokens a worker remembers before it forgets all of them.
+MOST_PAIRS = 1_000_000
+#: Roles that a line of a transcript may begin with, and those whose turns bear loss.
+ROLES = ("system", "user", "human", "tool", "assistant", "agent")
+LOSS_ROLES = ("assistant", "agent")
 
 
 def read_ranks(name: str = DEFAULT_TOKENIZER, folder: str = TOKENIZER_DIR) -> list[bytes]:
@@ -110,6 +115,8 @@ class BytePairEncoder:
         key = (left, right)
         known = self.compatible.get(key)
         if known is None:
+            if len(self.compatible) >= MOST_PAIRS:
+                self.compatible.clear()
             known = self.compatible[key] = self._seam_holds(left, right)
         return known
 
@@ -230,9 +237,16 @@ class OffsetDecoder:
         return [flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
+_SHARED: dict[tuple[str, str, str], object] = {}
+
+
 def _shared_ranks(spark: SparkSession, tokenizer: str, folder: str):
+    """The vocabulary as a broadcast, one for each application and vocabulary (a fixed file of about 1 MB)."""
     ship(spark)
-    return spark.sparkContext.broadcast(read_ranks(tokenizer, folder))
+    key = (spark.sparkContext.applicationId, tokenizer, folder)
+    if key not in _SHARED:
+        _SHARED[key] = spark.sparkContext.broadcast(read_ranks(tokenizer, folder))
+    return _SHARED[key]
 
 
 _ENCODERS: dict[tuple[str, str], BytePairEncoder] = {}
@@ -289,6 +303,60 @@ def count_tokens(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     return documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint")
 
 
+def loss_spans(text: str, roles: tuple[str, ...] = ROLES, loss_roles: tuple[str, ...] = LOSS_ROLES) -> list[tuple[int, int]] | None:
+    """Bytes of a transcript that bear loss: the turns of ``loss_roles``, without their marks.  None for a text without turns, of which all bears loss."""
+    turns = list(re.finditer(rf"(?m)^({'|'.join(roles)}):", text))
+    if not turns:
+        return None
+    ends = [*[t.start() for t in turns[1:]], len(text)]
+    chars = [(t.end(), end) for t, end in zip(turns, ends, strict=True) if t.group(1) in loss_roles]
+    if text.isascii():
+        return chars
+    at = lambda i: len(text[:i].encode())
+    return [(at(a), at(b)) for a, b in chars]
+
+
+def count_pieces(documents: DataFrame, capacity: int, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = DEFAULT_TOKENIZER, folder: str = TOKENIZER_DIR) -> DataFrame:
+    """Pieces of at most ``capacity`` tokens of each text: the id, ``piece``, ``first_token``, ``n_tokens``, ``loss_tokens``.
+
+    Loss-bearing are, in a transcript, the tokens that begin in the turns of an
+    assistant, and in other texts all; of each piece the first token is not, as
+    nothing precedes it.  Null and empty texts are one piece without tokens.
+    """
+    shared = _shared_ranks(documents.sparkSession, tokenizer, folder)
+    kind = documents.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(shared, (tokenizer, folder))
+        lengths = np.array([len(t) for t in encoder.tokens], dtype=np.int64)
+        for batch in batches:
+            for part in _slices(batch, "text"):
+                texts = part.column("text").to_pylist()
+                ids, offsets = encoder.encode_batch(texts)
+                bears = np.ones(len(ids), dtype=bool)
+                for n, text in enumerate(texts):
+                    spans = loss_spans(text) if text and ":" in text else None
+                    if spans is not None:
+                        a, b = offsets[n], offsets[n + 1]
+                        begins = np.cumsum(lengths[ids[a:b]]) - lengths[ids[a:b]]
+                        # between the edges of the spans a place is inside where an odd number of edges is passed
+                        bears[a:b] = np.searchsorted(np.asarray(spans, np.int64).ravel(), begins, side="right") % 2 == 1
+                count = np.diff(offsets)
+                pieces = np.maximum(1, -(-count // capacity))
+                row = np.repeat(np.arange(len(count)), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                first = piece * capacity
+                size = np.minimum(capacity, count[row] - first)
+                begin = offsets[row] + first
+                total = np.concatenate([[0], np.cumsum(bears)])
+                loss = total[begin + size] - total[begin]
+                loss -= np.where(size > 0, np.append(bears, False)[np.minimum(begin, len(bears))], 0)
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(first, pa.int64()), pa.array(size, pa.int64()), pa.array(loss, pa.int64())], names=[id_col, "piece", "first_token", "n_tokens", "loss_tokens"])
+
+    schema = f"`{id_col}` {kind}, piece int, first_token bigint, n_tokens bigint, loss_tokens bigint"
+    return documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+
+
 def round_trip(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = DEFAULT_TOKENIZER, folder: str = TOKENIZER_DIR) -> DataFrame:
     """The id of each row, its ``n_tokens`` and ``same``: whether decoding the ids gives the text."""
     shared = _shared_ranks(documents.sparkSession, tokenizer, folder)
