@@ -53,3 +53,17 @@ def test_redaction_keeps_the_rest(spark, make_log):
     lex = spark.createDataFrame([("Ann", "given")], "name string, name_kind string")
     log = make_log(("r", ["mail a@b.example or 585.555.0110 — thanks", "nothing here"]))
     assert [tuple(r) for r in redact_personal(log, lex).collect()] == [("r", 0, "mail [EMAIL] or [PHONE] — thanks", 2)]
+
+
+def test_fields_teach_looser_forms(spark, make_log):
+    """Strict phones and emails in a field teach the field; what else stands in it is found as well."""
+    from tracemill.llm.personal import found_paths
+
+    strict = [f'{{"msisdn": "+1 212 555 01{i:02}", "mail": "a{i}@mail{i}.example"}}' for i in range(8)]
+    loose = ['{"msisdn": "555 01 22 33", "mail": "x9@home.corp"}', "port 555 01 22 44 at x@home.corp"]
+    lexicon = spark.createDataFrame([("Ann", "given")], "name string, name_kind string")
+    log = make_log(*[(f"r{i}", [t]) for i, t in enumerate(strict + loose)])
+    got = {(r["request_id"], r["pii_type"], r["pii_text"]) for r in personal_mentions(log, lexicon).collect()}
+    assert {("r8", "phone", "555 01 22 33"), ("r8", "email", "x9@home.corp")} <= got and not any(r == "r9" for r, _, _ in got)
+    paths = {(r["pii_type"], r["path"]): r["n_mentions"] for r in found_paths(log, lexicon).collect()}
+    assert paths == {("phone", "both"): 8, ("phone", "context"): 1, ("email", "both"): 8, ("email", "context"): 1}

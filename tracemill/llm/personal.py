@@ -4,18 +4,23 @@ Method: bootstrapped contextual extraction.
 
 1. One scan of the texts gives *mentions*: stretches that have the shape of an
    email, phone number, identity number, address or name, with the words
-   around them (one or two to the left, one to the right).  Emails, phone
-   numbers of strict form and addresses are certain by their structure; names
-   and identity numbers are candidates.
-2. Seeds are the names of the lexicon (incomplete, with everyday words among
-   them) and identity numbers of strict form.
+   around them (one or two to the left, one to the right).  Mentions of a
+   strict form are *certain*; of looser forms, and all names, they are
+   candidates.
+2. Seeds are the certain mentions of each type and the names of the lexicon
+   (incomplete, with everyday words among them).
 3. Patterns and instances form a bipartite graph.  Spark scores it in rounds:
-   a pattern is as good as the mean of its distinct fillers, a word as good as
-   the best pattern that it fills; so good patterns teach unseen words, and
-   those teach further patterns.  A pattern needs ``LEAST_FILLERS`` distinct
+   a pattern is as good as the mean of its distinct fillers, an instance as
+   good as the best pattern that it fills; so good patterns teach unseen
+   words, and those teach further patterns.  The rounds end when no score
+   moves by more than ``SETTLED``.  A pattern needs ``LEAST_FILLERS`` distinct
    fillers, so one repeated phrase (a service named like a person) teaches
-   nothing.
-4. Candidates in patterns of at least ``ACCEPT`` are found.
+   nothing.  An instance is, for names, each of their words; for identity
+   numbers, their shape; for the other types, which have no parts that
+   another one would share, the mention itself.
+4. Candidates in patterns of at least ``ACCEPT`` are found, each as the type
+   whose pattern scores best; certain mentions are found whatever is around
+   them.  ``found_paths`` counts which rows have which of the two.
 
 The graph has distinct (pattern, filler) pairs only, in tables; each round is
 two aggregations and two joins.  Patterns and words are joined, never
@@ -28,7 +33,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
@@ -39,8 +44,10 @@ from .spam import FUNCTION_WORDS
 ACCEPT = 0.45
 #: Distinct fillers that a pattern needs.
 LEAST_FILLERS = 3
-#: Rounds of scoring.
-ROUNDS = 3
+#: What a pattern's score counts for as the score of its fillers: less than one, so that scores settle near their seeds and don't feed on each other.
+DAMPING = 0.75
+#: Change of a score from which there is another round, and rounds after which the loop is taken for endless (an error).
+SETTLED, MOST_ROUNDS = 0.01, 50
 
 # -- emails ---------------------------------------------------------------------
 _EMAIL = re.compile(r"(?<![\w.+%@/:-])[\w.+%-]+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w@-])")
@@ -83,20 +90,26 @@ _UNIT = r"(?:Apt|Apartment|Unit|Suite|Ste|Flat|Floor|Fl|Room|Rm|#)\.? ?[A-Z]?\d*
 _POST = r"(?:\d{4,5}(?:-\d{4})?|[A-Z]{1,2}\d[A-Z\d]? ?\d[A-Z]{2})"
 _ADDRESS = re.compile(
     r"(?<![\w.#/-])(?:"
-    # [Flat 4, ]153 Old Sluice Close[, Apt 22B], Town[ postcode]
+    # [unit, ]number name street-word[, unit], town[ postcode]
     rf"(?:{_UNIT},? )?\d{{1,5}}[A-Za-z]? (?:{_CAP} ){{1,4}}{_STREET_END}(?:,? {_UNIT})?, {_TOWN}(?: {_POST}|, [A-Z]{{2}} {_POST})?"
-    # 76 rue des Ajoncs, 00069 Town
+    # number, street-word of name, postcode town
     rf"|\d{{1,4}}(?: ?(?:bis|ter))?,? (?:rue|avenue|boulevard|place|chemin|allée|impasse|quai|route|cours|square|Rue|Avenue|Boulevard|Place|Chemin|Allée|Impasse|Quai|Route) (?:(?:de|des|du|d'|la|le|les|l'|de la|de l')[ ']?)*{_CAP}(?: {_CAP}){{0,3}}, {_POST} {_TOWN}"
-    # Calle de la Noria 102, 2º B, 00232 Town
+    # street-word of name number[, floor], postcode town
     rf"|(?:Calle|Avenida|Avda\.?|Plaza|Paseo|Camino|Ronda|Carretera|Travesía|C/) ?(?:(?:de|del|la|las|los|el) )*{_CAP}(?: {_CAP}){{0,3}},? \d{{1,4}}(?:, ?\d{{1,2}}\.?[ºª°o]? ?(?:[A-Z]|izq\.?|dcha\.?)?)?, {_POST} {_TOWN}"
-    # Torfstraße 2, Am Mühlquell 221, Lindenhof-Allee 270, 00436 Town
+    # name-street number, or preposition name number, postcode town
     rf"|(?:(?:Am|An der|An den|Auf dem|Auf der|Im|In der|In den|Zum|Zur|Unter den|Hinter der|Alte[rn]?|Neue[rn]?) {_CAP}|{_CAP}[ -](?:Straße|Allee|Gasse|Weg|Platz|Ufer|Damm|Ring|Hof|Markt|Chaussee)|[A-ZÀ-ÖØ-Þ][\w'’-]*?(?:straße|strasse|gasse|allee|weg|platz|ufer|damm|ring|hof|steig|stieg|markt|graben|chaussee|str\.)) \d{{1,4}} ?[a-z]?, {_POST} {_TOWN}"
-    # P.O. Box 4190, Town 00865
+    # box number, town and postcode
     rf"|(?:P\.? ?O\.? ?Box|Postfach|Apartado(?: de Correos)?|BP|Boîte postale) \d{{1,6}}, (?:{_POST} {_TOWN}|{_TOWN}(?: {_POST})?)"
     r")(?![\w-])",
     re.UNICODE,
 )
 
+# -- looser forms: candidates of emails, phone numbers and addresses -----------------
+_LOOSE_EMAIL = re.compile(r"(?i)(?<![\w.+%@/:-])[\w.+%-]*\w(?:@| @ | at | ?[\[({<](?:at|@)[\])}>] ?)[a-z0-9-]+(?:(?:\.| \. | dot | ?[\[({<](?:dot|\.)[\])}>] ?)[a-z0-9-]+)+(?![\w@-])")
+_LOOSE_PHONE = re.compile(r"(?<![\w.+/#:=-])(?!\d{4}-\d\d-\d\d|\d\d?[./-]\d\d?[./-]\d{4}|\d{1,3}(?:\.\d{1,3}){3})\(?\+?\d[\d() ./-]{5,18}\d(?![\w/:-]|\.\d)")
+#: A quoted value of a field, with a digit, a capital and a comma.
+_LOOSE_ADDRESS = re.compile(r"(?<=[:=] \")(?=[^\"\n]*\d)(?=[^\"\n]*[A-ZÀ-Þ][a-zà-ÿ])[^\"\n,{}\[\]]{3,60},[^\"\n{}\[\]]{3,80}(?=\")|(?<=[:=]\")(?=[^\"\n]*\d)(?=[^\"\n]*[A-ZÀ-Þ][a-zà-ÿ])[^\"\n,{}\[\]]{3,60},[^\"\n{}\[\]]{3,80}(?=\")")
+
 # -- names ----------------------------------------------------------------------
 #: Particles of family names.
 _PARTICLES = "de la|de los|van der|van den|von der|von und zu|van|von|der|den|de|del|della|di|da|dos|du|le|la|ter|ten|bin|ibn|al|zu|zur|af|y"
@@ -258,7 +271,16 @@ class MentionFinder:
         take("id_number", strict, True)
         take("phone", self.phones(text), True)
         loose = [m.span() for m in _LOOSE_ID.finditer(text) if not _NO_ID.search(text, max(0, m.start() - 24), m.start())]
+        if "@" in text or " at" in text or "[at" in text or "(at" in text:
+            take("email", [m.span() for m in _LOOSE_EMAIL.finditer(text)], False)
+        if '"' in text:
+            take("address", [m.span() for m in _LOOSE_ADDRESS.finditer(text)], False)
+        fixed = list(taken)
         take("id_number", loose, False)
+        for m in _LOOSE_PHONE.finditer(text):  # digits alone may be of either type: their patterns decide
+            lo, hi = m.span()
+            if 7 <= sum(map(str.isdigit, m.group())) <= 15 and all(hi <= a or lo >= b for a, b in fixed) and not _NO_PHONE.search(text, max(0, lo - 24), lo):
+                out.append(("phone", lo, hi, False))
         take("name", self.title_names(text), False)
         take("name", self.lower_names(text.lower(), text), False)
         fixed = list(taken)
@@ -292,8 +314,7 @@ def _mentions(lexicon: list[str]) -> Callable[[], Callable[[str], list[tuple]]]:
             found = finder.find(text)
             sure = [(kind, lo, hi) for kind, lo, hi, certain in found if certain]
             for kind, lo, hi, certain in found:
-                needs = kind in ("name", "id_number")
-                one, two, right = _context(text, lo, hi, sure) if needs else ("", "", "")
+                one, two, right = _context(text, lo, hi, [x for x in sure if x[1] < lo])
                 rows.append((kind, text[lo:hi], lo, int(certain), one, two, right))
             return rows
 
@@ -311,55 +332,76 @@ def mentions(attack_view: DataFrame, name_lexicon: DataFrame) -> DataFrame:
     return scan_contents(attack_view, _mentions(names), _FIELDS)
 
 
-def pattern_scores(found: DataFrame, name_lexicon: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """``kind``, ``pattern``, ``score``, ``fillers`` of all patterns, after the rounds."""
-    each = found.where(F.col("kind").isin("name", "id_number")).select("kind", "text", "certain", "one", "two", "right").distinct()
-    pattern = F.explode(F.array(F.concat_ws("\t", F.lit("1"), "one", "right"), F.concat_ws("\t", F.lit("2"), "two", "right")))
-    pairs = scratch.save(each.select("kind", F.lower("text").alias("filler"), "certain", pattern.alias("pattern")).distinct(), "pairs")
-    # the words of a filler: of names without initials and particles, of identity numbers the shape
+def _patterns() -> Column:
+    return F.array(F.concat_ws("\t", F.lit("1"), "one", "right"), F.concat_ws("\t", F.lit("2"), "two", "right"))
+
+
+def pattern_scores(found: DataFrame, name_lexicon: DataFrame, scratch: Scratch) -> DataFrame:
+    """``kind``, ``pattern``, ``score``, ``fillers`` of all patterns, once the scores have settled."""
+    each = found.select("kind", "text", "certain", "one", "two", "right").distinct()
+    pairs = scratch.save(each.select("kind", F.lower("text").alias("filler"), "certain", F.explode(_patterns()).alias("pattern")).groupBy("kind", "filler", "pattern").agg(F.max("certain").alias("certain")), "pairs")
+    # the instances of a filler: of names the words without initials and particles, of identity numbers the shape, else the filler
     small = F.split(F.regexp_replace(F.regexp_replace("filler", r"\b\p{L}\.", " "), rf"(?<!\p{{L}})(?:{_PARTICLES})(?!\p{{L}})", " "), r"[^\p{L}'’]+")
     mixed = F.col("filler").rlike(r"^[a-z0-9]+$") & F.col("filler").rlike(r"[a-z]") & ~F.col("filler").rlike(r"^[a-z]\d+$")
     shape = F.when(mixed, F.concat(F.lit("mixed"), F.length("filler"))).otherwise(F.regexp_replace(F.regexp_replace("filler", r"\d", "0"), r"\p{L}", "a"))
-    words = pairs.select("kind", "filler", "certain").distinct()
-    words = words.select("kind", "filler", "certain", F.when(F.col("kind") == "name", F.filter(small, lambda w: F.length(w) > 1)).otherwise(F.array(shape)).alias("words"))
-    words = words.select("kind", "filler", "certain", F.explode("words").alias("word"))
-    words = scratch.save(words.groupBy("kind", "filler", "word").agg(F.max("certain").alias("certain")), "words")
-    seeds = name_lexicon.select(F.lower("name").alias("word")).where("word is not null").distinct().select(F.lit("name").alias("kind"), "word", F.lit(1.0).alias("seed"))
-    base = words.join(seeds, ["kind", "word"], "left").select("kind", "filler", "word", F.when((F.col("kind") == "id_number") & (F.col("certain") == 1), 1.0).otherwise(F.coalesce("seed", F.lit(0.0))).alias("seed"))
-    base = scratch.save(base, "seeded")
-    scores = None
-    for k in range(rounds):
+    parts = F.when(F.col("kind") == "name", F.filter(small, lambda w: F.length(w) > 1)).when(F.col("kind") == "id_number", F.array(shape)).otherwise(F.array("filler"))
+    words = pairs.groupBy("kind", "filler").agg(F.max("certain").alias("certain")).select("kind", "filler", "certain", F.explode(F.array_distinct(parts)).alias("word"))
+    known_names = name_lexicon.select(F.lower("name").alias("word")).where("word is not null").distinct().select(F.lit("name").alias("kind"), "word", F.lit(1.0).alias("seed"))
+    seed = F.when((F.col("kind") != "name") & (F.col("certain") == 1), 1.0).otherwise(F.coalesce("seed", F.lit(0.0)))
+    base = scratch.save(words.join(known_names, ["kind", "word"], "left").select("kind", "filler", "word", seed.alias("seed")), "seeded")
+    scores, k = None, 0
+    while True:
         if scores is None:
             known = base.withColumn("score", F.col("seed"))
         else:
             taught = pairs.join(scores.select("kind", "pattern", "score"), ["kind", "pattern"]).groupBy("kind", "filler").agg(F.max("score").alias("score"))
-            best = words.select("kind", "filler", "word").join(taught, ["kind", "filler"]).groupBy("kind", "word").agg(F.max("score").alias("score"))
+            best = base.select("kind", "filler", "word").join(taught, ["kind", "filler"]).groupBy("kind", "word").agg((DAMPING * F.max("score")).alias("score"))
             known = base.join(best, ["kind", "word"], "left").select("kind", "filler", "word", F.greatest("seed", F.coalesce("score", F.lit(0.0))).alias("score"))
         fillers = known.groupBy("kind", "filler").agg(F.avg("score").alias("f"))
-        scored = pairs.select("kind", "pattern", "filler").distinct().join(fillers, ["kind", "filler"]).groupBy("kind", "pattern").agg((F.sum("f") / (F.count("*") + 1)).alias("score"), F.count("*").alias("fillers"))
-        scores = scratch.save(scored.where(F.col("fillers") >= LEAST_FILLERS), f"scores{k}")
-    return scores
+        scored = pairs.select("kind", "pattern", "filler").join(fillers, ["kind", "filler"]).groupBy("kind", "pattern").agg((F.sum("f") / (F.count("*") + 1)).alias("score"), F.count("*").alias("fillers")).where(F.col("fillers") >= LEAST_FILLERS)
+        if scores is not None:
+            scored = scored.join(scores.select("kind", "pattern", F.col("score").alias("before")), ["kind", "pattern"]).withColumn("moved", F.abs(F.col("score") - F.col("before"))).drop("before")
+        else:
+            scored = scored.withColumn("moved", F.lit(1.0))
+        last, scores = scores, scratch.save(scored, f"scores{k}")
+        if not scores.where(F.col("moved") > SETTLED).head(1):
+            return scores.drop("moved")
+        if last is not None:
+            scratch.drop(f"scores{k - 1}")
+        k += 1
+        if k >= MOST_ROUNDS:
+            raise RuntimeError(f"pattern scores did not settle in {MOST_ROUNDS} rounds")
 
 
 def find_personal(attack_view: DataFrame, name_lexicon: DataFrame) -> DataFrame:
-    """``request_id``, ``message_index``, ``pii_type``, ``pii_text`` and ``start``: every mention found.
+    """``request_id``, ``message_index``, ``pii_type``, ``pii_text``, ``start``, ``form`` and ``context``: every mention found, and by what.
 
-    Null ids, messages and contents give nothing; an empty table gives no rows,
-    an empty lexicon no names.
+    ``form``: 1 if certain by its form; ``context``: the score of its best
+    learnt pattern (0 where none is accepted).  Null ids, messages and contents
+    give nothing; an empty table gives no rows, an empty lexicon no names.
     """
     scratch = Scratch(attack_view.sparkSession, "personal")
     found = scratch.save(mentions(attack_view, name_lexicon), "mentions")
-    scores = pattern_scores(found, name_lexicon, scratch).where(F.col("score") >= ACCEPT).select("kind", "pattern")
-    out = ["request_id", "message_index", F.col("kind").alias("pii_type"), F.col("text").alias("pii_text"), "start"]
-    certain = found.where("certain = 1")
-    open_ = found.where("certain = 0").withColumn("pattern", F.explode(F.array(F.concat_ws("\t", F.lit("1"), "one", "right"), F.concat_ws("\t", F.lit("2"), "two", "right"))))
-    taken = open_.join(scores, ["kind", "pattern"])
-    return certain.select(*out).unionByName(taken.select(*out)).distinct()
+    good = pattern_scores(found, name_lexicon, scratch).where(F.col("score") >= ACCEPT).select("kind", "pattern", "score")
+    # the score belongs to the distinct contexts, of which there are far fewer than mentions
+    contexts = scratch.save(found.select("kind", "one", "two", "right").distinct().withColumn("pattern", F.explode(_patterns())).join(good, ["kind", "pattern"]).groupBy("kind", "one", "two", "right").agg(F.max("score").alias("context")), "contexts")
+    keys = ["kind", "one", "two", "right"]
+    scored = found.join(contexts, keys, "left").where((F.col("certain") == 1) | F.col("context").isNotNull())
+    place = ["request_id", "message_index", "start", "text"]
+    best = F.max_by(F.col("kind"), F.struct("certain", F.coalesce("context", F.lit(0.0)), "kind"))
+    one = scored.groupBy(*place).agg(best.alias("pii_type"), F.max("certain").alias("form"), F.max(F.coalesce("context", F.lit(0.0))).alias("context"))
+    return one.select("request_id", "message_index", "pii_type", F.col("text").alias("pii_text"), "start", "form", "context")
+
+
+def found_paths(attack_view: DataFrame, name_lexicon: DataFrame) -> DataFrame:
+    """How many mentions of each type were found by form alone, by a learnt pattern alone, or by both."""
+    path = F.when(F.col("form") == 0, "context").when(F.col("context") > 0, "both").otherwise("form")
+    return find_personal(attack_view, name_lexicon).groupBy("pii_type", path.alias("path")).agg(F.count("*").alias("n_mentions"))
 
 
 def personal_mentions(attack_view: DataFrame, name_lexicon: DataFrame) -> DataFrame:
     """The distinct ``request_id``, ``message_index``, ``pii_type``, ``pii_text``."""
-    return find_personal(attack_view, name_lexicon).drop("start").distinct()
+    return find_personal(attack_view, name_lexicon).select("request_id", "message_index", "pii_type", "pii_text").distinct()
 
 
 def redact_personal(attack_view: DataFrame, name_lexicon: DataFrame) -> DataFrame:
@@ -369,12 +411,16 @@ def redact_personal(attack_view: DataFrame, name_lexicon: DataFrame) -> DataFram
     The rest of the text stays as it is.
     """
     scratch = Scratch(attack_view.sparkSession, "redacted")
-    found = scratch.save(find_personal(attack_view, name_lexicon), "found")
     span = F.struct(F.col("start"), F.char_length("pii_text").alias("length"), F.concat(F.lit("["), F.upper("pii_type"), F.lit("]")).alias("mark"))
-    places = found.groupBy("request_id", "message_index").agg(F.reverse(F.array_sort(F.collect_set(span))).alias("spans"))
-    texts = attack_view.where(F.col("request_id").isNotNull()).select(F.col("request_id").cast("string"), F.posexplode(F.transform("messages", lambda m: m["content"])).alias("message_index", "content"))
-    both = texts.join(places, ["request_id", "message_index"])
+    spans = find_personal(attack_view, name_lexicon).groupBy("request_id", "message_index").agg(F.reverse(F.array_sort(F.collect_set(span))).alias("spans"))
+    each = attack_view.where(F.col("request_id").isNotNull()).select(F.col("request_id").cast("string"), F.posexplode(F.transform("messages", lambda m: m["content"])).alias("message_index", "content")).where(F.col("content").isNotNull())
+    each = each.withColumns({"a": F.xxhash64("content"), "b": F.xxhash64(F.lit(7), F.col("content"))})
+    # a text has the same mentions wherever it stands, so each distinct one moves and is changed once
+    places = scratch.save(each.select("request_id", "message_index", "a", "b").distinct().join(spans, ["request_id", "message_index"]), "places")
+    marked = places.groupBy("a", "b").agg(F.first("spans").alias("spans"))
+    both = each.groupBy("a", "b").agg(F.first("content").alias("content")).join(marked, ["a", "b"])
     # from the last span to the first; a span that reaches into the one after it is passed over
     step = "struct(concat(substring(a.text, 1, s.start), s.mark, substring(a.text, s.start + s.length + 1)) AS text, s.start AS at)"
     content = F.expr(f"aggregate(spans, struct(content AS text, cast(2147483647 AS int) AS at), (a, s) -> if(s.start + s.length <= a.at, {step}, a)).text")
-    return both.select("request_id", "message_index", content.alias("content"), F.size("spans").alias("n_mentions")).distinct()
+    changed = both.select("a", "b", content.alias("content"), F.size("spans").alias("n_mentions"))
+    return places.select("request_id", "message_index", "a", "b").join(changed, ["a", "b"]).select("request_id", "message_index", "content", "n_mentions")

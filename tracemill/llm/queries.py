@@ -46,6 +46,10 @@ def p4_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return personal.redact_personal(*_read(spark, folder, "attack_view", "name_lexicon"))
 
 
+def p4_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.found_paths(*_read(spark, folder, "attack_view", "name_lexicon"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_corpus(*_read(spark, folder, "documents"))
 
@@ -81,7 +85,7 @@ def p8_against_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_redacted, p1_checks, p2_found, p2_passages, p3_found, p4_found, p4_redacted, p6_ids, p6_round_trip, p7_containers, p7_fill, p8_found, p8_against_labels)}
+    return {f.__name__: f for f in (p1_found, p1_redacted, p1_checks, p2_found, p2_passages, p3_found, p4_found, p4_redacted, p4_paths, p6_ids, p6_round_trip, p7_containers, p7_fill, p8_found, p8_against_labels)}
 
 
 _P2 = """
