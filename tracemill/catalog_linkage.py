@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import linkage_sql as Q
 from .functions.features import FeatureOptions
 from .operators import evaluation as E
 from .operators import linkage as L
@@ -34,36 +35,31 @@ def _tool(spark: SparkSession, folder: str) -> DataFrame:
     return L.tool(_features(spark, folder, **_KEYS_ONLY))
 
 
-@query("q_rare_labels")
+@query("q_rare_labels", Q.RARE_SQL)
 def _rare(spark: SparkSession, folder: str) -> DataFrame:
     return L.rare(_features(spark, folder, shingles=False, signatures=False))
 
 
-@query("q_low_cost")
+@query("q_low_cost", Q.LOW_COST_SQL)
 def _low_cost(spark: SparkSession, folder: str) -> DataFrame:
     return L.low_cost(_features(spark, folder))
 
 
-@query("q_hybrid")
+@query("q_hybrid", Q.HYBRID_SQL)
 def _hybrid(spark: SparkSession, folder: str) -> DataFrame:
     return L.hybrid(_features(spark, folder, signatures=False))
 
 
-@query("q_prefix")
+@query("q_prefix", Q.PREFIX_SQL)
 def _prefix(spark: SparkSession, folder: str) -> DataFrame:
     return L.prefix(_features(spark, folder, signatures=False))
 
 
-@query("q_context_only")
+@query("q_context_only", Q.CONTEXT_SQL + " where level = 'session' union all select 'context_only', level, id, id from vx where level <> 'session'")
 def _context(spark: SparkSession, folder: str) -> DataFrame:
     return L.context_only(_features(spark, folder))
 
 
-@query("q_random_control")
-def _random(spark: SparkSession, folder: str) -> DataFrame:
-    return L.random_control(_features(spark, folder))
-
-
 @query("q_low_cost_metrics")
 def _low_cost_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Pair metrics of the low-cost method at every level."""
@@ -71,7 +67,7 @@ def _low_cost_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return E.evaluate_all(labels, all_truth(table(spark, folder, "request_identity")), ["method", "level"])
 
 
-@query("q_stable_handles")
+@query("q_stable_handles", f"with {REQUESTS_SQL}, {Q.HANDLES_SQL} select request_id, handle from hd")
 def _handles(spark: SparkSession, folder: str) -> DataFrame:
     from .functions.handles import stable_handles
     from .operators.requests import canonical_requests

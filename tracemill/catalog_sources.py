@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from .functions.labels import present
 from .operators import evaluation as E
 from .operators import linkage as L
-from .operators import transforms as T
 from .operators.requests import REQUESTS_SQL, canonical_requests
 from .queries import query, table
 from .sources import adapters as A
@@ -35,11 +34,6 @@ def _cutoff(spark: SparkSession, folder: str) -> DataFrame:
     return A.snapshot(r, until_ms=cut if cut is not None else 0).groupBy("bucket").agg(F.count("*").alias("n_requests"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"))
 
 
-@query("q_hash_sample")
-def _sample(spark: SparkSession, folder: str) -> DataFrame:
-    return T.hash_sample(canonical_requests(table(spark, folder, "attack_view")), "request_id", 200)
-
-
 @query("q_first_per_workflow", f"with {REQUESTS_SQL}, i as (select request_id, min(trim(workflow_id)) as w from request_identity where request_id is not null and lower(trim(workflow_id)) not in ('','none','null','unknown','n/a') group by request_id), r as (select request_id, w, row_number() over (partition by w order by ms nulls first, request_id) as k from req join i using (request_id)) select request_id, w as workflow_id from r where k <= 2")
 def _per_workflow(spark: SparkSession, folder: str) -> DataFrame:
     i = table(spark, folder, "request_identity").where("request_id is not null").select("request_id", present(F.col("workflow_id")).alias("w")).where("w is not null").groupBy("request_id").agg(F.min("w").alias("w"))

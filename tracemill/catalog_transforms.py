@@ -74,11 +74,6 @@ def _lengths(spark: SparkSession, folder: str) -> DataFrame:
     return r.select(T.length_bucket(F.col("token_count")).alias("length_bucket")).groupBy("length_bucket").agg(F.count("*").alias("n_requests"))
 
 
-@query("q_broker_mix")
-def _mix(spark: SparkSession, folder: str) -> DataFrame:
-    return T.broker_mix(canonical_requests(table(spark, folder, "attack_view"), "token_count"))
-
-
 _FOUND = f"with {REQUESTS_SQL}, x as (select request_id, ms, i - 1 as i, regexp_extract_all(messages[i].content, '{PATH}') as v from (select request_id, ms, messages, unnest(range(1, coalesce(len(messages), 0) + 1)) as i from req)), y as (select request_id, ms, i, k, lower(v[k]) as value from (select *, unnest(range(1, coalesce(len(v), 0) + 1)) as k from x)), f as (select value, min((coalesce(ms, -1), request_id, i, k)) as place from y group by value)"
 
 

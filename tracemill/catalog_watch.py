@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import features as X
+from .operators import audits as A
 from .operators import similarity as S
 from .operators import watchlists as W
 from .operators.components import components
@@ -100,14 +101,50 @@ def _majority(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _FIELDS = " union all ".join(f"select bucket as label, request_id, '{field}' as field, '{w}' as value from x where regexp_matches(text, '\\b{w}\\b')" for field, words in W.FIELD_WORDS.items() for w in words)
+_NAMED = rf"""select distinct bucket, request_id, 'repo_names', unnest(list_concat(regexp_extract_all(raw, '{X.REPOSITORY}', 2), regexp_extract_all(raw, '{W.REPO_SERVICE}', 1), list_filter(list_transform(regexp_extract_all(raw, '/workspace/([^/\s]+)', 1), lambda s: string_split(s, '__')[2]), lambda r: r <> '' and not regexp_full_match(replace(r, '.', ''), '[0-9]+')))) from x
+ union all select distinct bucket, request_id, 'service_names', unnest(list_concat(regexp_extract_all(raw, '{W.REPO_SERVICE}', 2), regexp_extract_all(raw, '{W.SERVICE_FIELD}', 1), regexp_extract_all(raw, '{W.TARGET_SERVICE}', 1))) from x union all select distinct bucket, request_id, 'internal_domains', unnest(regexp_extract_all(raw, '{X.DOMAIN}')) from x"""
+_FOUND = f"{REQUESTS_SQL}, x as (select request_id, bucket, lower({TEXT_SQL}) as raw, replace(lower({TEXT_SQL}), '-', '_') as text from req), big as (select bucket as label from req group by bucket having count(*) >= 2), h as ({_FIELDS} union all {_NAMED}), k as (select *, row_number() over (partition by label, field, value order by request_id) as r from h join big using (label))"
 
 
-@query("q_rule_profiles", f"with {REQUESTS_SQL}, x as (select request_id, bucket, replace(lower({TEXT_SQL}), '-', '_') as text from req), big as (select bucket as label from req group by bucket having count(*) >= 2), h as ({_FIELDS}), k as (select *, row_number() over (partition by label, field, value order by request_id) as r from h join big using (label)) select label, field, value, count(*) as n_requests, list_sort(list(request_id) filter (where r <= 5)) as evidence from k group by all")
-def _profiles(spark: SparkSession, folder: str) -> DataFrame:
+def _rule(spark: SparkSession, folder: str) -> DataFrame:
     r = canonical_requests(table(spark, folder, "attack_view"), "messages")
     return W.rule_profiles(r.select("request_id", F.lower(request_text(F.col("messages"))).alias("text")), r.select("request_id", F.col("bucket").alias("label")))
 
 
+@query("q_rule_profiles", f"with {_FOUND} select label, field, value, count(*) as n_requests, list_sort(list(request_id) filter (where r <= 5)) as evidence from k group by all")
+def _profiles(spark: SparkSession, folder: str) -> DataFrame:
+    return _rule(spark, folder)
+
+
+def _scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Rule profiles of cache buckets against the truth of their requests."""
+    found = _rule(spark, folder).select(F.col("label").alias("entity"), "field", "value")
+    r = canonical_requests(table(spark, folder, "attack_view")).select("request_id", F.col("bucket").alias("entity"))
+    big = r.groupBy("entity").count().where("count >= 2").select("entity")
+    values = table(spark, folder, "request_identity").select("request_id", F.explode("profile_truth").alias("field", "vals")).select("request_id", "field", F.explode("vals").alias("value")).where("value is not null")
+    truth = values.join(r.join(big, "entity"), "request_id").select("entity", "field", F.lower("value").alias("value"))
+    return W.profile_scores(found, truth)
+
+
+_SCORED = f"""with {_FOUND}, f as (select distinct label, field, value from k), t as (select distinct q.bucket as label, field, lower(value) as value from (select request_id, field, unnest(vals) as value from (select request_id, unnest(map_keys(profile_truth)) as field, unnest(map_values(profile_truth)) as vals from request_identity)) v join req q using (request_id) join big on big.label = q.bucket where value is not null),
+j as (select coalesce(f.field, t.field) as field, (f.label is not null)::int as p, (t.label is not null)::int as q from f full join t on f.label = t.label and f.field = t.field and f.value = t.value), c as (select field, sum(p * q)::bigint as tp, sum(p * (1 - q))::bigint as fp, sum((1 - p) * q)::bigint as fn from j group by field),
+w as (select * from c union all select '__micro__', sum(tp)::bigint, sum(fp)::bigint, sum(fn)::bigint from c)"""
+_PRF = "case when tp + fp > 0 then tp / (tp + fp) else 0 end as precision, case when tp + fn > 0 then tp / (tp + fn) else 0 end as recall, case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end as f1"
+
+
+@query("q_profile_scores", _SCORED + f" select field, tp, fp, fn, {_PRF} from w")
+def _profile_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return _scores(spark, folder)
+
+
+_RISK = ", ".join(f"('{level}', '{field}')" for level, fields in W.RISK_LEVELS.items() for field in fields)
+
+
+@query("q_risk_levels", _SCORED + f", l as (select * from (values {_RISK}) as v(level, field)), g as (select level, sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn from c join l using (field) group by level) select level, tp, fp, fn, {_PRF} from g")
+def _risk(spark: SparkSession, folder: str) -> DataFrame:
+    return A.risk_rollup(_scores(spark, folder), W.RISK_LEVELS)
+
+
 @query("q_profile_truth", "select field, count(*) as n_values, count(distinct value) as n_distinct from (select unnest(map_keys(profile_truth)) as field, unnest(map_values(profile_truth)) as vals from request_identity), (select unnest(vals) as value) group by field")
 def _truth_fields(spark: SparkSession, folder: str) -> DataFrame:
     each = table(spark, folder, "request_identity").select(F.explode("profile_truth").alias("field", "vals")).select("field", F.explode("vals").alias("value"))

@@ -6,13 +6,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.features import DOMAIN, REPOSITORY, WORKSPACE
 from .evaluation import f1, ratio
 
 # Words of each profile field.
 FIELD_WORDS = {
+    "industries": ("finance", "healthcare", "ecommerce", "saas", "security", "logistics"),
     "languages": ("python", "typescript", "javascript", "java", "go", "rust", "ruby"),
     "frameworks": ("fastapi", "django", "flask", "pytest", "jest", "nestjs", "nextjs", "react", "spring", "gin", "rails"),
     "databases": ("postgresql", "mysql", "clickhouse", "redis"),
@@ -20,16 +22,37 @@ FIELD_WORDS = {
     "ci_cd_systems": ("github_actions", "gitlab_ci", "jenkins", "circleci"),
     "auth_systems": ("oauth2", "oidc", "saml", "jwt", "ldap"),
     "package_managers": ("pip", "poetry", "npm", "pnpm", "yarn", "maven", "gradle", "go mod", "cargo"),
+    "build_tools": ("pytest", "tox", "make", "cmake", "bazel", "maven", "gradle", "go test", "cargo"),
+    "security_clues": ("permission bypass", "ssrf", "xss", "audit log", "rbac", "token rotation"),
 }
+# Where services and repositories are named.
+SERVICE_FIELD = r"\bservice=([a-z][a-z0-9_.-]{2,})\b"
+TARGET_SERVICE = r"\btarget service ([a-z][a-z0-9_.-]{2,})\b"
+REPO_SERVICE = r"\bfor ([a-z][a-z0-9_.-]{2,})/([a-z][a-z0-9_.-]{2,})\b"
+#: Fields by how telling they are.
+RISK_LEVELS = {"technical": ["languages", "frameworks", "databases"], "operations": ["cloud_providers", "ci_cd_systems"], "identity": ["industries", "internal_domains"]}
+
+
+def named_things(text: Column) -> Column:
+    """Repositories, services and internal domains that a text (small letters) names: an array of ``field``, ``value``."""
+    struct = lambda field: lambda v: F.struct(F.lit(field).alias("field"), v.alias("value"))
+    every = lambda pattern, group: F.regexp_extract_all(text, F.lit(pattern), group)
+    slugs = F.filter(F.transform(every(WORKSPACE, 1), lambda s: F.get(F.split(s, "__"), F.lit(1))), lambda r: r.isNotNull() & (r != "") & ~F.regexp_replace(r, r"\.", "").rlike(r"^\d+$"))
+    repos = F.concat(every(REPOSITORY, 2), slugs, every(REPO_SERVICE, 1))
+    services = F.concat(every(REPO_SERVICE, 2), every(SERVICE_FIELD, 1), every(TARGET_SERVICE, 1))
+    return F.array_distinct(F.concat(F.transform(repos, struct("repo_names")), F.transform(services, struct("service_names")), F.transform(every(DOMAIN, 0), struct("internal_domains"))))
 
 
 def rule_profiles(texts: DataFrame, labels: DataFrame, least_size: int = 2, evidence: int = 5) -> DataFrame:
     """``label``, ``field``, ``value``, ``n_requests`` and up to five request ids, of clusters of at least ``least_size``.
 
-    ``texts``: ``request_id``, ``text`` (small letters).  Words are matched whole, with ``-`` read as ``_``.
+    ``texts``: ``request_id``, ``text`` (small letters).  Words are matched
+    whole, with ``-`` read as ``_``; repositories, services and internal domains
+    are those that the text names.
     """
     t = F.regexp_replace("text", "-", "_")
-    hits = F.array_compact(F.array(*[F.when(t.rlike(rf"\b{w.replace('-', '_')}\b"), F.struct(F.lit(field).alias("field"), F.lit(w).alias("value"))) for field, words in FIELD_WORDS.items() for w in words]))
+    words = F.array_compact(F.array(*[F.when(t.rlike(rf"\b{w.replace('-', '_')}\b"), F.struct(F.lit(field).alias("field"), F.lit(w).alias("value"))) for field, ws in FIELD_WORDS.items() for w in ws]))
+    hits = F.concat(words, named_things(F.col("text")))
     big = labels.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= least_size).select("label")
     each = texts.select("request_id", F.explode(hits).alias("h")).join(labels.join(big, "label"), "request_id")
     w = Window.partitionBy("label", "h").orderBy("request_id")
