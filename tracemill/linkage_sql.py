@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from .functions import handles as H
 from .operators import linkage as L
+from .operators import states as A
 from .operators.requests import REQUESTS_SQL, TEXT_SQL
 
 
@@ -144,3 +145,59 @@ bs as materialized (select level, u, v from be union select level, v, u from be)
 sa_ as (select ao.level, a from ao join bl on bl.level = ao.level and bl.id = ao.request_id where starts_with(a, 'stable_') group by 1, 2 having count(distinct label) > 1), ag as materialized (select * from ao where (level, a) not in (select level, a from sa_)),
 ga as (select level, min(request_id) over (partition by level, a) as u, request_id as v from ag)"""
 LOW_COST_SQL = f"with recursive {FEATURES_SQL}, {_STAGES}, sx as materialized ({pairs('select * from sg', L.SEMANTIC_BUCKET, True)}), ss as ({scored('sx', 'shared', 'ids', 'sem')}), {_ANCHORED}, ed as materialized (select 'session' as level, l as u, r as v from cl_ union select 'session', l, r from ss where sem >= 2 and jaccard >= 0.32 and ids >= 3 and gap <= 90 union {' union '.join(f'select {chr(39)}{k}{chr(39)}, l, r from rs where {rule}' for k, rule in _REFINE_RULES.items())} union {' union '.join(star(k, v, L.RARE_BUCKETS[k], True) for k, v in _RARE_LEVELS.items())} union select level, u, v from ga where u <> v), {LEVELS_SQL}, {CLOSURE_SQL} select 'low_cost' as method, level, id as request_id, label from lb"
+
+
+# -- bounded states and the look-back linker ------------------------------------------
+def _h(text: str) -> str:
+    return f"('0x' || substring(md5({text}), 1, 15))::bigint"
+
+
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+def _bottom(name: str, rows: str, k: int, order: str = "v") -> str:
+    """The k smallest distinct values of each request."""
+    return f"select request_id, '{name}' as fam, v::varchar as v from (select *, row_number() over (partition by request_id order by {order}) as k from (select distinct request_id, v from ({rows}))) where k <= {k}"
+
+
+#: st(request_id, fam, v): the values of the states' compared lists; sq(request_id, bucket, second, n): what else is compared.
+STATES_SQL = f"""{HANDLES_SQL},
+sq as materialized (select request_id, bucket, cast(floor(ms / 1000.0) as bigint) as second, coalesce(len(messages), 0) as n from req),
+mg as materialized (select request_id, i, coalesce(m.role, '') as role, coalesce(m.name, '') as name, coalesce(m.content, '') as content from (select request_id, i, messages[i] as m from (select request_id, messages, unnest(range(1, coalesce(len(messages), 0) + 1)) as i from req))),
+eh as materialized (select request_id, role, {_h("role || chr(10) || name || chr(10) || array_to_string(list_filter(regexp_split_to_array(content, '[ ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ']+'), lambda x: x <> ''), ' ')")} as v from mg),
+fu as (select request_id, list_transform(regexp_extract_all(content, '{A.TOKEN}'), lambda x: lower(x)) as t from (select *, row_number() over (partition by request_id order by i) as k from mg where role = 'user') where k = 1),
+ig as (select request_id, {_h("array_to_string(t[i:i+2], ' ')")} as v from (select *, unnest(range(1, len(t) - 1)) as i from fu where len(t) >= 3) union all select request_id, {_h("x")} from (select request_id, unnest(t) as x from fu where len(t) < 3)),
+rs_ as (select distinct request_id, lower(unnest(regexp_extract_all(content, '{_quoted(A.RESOURCE)}'))) as x from mg),
+rt as (select request_id, 'workspace:' || lower(unnest(regexp_extract_all(content, '{A.ROOT}', 1))) as v from mg union select request_id, 'repository:' || lower(unnest(regexp_extract_all(content, '{A.REPOSITORY}', 1))) from mg),
+st as materialized ({_bottom("replay", "select request_id, v from eh", A.REPLAY)} union all {_bottom("initial", "select * from ig", A.INITIAL)} union all {_bottom("tool", "select request_id, v from eh where role = ''tool''".replace("''", "'"), A.TOOL)}
+ union all {_bottom("resources", "select request_id, " + _h("x") + " as v from rs_", A.RESOURCES)} union all {_bottom("roots", "select * from rt", A.RESOURCES)}
+ {" ".join(f"union all {_bottom(f'{level}_handles', f'select request_id, handle as v from hd where starts_with(handle, {chr(39)}stable_{level}:{chr(39)})', A.HANDLES)}" for level in ("user", "project", "org", "context"))}),
+sn as materialized (select request_id, fam, count(*) as c from st group by 1, 2)"""
+
+_FAMS = ("replay", "initial", "tool", "resources", "roots", "user_handles", "project_handles", "org_handles", "context_handles")
+
+
+def decisions_sql(variant: str = "full") -> str:
+    """CTEs up to dc: the decision on every request under a variant of the rules."""
+    r = A.VARIANTS[variant]
+    conditions = {"state_replay": "replay >= 0.75", "initial_task": "initial >= 0.6", "typed_handle": "typed > 0", "tool_resource": "tool > 0 or resources > 0", "resource_root": "roots > 0", "ordered_progression": "(delta between 0 and 21600 and (growth > 0 or resources > 0))"}
+    parts = {"state_replay": "3 * replay", "initial_task": "1.5 * initial", "typed_handle": "case when typed > 0 then 0.8 * least(typed + context_handles, 2) else 0 end", "tool_resource": "0.5 * least(tool + resources, 2)", "resource_root": "case when roots > 0 then 3 else 0 end", "ordered_progression": f"case when {conditions['ordered_progression']} then 0.8 else 0 end"}
+    conflicts = {"time_reversal": "delta < 0", "context_shrink": "growth < 0 and replay >= 0.5", "incompatible_user_handles": "su and user_handles = 0", "incompatible_org_handles": "so and org_handles = 0", "competing_initial_roots": "initial < 0.2 and si"}
+    listed = lambda d: "list_filter([" + ", ".join(f"case when {c} then '{n}' end" for n, c in d.items()) + "], lambda x: x is not null)" if d else "[]::varchar[]"
+    on = [f for f in A.FAMILIES if f in r.families]
+    has = lambda f: f"list_contains(fams, '{f}')"
+    rooted = f"({has('resource_root')} and not {has('state_replay')})"
+    steps = [("e is null", "abstain", "no_candidate"), ("len(cons) > 0", "reject", "hard_conflict"), (f"delta > {r.window}", "abstain", "session_gap_exceeded"), (f"{rooted} and not ({has('ordered_progression')} and {has('tool_resource')})", "abstain", "resource_root_without_progression"), (f"{rooted} and resources < 2", "abstain", "weak_resource_continuity"), (f"score < {r.accept_score}", "abstain", "insufficient_score"), (f"len(fams) < {r.least_families}", "abstain", "insufficient_independent_evidence"), (f"score - second_score < {r.least_margin}", "abstain", "ambiguous_runner_up")]
+    ladder = lambda k, last: "case " + " ".join(f"when {s[0]} then '{s[k]}'" for s in steps) + f" else '{last}' end"
+    return f"""po as materialized (select bucket, second // {A.WINDOW_SECONDS} as slot, fam || ':' || v as posting, request_id as id, second from st join sq using (request_id) where second is not null and fam <> 'context_handles'),
+pk as materialized (select * from (select *, count(*) over (partition by bucket, slot, posting) as c from po) where c <= {A.POSTING_CAP}),
+ca as materialized (select distinct e.id as e, l.id as l from pk l join pk e on e.bucket = l.bucket and e.posting = l.posting and e.slot in (l.slot, l.slot - 1) and (e.second < l.second or (e.second = l.second and e.id < l.id)) and l.second - e.second <= {r.window}),
+cc as materialized (select e, l from (select *, row_number() over (partition by l order by e) as k from ca) where k <= {A.CANDIDATES}),
+ov as (select e, l, {", ".join(f"count(*) filter (where a.fam = '{f}') as {f}" for f in _FAMS)} from cc join st a on a.request_id = e join st b on b.request_id = l and b.fam = a.fam and b.v = a.v group by 1, 2),
+sp as (select request_id, {", ".join(f"coalesce(max(c) filter (where fam = '{f}'), 0) as {f}_n" for f in _FAMS)} from sq left join sn using (request_id) group by 1),
+ne as (select cc.e, cc.l, {", ".join(f"coalesce(ov.{f}, 0) as {f}" for f in _FAMS if f not in ("replay", "initial"))}, case when x.replay_n > 0 then coalesce(ov.replay, 0) / x.replay_n else 0 end as replay, case when x.initial_n > 0 then coalesce(ov.initial, 0) / x.initial_n else 0 end as initial, y.second - w.second as delta, y.n - w.n as growth,
+ x.user_handles_n > 0 and z.user_handles_n > 0 as su, x.org_handles_n > 0 and z.org_handles_n > 0 as so, x.initial_n > 0 and z.initial_n > 0 as si from cc left join ov using (e, l) join sp x on x.request_id = e join sp z on z.request_id = l join sq w on w.request_id = e join sq y on y.request_id = l),
+nt as (select *, user_handles + project_handles + org_handles as typed from ne), nv as (select *, {listed({f: conditions[f] for f in on})} as fams, {listed(conflicts if r.conflicts else {})} as cons, {" + ".join(parts[f] for f in on)} as score from nt),
+rk as (select *, row_number() over (partition by l order by score desc, e) as k, coalesce(lead(score) over (partition by l order by score desc, e), 0) as second_score from nv),
+dc as materialized (select request_id, e as predecessor_id, {ladder(1, "accept")} as disposition, coalesce(score, 0)::double as score, coalesce(second_score, 0)::double as runner_up_score, coalesce(score - second_score, 0)::double as margin, coalesce(fams, []) as evidence_families, coalesce(cons, []) as conflicts, {ladder(2, "risk_gate_passed")} as reason from sq left join (select * from rk where k = 1) b on b.l = request_id)"""

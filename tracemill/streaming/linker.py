@@ -27,29 +27,38 @@ def posted(states: DataFrame) -> DataFrame:
     return states.where("second is not null").select("bucket", F.floor(F.col("second") / S.WINDOW_SECONDS).alias("slot"), F.explode(values).alias("posting"), F.col("request_id").alias("id"), "second")
 
 
-def candidates(states: DataFrame, cap: int = S.POSTING_CAP) -> DataFrame:
-    """Distinct pairs ``earlier``, ``later`` that share a posting within the window; postings over the cap in a slot are suppressed."""
+def candidates(states: DataFrame, cap: int = S.POSTING_CAP, most: int | None = S.CANDIDATES, window: int = S.WINDOW_SECONDS) -> DataFrame:
+    """Distinct pairs ``earlier``, ``later`` that share a posting within the window.
+
+    Postings over the cap in a slot are suppressed; a request keeps the first
+    ``most`` candidates by id (all with None).
+    """
     p = posted(states)
-    kept = p.join(p.groupBy("bucket", "slot", "posting").count().where(F.col("count") <= cap).drop("count"), ["bucket", "slot", "posting"])
+    kept = p.join(p.groupBy("bucket", "slot", "posting").count().where((F.col("count") <= cap)).drop("count"), ["bucket", "slot", "posting"])
     late = kept.select("bucket", F.explode(F.array("slot", F.col("slot") - 1)).alias("slot"), "posting", F.col("id").alias("later"), F.col("second").alias("ls"))
     early = kept.select("bucket", "slot", "posting", F.col("id").alias("earlier"), F.col("second").alias("es"))
     pairs = late.join(early, ["bucket", "slot", "posting"])
     before = (F.col("es") < F.col("ls")) | ((F.col("es") == F.col("ls")) & (F.col("earlier") < F.col("later")))
-    return pairs.where(before & (F.col("ls") - F.col("es") <= S.WINDOW_SECONDS)).select("earlier", "later").distinct()
+    found = pairs.where(before & (F.col("ls") - F.col("es") <= window)).select("earlier", "later").distinct()
+    if most is None:
+        return found
+    w = Window.partitionBy("later").orderBy("earlier")
+    return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")
 
 
-def link_states(states: DataFrame) -> DataFrame:
+def link_states(states: DataFrame, rules: S.LinkRules = S.VARIANTS["full"], cap: int = S.POSTING_CAP, most: int | None = S.CANDIDATES) -> DataFrame:
     """The decision on every request of a log: its best predecessor within the window, or why there is none.
 
-    Requests without an instant abstain for want of a candidate.
+    Requests without an instant abstain for want of a candidate; rows that come
+    late are in their place by their instant.
     """
-    pairs = candidates(states)
-    e = states.select(*[F.col(c).alias(f"e_{c}") for c in states.columns])
-    l = states.select(*[F.col(c).alias(f"l_{c}") for c in states.columns])  # noqa: E741
-    found = S.evidence(pairs.join(e, F.col("earlier") == F.col("e_request_id")).join(l, F.col("later") == F.col("l_request_id")))
+    pairs = candidates(states, cap, most, rules.window)
+    need = ["request_id", "second", "message_count", *S.COMPARED]
+    side = lambda tag: states.select(*[F.col(c).alias(f"{tag}_{c}") for c in need])
+    both = pairs.join(side("e"), F.col("earlier") == F.col("e_request_id")).join(side("l"), F.col("later") == F.col("l_request_id"))
     w = Window.partitionBy("later_id").orderBy(F.desc("score"), "earlier_id")
-    best = found.withColumn("r", F.row_number().over(w)).withColumn("runner_up_score", F.coalesce(F.lead("score").over(w), F.lit(0.0))).where("r = 1").drop("r")
-    return S.decide(states.select("request_id").join(best.withColumnRenamed("later_id", "request_id"), "request_id", "left"))
+    best = S.evidence(both, rules).withColumn("r", F.row_number().over(w)).withColumn("runner_up_score", F.coalesce(F.lead("score").over(w), F.lit(0.0))).where("r = 1").drop("r")
+    return S.decide(states.select("request_id").join(best.withColumnRenamed("later_id", "request_id"), "request_id", "left"), rules)
 
 
 def peak_concurrency(intervals: DataFrame, start: str, end: str, key: str | None = None) -> DataFrame:
@@ -68,74 +77,143 @@ def peak_concurrency(intervals: DataFrame, start: str, end: str, key: str | None
 
 
 DECISIONS = "request_id string, predecessor_id string, disposition string, score double, reason string, active long"
-_FIELDS = ("replay", "initial", "tool", "resources", "roots", "user_handles", "project_handles", "org_handles", "context_handles")
-
-
-def _score(e: dict, l: dict) -> tuple[float, list[str], list[str]]:  # noqa: E741
-    """Score, families and conflicts of two compact states, by the same rules as the batch evidence."""
-    s = {f: len(e[f] & l[f]) for f in _FIELDS}
-    replay = s["replay"] / len(e["replay"]) if e["replay"] else 0.0
-    initial = s["initial"] / len(e["initial"]) if e["initial"] else 0.0
-    delta, growth = l["second"] - e["second"], l["n"] - e["n"]
-    typed = s["user_handles"] + s["project_handles"] + s["org_handles"]
-    rules = {"state_replay": replay >= 0.75, "initial_task": initial >= 0.6, "typed_handle": typed > 0, "tool_resource": s["tool"] > 0 or s["resources"] > 0, "resource_root": s["roots"] > 0, "ordered_progression": 0 <= delta <= 21_600 and (growth > 0 or s["resources"] > 0)}
-    families = [k for k, v in rules.items() if v]
-    apart = lambda f: bool(e[f] and l[f] and not e[f] & l[f])
-    against = {"time_reversal": delta < 0, "context_shrink": growth < 0 and replay >= 0.5, "incompatible_user_handles": apart("user_handles"), "incompatible_org_handles": apart("org_handles"), "competing_initial_roots": initial < 0.2 and bool(e["initial"] and l["initial"])}
-    score = 3 * replay + 1.5 * initial + 0.5 * min(s["tool"] + s["resources"], 2)
-    score += 0.8 * min(typed + s["context_handles"], 2) * rules["typed_handle"] + 3.0 * rules["resource_root"] + 0.8 * rules["ordered_progression"]
-    return score, families, [k for k, v in against.items() if v]
-
-
-def _gate(best: tuple[float, list[str], list[str], dict], second: float, resources: int, delta: int) -> tuple[str, str]:
-    score, families, conflicts, _ = best
-    rooted = "resource_root" in families and "state_replay" not in families
-    steps = (
-        (bool(conflicts), "reject", "hard_conflict"), (delta > S.WINDOW_SECONDS, "abstain", "session_gap_exceeded"), (rooted and not {"ordered_progression", "tool_resource"} <= set(families), "abstain", "resource_root_without_progression"), (rooted and resources < 2, "abstain", "weak_resource_continuity"),
-        (score < S.ACCEPT_SCORE, "abstain", "insufficient_score"), (len(families) < S.LEAST_FAMILIES, "abstain", "insufficient_independent_evidence"), (score - second < S.LEAST_MARGIN, "abstain", "ambiguous_runner_up"), (True, "accept", "risk_gate_passed"),
-    )
-    return next((d, r) for hit, d, r in steps if hit)
-
-
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One bucket's rows of a micro-batch, in order of event time."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    held = [{**x, **{f: set(x[f]) for f in _FIELDS}} for x in json.loads(state.get[0])] if state.exists else []
-    rows = pd.concat(list(frames), ignore_index=True).sort_values(["second", "request_id"])
-    out = []
-    for r in rows.itertuples(index=False):
-        now = {"id": r.request_id, "second": int(r.second), "n": int(r.message_count), **{f: {str(v) for v in getattr(r, f)} for f in _FIELDS}}
-        held = [h for h in held if now["second"] - h["second"] <= S.WINDOW_SECONDS]
-        ranked = []
+_KEPT = S.COMPARED
+
+
+class _No:
+    """A truth value with ``&``, ``|`` and ``~`` as columns have them."""
+
+    __slots__ = ("value",)
+
+    def __init__(self, value: bool):
+        self.value = bool(value)
+
+    def __and__(self, other):
+        return _No(self.value and bool(other))
+
+    def __or__(self, other):
+        return _No(self.value or bool(other))
+
+    def __invert__(self):
+        return _No(not self.value)
+
+    def __bool__(self):
+        return self.value
+
+
+def _compare(e: dict, l: dict, rules: S.LinkRules) -> tuple[float, dict, list[str], dict]:  # noqa: E741
+    """Score, families, conflicts and the compared numbers of two states, by the rules of the batch."""
+    v: dict = {f: len(e[f] & l[f]) for f in _KEPT}
+    both = {f: bool(e[f] and l[f]) for f in ("user_handles", "org_handles", "initial")}
+    v |= {f"apart_{f}": both[f] and not v[f] for f in ("user_handles", "org_handles")}
+    v |= {"both_initial": both["initial"], "delta": l["second"] - e["second"], "growth": l["n"] - e["n"], "replay": v["replay"] / len(e["replay"]) if e["replay"] else 0.0, "initial": v["initial"] / len(e["initial"]) if e["initial"] else 0.0}
+    families, conflicts, score = S.judge(v, rules, min, int)
+    return score, families, [c for c, hit in conflicts.items() if hit], v
+
+
+class BucketLinker:
+    """The requests of one bucket in order of event time, with postings, suppression and expiry.
+
+    ``held`` are the states of the window; postings of more than ``cap`` held
+    requests are suppressed for good, and a request is compared with the first
+    ``most`` of those it shares a posting with.
+    """
+
+    def __init__(self, held: list[dict], suppressed: list[str], rules: S.LinkRules, cap: int, most: int | None):
+        self.rules, self.cap, self.most = rules, cap, most
+        self.suppressed = set(suppressed)
+        self.held: dict[str, dict] = {}
+        self.postings: dict[str, dict[str, None]] = {}
+        self.order: list[tuple[int, str]] = []
         for h in held:
-            if h["second"] <= now["second"] and any(h[f] & now[f] for f in _FIELDS if f != "context_handles"):
-                score, families, conflicts = _score(h, now)
-                ranked.append((score, families, conflicts, h))
-        ranked.sort(key=lambda x: (-x[0], x[3]["id"]))
+            self._add(h)
+
+    @staticmethod
+    def _values(x: dict) -> list[str]:
+        return [f"{f}:{v}" for f in S.POSTINGS for v in x[f]]
+
+    def _add(self, x: dict) -> None:
+        self.held[x["id"]] = x
+        self.order.append((x["second"], x["id"]))
+        for value in self._values(x):
+            if value in self.suppressed:
+                continue
+            listed = self.postings.setdefault(value, {})
+            listed[x["id"]] = None
+            if len(listed) > self.cap:
+                del self.postings[value]
+                self.suppressed.add(value)
+
+    def _expire(self, now: int) -> None:
+        gone = [x for x in self.order if now - x[0] > self.rules.window]
+        if not gone:
+            return
+        self.order = [x for x in self.order if now - x[0] <= self.rules.window]
+        for _, key in gone:
+            for value in self._values(self.held.pop(key)):
+                listed = self.postings.get(value)
+                if listed is not None:
+                    listed.pop(key, None)
+                    if not listed:
+                        del self.postings[value]
+
+    def link(self, now: dict) -> tuple:
+        """The decision on a request, which is held from then on."""
+        self._expire(now["second"])
+        near: set[str] = set()
+        for value in self._values(now):
+            near.update(self.postings.get(value, ()))
+        near = {k for k in near if 0 <= now["second"] - self.held[k]["second"] <= self.rules.window}
+        chosen = sorted(near) if self.most is None else sorted(near)[: self.most]
+        ranked = sorted(((*_compare(self.held[k], now, self.rules), k) for k in chosen), key=lambda x: (-x[0], x[4]))
+        active = len(self.held)
         if not ranked:
-            out.append((now["id"], None, "abstain", 0.0, "no_candidate", len(held)))
+            out = (now["id"], None, "abstain", 0.0, "no_candidate", active)
         else:
-            best = ranked[0]
-            verdict, why = _gate(best, ranked[1][0] if len(ranked) > 1 else 0.0, len(best[3]["resources"] & now["resources"]), now["second"] - best[3]["second"])
-            out.append((now["id"], best[3]["id"], verdict, best[0], why, len(held)))
-        held.append(now)
-    state.update((json.dumps([{**h, **{f: sorted(h[f]) for f in _FIELDS}} for h in held]),))
-    newest = max(h["second"] for h in held)
-    if newest * 1000 + S.WINDOW_SECONDS * 1000 > state.getCurrentWatermarkMs():
-        state.setTimeoutTimestamp((newest + S.WINDOW_SECONDS) * 1000)
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in DECISIONS.split(", ")])
-
-
-def link_stream(states: DataFrame) -> DataFrame:
+            score, families, conflicts, v, key = ranked[0]
+            runner_up = ranked[1][0] if len(ranked) > 1 else 0.0
+            told = {f: _No(families.get(f, False)) for f in S.FAMILIES} | {"n_conflicts": len(conflicts), "delta": v["delta"], "resources": v["resources"], "score": score, "n_families": sum(map(bool, families.values())), "margin": score - runner_up}
+            verdict, why = next(((d, r) for hit, d, r in S.gate(told, self.rules) if hit), ("accept", "risk_gate_passed"))
+            out = (now["id"], key, verdict, score, why, active)
+        self._add(now)
+        return out
+
+
+def _pack(linker: BucketLinker) -> str:
+    return json.dumps([[{**h, **{f: sorted(h[f]) for f in _KEPT}} for h in linker.held.values()], sorted(linker.suppressed)])
+
+
+def _unpack(text: str | None) -> tuple[list[dict], list[str]]:
+    if not text:
+        return [], []
+    held, suppressed = json.loads(text)
+    return [{**h, **{f: set(h[f]) for f in _KEPT}} for h in held], suppressed
+
+
+def link_stream(states: DataFrame, rules: S.LinkRules = S.VARIANTS["full"], cap: int = S.POSTING_CAP, most: int | None = S.CANDIDATES) -> DataFrame:
     """Decisions on a stream of states, in append mode.
 
     Rows later than the watermark (the window) are dropped by Spark; within it,
-    a late row is compared with what came before its instant.  The state of a
-    bucket is bounded by the requests of its window and goes by event time.
+    a late row is compared with what came before its instant and is held for
+    those after it.  Requests without an instant can't be placed in event time
+    and are left out.  The state of a bucket is bounded by the requests of its
+    window, the work of a request by its postings' cap and ``most``.
     """
     ship(states.sparkSession)
-    timed = states.where("second is not null").withColumn("event_time", F.timestamp_seconds("second")).withWatermark("event_time", f"{S.WINDOW_SECONDS} seconds")
-    kept = timed.select("bucket", "request_id", "second", "message_count", "event_time", *[F.transform(f, lambda v: v.cast("string")).alias(f) for f in _FIELDS])
-    return kept.groupBy("bucket").applyInPandasWithState(_advance, DECISIONS, "states string", "append", GroupStateTimeout.EventTimeTimeout)
+
+    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        linker = BucketLinker(*_unpack(state.get[0] if state.exists else None), rules, cap, most)
+        rows = pd.concat(list(frames), ignore_index=True).sort_values(["second", "request_id"])
+        out = [linker.link({"id": r.request_id, "second": int(r.second), "n": int(r.message_count), **{f: set(getattr(r, f)) for f in _KEPT}}) for r in rows.itertuples(index=False)]
+        state.update((_pack(linker),))
+        newest = max(h["second"] for h in linker.held.values())
+        if (newest + rules.window) * 1000 > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp((newest + rules.window) * 1000)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in DECISIONS.split(", ")])
+
+    timed = states.where("second is not null").withColumn("event_time", F.timestamp_seconds("second")).withWatermark("event_time", f"{rules.window} seconds")
+    kept = timed.select("bucket", "request_id", "second", "message_count", "event_time", *[F.transform(f, lambda v: v.cast("string")).alias(f) for f in _KEPT])
+    return kept.groupBy("bucket").applyInPandasWithState(advance, DECISIONS, "states string", "append", GroupStateTimeout.EventTimeTimeout)
