@@ -173,8 +173,48 @@ def _ks(spark: SparkSession, folder: str) -> DataFrame:
     return E.ks_statistic(r.where("ms % 2 = 0"), r.where("ms % 2 = 1"), "token_count")
 
 
-@query("q_bootstrap_interval")
+def _resampled(labels: str, name: str) -> str:
+    """CTE of F1 by iteration of ``labels`` (request_id, p) against users, over resamples of organisations."""
+    w = " + ".join(f"(d > {x!r})::int" for x in E.POISSON)
+    pair = "n * (n - 1) / 2"
+
+    def pairs(alias: str, *keys: str) -> str:
+        k = ", ".join(keys)
+        return f"""{name}_{alias} as (select iteration, (select sum(s * (s - 1) / 2) from (select iteration, {k}, sum(n * w) as s from {name}_e group by all) q where q.iteration = o.iteration) - (select sum(n * w * (w - 1) / 2) from {name}_e q where q.iteration = o.iteration) - (select sum((w * w - w) * {pair}) from (select iteration, {k}, u, sum(n) as n, max(w) as w from {name}_e group by all) q where q.iteration = o.iteration) as {alias} from (select distinct iteration from {name}_e) o)"""
+
+    return f"""{name}_x as (select l.p, t.label as t, u.label as u, count(*) as n from {labels} l join {truth_sql("user")} t using (request_id) join {truth_sql("org")} u using (request_id) group by all), {name}_d as (select u, iteration, ('0x' || substring(sha256('7:' || u || ':' || iteration), 1, 12))::ubigint / 281474976710656.0 as d from (select distinct u from {name}_x), (select unnest(range(0, 100)) as iteration)),
+{name}_w as (select u, iteration, {w} as w from {name}_d), {name}_e as materialized (select * from {name}_x join {name}_w using (u) where w > 0), {pairs("pt", "p", "t")}, {pairs("pp", "p")}, {pairs("tt", "t")},
+{name} as (select iteration, case when p + r > 0 then 2 * p * r / (p + r) else 0 end as f1 from (select iteration, case when pp <> 0 then pt / pp else 0 end as p, case when tt <> 0 then pt / tt else 0 end as r from {name}_pt join {name}_pp using (iteration) join {name}_tt using (iteration)))"""
+
+
+_BUCKETS = "(select request_id, bucket as p from req)"
+_HOURS = "(select request_id, coalesce(ms // 3600000, -1)::varchar as p from req)"
+
+
+@query("q_bootstrap_interval", f"with {REQUESTS_SQL}, {_resampled(_BUCKETS, 'b')} select avg(f1) as mean, quantile_cont(f1, 0.025) as low, quantile_cont(f1, 0.975) as high, count(*) as iterations from b")
 def _bootstrap(spark: SparkSession, folder: str) -> DataFrame:
     """Interval of the user-level F1 over 100 resamples of users' organisations."""
     samples = E.bootstrap_f1(_pred(spark, folder), _truth(spark, folder, "user"), _truth(spark, folder, "org"), 100, 7)
     return E.confidence_interval(samples)
+
+
+@query("q_paired_bootstrap", f"with {REQUESTS_SQL}, {_resampled(_BUCKETS, 'b')}, {_resampled(_HOURS, 'h')}, d as (select b.f1 as a, h.f1 as c, b.f1 - h.f1 as d from b join h using (iteration)) select avg(a) as left_f1, avg(c) as right_f1, avg(d) as difference, quantile_cont(d, 0.025) as low, quantile_cont(d, 0.975) as high, avg((d > 0)::int) as left_ahead from d")
+def _paired(spark: SparkSession, folder: str) -> DataFrame:
+    """Cache buckets against hours as labels of users, over the same resamples of organisations."""
+    hours = canonical_requests(table(spark, folder, "attack_view")).select("request_id", F.coalesce(F.floor(F.col("ms") / 3_600_000), F.lit(-1)).cast("string").alias("label"))
+    return E.paired_bootstrap(_pred(spark, folder), hours, _truth(spark, folder, "user"), _truth(spark, folder, "org"), 100, 7)
+
+
+def _weighted(*keys: str) -> str:
+    return f"(select coalesce(sum((s * s - q) / 2), 0) from (select sum(w) as s, sum(w * w) as q from x group by {', '.join(keys)}))"
+
+
+@query(
+    "q_weighted_cross_workflow",
+    f"""with {REQUESTS_SQL}, x as (select bucket as p, t.label as t, f.label as f, 1 + coalesce(token_count, 0) % 3 as w from req join {truth_sql("project")} t using (request_id) join {truth_sql("session")} f using (request_id)),
+y as (select {_weighted("p", "t")} - {_weighted("p", "t", "f")} as h, {_weighted("p")} - {_weighted("p", "f")} as a, {_weighted("t")} - {_weighted("t", "f")} as b), z as (select case when a <> 0 then h / a else 0 end as precision, case when b <> 0 then h / b else 0 end as recall from y)
+select precision, recall, case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0 end as f1 from z""",
+)
+def _weighted_cross(spark: SparkSession, folder: str) -> DataFrame:
+    weights = canonical_requests(table(spark, folder, "attack_view"), "token_count").select("request_id", (F.lit(1) + F.coalesce("token_count", F.lit(0)) % 3).cast("long").alias("weight"))
+    return E.weighted_cross_f1(_pred(spark, folder), _truth(spark, folder, "project"), _truth(spark, folder, "session"), weights)

@@ -47,7 +47,14 @@ def _provenance(spark: SparkSession, folder: str) -> DataFrame:
     return canonical_requests(table(spark, folder, "attack_view")).join(p, "request_id", "left").groupBy(F.coalesce("source", F.lit("missing")).alias("source")).agg(F.count("*").alias("n_requests"))
 
 
-@query("q_trajectory_turns")
+_ROLES = "case when lower(trim(coalesce(m.role, ''))) in ('system', 'user', 'assistant', 'tool') then lower(trim(m.role)) " + " ".join(f"when lower(trim(m.role)) = '{a}' then '{b}'" for a, b in A.ROLE_NAMES.items()) + " else 'user' end"
+_TRAJECTORIES = f"""with {REQUESTS_SQL}, i as (select request_id, min(trim(workflow_id)) as w from request_identity where request_id is not null and lower(trim(workflow_id)) not in ('','none','null','unknown','n/a') group by request_id), r as (select * from req join i using (request_id) where messages is not null),
+g as (select w, arg_max(messages, (len(messages), request_id)) as messages, min(ms) as ms from r group by w), e as (select w, ms, p, messages[p] as m from (select *, unnest(range(1, len(messages) + 1)) as p from g)),
+t as (select w, coalesce(ms // 1000, 0) as start, p, row_number() over (partition by w order by p) as turn from e where p > 1 and {_ROLES} = 'assistant')
+select w || '_' || lpad(turn::varchar, 3, '0') as request_id, w as workflow_id, turn::int as turn_id, strftime(epoch_ms((start + 45 * (turn - 1) + (('0x' || substring(sha256('7:' || w || ':' || turn), 1, 12))::bigint % 16)) * 1000), '%Y-%m-%dT%H:%M:%SZ') as timestamp, p::int as n_messages from t"""
+
+
+@query("q_trajectory_turns", _TRAJECTORIES)
 def _trajectories(spark: SparkSession, folder: str) -> DataFrame:
     """The longest request of each workflow, taken as a trajectory, back to one request a turn."""
     i = table(spark, folder, "request_identity").where("request_id is not null").select("request_id", present(F.col("workflow_id")).alias("w")).where("w is not null").groupBy("request_id").agg(F.min("w").alias("w"))

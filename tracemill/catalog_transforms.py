@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.features import PATH
+from .functions.features import DOMAIN, IDENTIFIER, PATH
 from .functions.labels import present
 from .operators import transforms as T
 from .operators.requests import REQUESTS_SQL, canonical_requests
 from .queries import query, table
+from .scratch import Scratch
 
 
 def _rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,21 +83,74 @@ def _dictionary(spark: SparkSession, folder: str) -> DataFrame:
     return T.entity_dictionary(_rows(spark, folder), PATH, "PATH")
 
 
-@query("q_redact_entities")
+#: Contents by request and place (from 0), and what puts them together again.
+_C0 = "c0 as materialized (select request_id, ms, i, messages[i + 1].content as c from (select request_id, ms, messages, unnest(range(0, coalesce(len(messages), 0))) as i from req))"
+
+
+def _pass(n: int, pattern: str, kind: str) -> str:
+    """CTEs from c{n} to c{n + 1}: every match by its number of first occurrence."""
+    return f"""m{n} as materialized (select request_id, ms, i, k, v[k] as v from (select *, unnest(range(1, len(v) + 1)) as k from (select request_id, ms, i, regexp_extract_all(c, '{pattern}') as v from c{n} where c is not null))),
+d{n} as materialized (select value, '[{kind}_' || case when n < 10000 then lpad(n::varchar, 4, '0') else n::varchar end || ']' as p from (select value, row_number() over (order by place, value) as n from (select lower(v) as value, min((coalesce(ms, -1), request_id, i, k)) as place from m{n} group by 1))),
+r{n} as (select request_id, i, k, p from m{n} join d{n} on lower(v) = value), b{n} as (select request_id, i, k, b[k] as b from (select *, unnest(range(1, len(b) + 1)) as k from (select request_id, i, regexp_split_to_array(c, '{pattern}') as b from c{n} where c is not null))),
+c{n + 1} as materialized (select c{n}.request_id, c{n}.ms, c{n}.i, s as c from c{n} left join (select request_id, i, string_agg(b || coalesce(p, ''), '' order by k) as s from b{n} left join r{n} using (request_id, i, k) group by 1, 2) using (request_id, i))"""
+
+
+def _told(n: int) -> str:
+    """Digest and token count of the contents c{n}."""
+    return f"select req.request_id, md5(coalesce(string_agg(coalesce(c, ''), chr(10) order by i), '')) as digest, coalesce(sum(len(list_filter(regexp_split_to_array(coalesce(c, ''), '[ \t\n\x0b\x0c\r]+'), lambda x: x <> ''))), 0)::bigint as token_count from req left join c{n} using (request_id) group by 1"
+
+
+_ENTITIES = f"{_C0}, {_pass(0, PATH, 'PATH')}, {_pass(1, '(?i)' + DOMAIN, 'DOMAIN')}, {_pass(2, IDENTIFIER, 'ID')}"
+
+
+@query("q_redact_entities", f"with {REQUESTS_SQL}, {_ENTITIES} {_told(3)}")
 def _redact(spark: SparkSession, folder: str) -> DataFrame:
     return _digest(T.redact_all_entities(_rows(spark, folder)))
 
 
-@query("q_workspace_pseudonyms")
+_SLUG = "/workspace/[A-Za-z0-9_.-]+"
+
+
+def _slugs(number: str) -> str:
+    return f"""m0 as materialized (select request_id, ms, i, k, lower(substring(v[k], 12)) as v from (select *, unnest(range(1, len(v) + 1)) as k from (select request_id, ms, i, regexp_extract_all(c, '{_SLUG}') as v from c0 where c is not null))), d0 as materialized ({number}),
+b0 as (select request_id, i, k, b[k] as b from (select *, unnest(range(1, len(b) + 1)) as k from (select request_id, i, regexp_split_to_array(c, '{_SLUG}') as b from c0 where c is not null))),
+c1 as materialized (select c0.request_id, c0.i, s as c from c0 left join (select b0.request_id, b0.i, string_agg(b || coalesce('/workspace/' || p, ''), '' order by b0.k) as s from b0 left join m0 on m0.request_id = b0.request_id and m0.i = b0.i and m0.k = b0.k left join d0 on d0.v = m0.v and (d0.own is null or d0.own = b0.request_id) group by 1, 2) using (request_id, i))"""
+
+
+_STABLE = "select null as own, v, 'workspace_' || lpad(n::varchar, 4, '0') as p from (select v, row_number() over (order by place, v) as n from (select v, min((coalesce(ms, -1), request_id, i, k)) as place from m0 group by 1))"
+_OWN = "select request_id as own, v, 'workspace_' || request_id || '_' || lpad(n::varchar, 3, '0') as p from (select request_id, v, row_number() over (partition by request_id order by place) as n from (select request_id, v, min((i, k)) as place from m0 group by 1, 2))"
+
+
+@query("q_workspace_pseudonyms", f"with {REQUESTS_SQL}, {_C0}, {_slugs(_STABLE)} {_told(1)}")
 def _pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     return _digest(T.pseudonymize_workspaces(_rows(spark, folder)))
 
 
-@query("q_request_pseudonyms")
+@query("q_request_pseudonyms", f"with {REQUESTS_SQL}, {_C0}, {_slugs(_OWN)} {_told(1)}")
 def _request_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     return _digest(T.pseudonymize_workspaces(_rows(spark, folder), "request"))
 
 
+_STRICT = _replace(r"\b[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+\b", "[PAIR]", _replace(r"\b(?:[a-z0-9-]+\.)+(?:internal|local|prod|corp)\b", "[DOMAIN]", _replace(PATH, "[PATH]", _replace(r"\brepository=[^\s]+", "repository=[REPO]")), "gi"))
+
+
+@query("q_strict_sanitize", _sql(_STRICT))
+def _strict(spark: SparkSession, folder: str) -> DataFrame:
+    return _digest(T.map_contents(_rows(spark, folder), T.strict_sanitize))
+
+
+#: The composed defence: secrets, entities, context, then times and counts.
+_M6_MINIMAL = _MINIMAL.replace("m.content", "c").replace("m.role", "role")
+_M6 = f"""with {REQUESTS_SQL}, s0 as (select request_id, ms, i, messages[i + 1] as m from (select request_id, ms, messages, unnest(range(0, coalesce(len(messages), 0))) as i from req)), c0 as materialized (select request_id, ms, i, {_SECRETS} as c from s0), {", ".join([_pass(0, PATH, "PATH"), _pass(1, "(?i)" + DOMAIN, "DOMAIN"), _pass(2, IDENTIFIER, "ID")])},
+z as (select c3.request_id, c3.i, {_M6_MINIMAL} as c from c3 join (select request_id, i, m.role as role from s0) using (request_id, i)), t as ({_told(0).replace("c0", "z")})
+select request_id, digest, case when token_count <= 64 then 64 when token_count <= 128 then 128 when token_count <= 256 then 256 when token_count <= 512 then 512 else 1024 end::bigint as token_count from t"""
+
+
+@query("q_defense_composed", _M6)
+def _m6(spark: SparkSession, folder: str) -> DataFrame:
+    return _digest(T.apply_defense(_rows(spark, folder), "M6"))
+
+
 _JOINED = "coalesce(array_to_string(list_transform(messages, lambda m: coalesce({0}, '')), chr(10)), '')"
 
 
@@ -125,17 +179,54 @@ def _deltas(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("request_id", F.col("w").alias("workflow_id"), F.col("n").cast("long").alias("n_messages"), F.size("delta").cast("long").alias("n_delta"))
 
 
-@query("q_span_lineage")
+def _spans(category: str, pattern: str, cut: int = 0, keep: str = "true") -> str:
+    """Matches of a pattern with their places; ``cut`` characters before the span are part of the pattern only."""
+    return f"""select request_id, ms, i, c, '{category}' as category, (list_sum(list_transform(b[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(v[1:k-1], lambda x: length(x))), 0) + {cut})::bigint as s, substring(v[k], {cut + 1}) as o
+ from (select *, unnest(range(1, len(v) + 1)) as k from (select *, regexp_extract_all(c, '{pattern}') as v, regexp_split_to_array(c, '{pattern}') as b from c0 where c is not null)) where {keep}"""
+
+
+_HANDLE = r"(?i)\b(?:user|customer|account|order|reservation|booking|case|ticket|tenant|organization|org|project|queue|product|item|flight)[_-][A-Za-z0-9][A-Za-z0-9_.:/@-]{3,}\b"
+
+
+def _lineage_sql(scope: str) -> str:
+    return f"""with recursive {REQUESTS_SQL}, {_C0}, sp as materialized ({_spans("workspace", "/workspace/[A-Za-z0-9_.-]+", 11)} union all {_spans("repository", "repository=[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+", 11)} union all {_spans("domain", "(?i)" + DOMAIN)} union all {_spans("typed_handle", _HANDLE, keep="regexp_matches(substring(v[k], strpos(replace(v[k], '-', '_'), '_') + 1), '[0-9]')")}),
+rk as materialized (select *, s + length(o) as f, row_number() over (partition by request_id, i order by s, -length(o), category) as r from sp), g(request_id, i, r, f, taken) as (select request_id, i, r, f, true from rk where r = 1 union all select rk.request_id, rk.i, rk.r, case when rk.s >= g.f then rk.f else g.f end, rk.s >= g.f from g join rk on rk.request_id = g.request_id and rk.i = g.i and rk.r = g.r + 1),
+ed as materialized (select rk.*, {"''" if scope == "dataset" else "rk.request_id"} as scope from rk join g using (request_id, i, r) where taken),
+nn as (select *, row_number() over (partition by category order by place, scope, value) as n from (select scope, category, lower(o) as value, min((coalesce(ms, -1), request_id, i, s)) as place from ed group by 1, 2, 3)),
+nm as (select scope, category, value, case category when 'workspace' then 'workspace_' || lpad(n::varchar, 4, '0') when 'repository' then 'owner_' || lpad(n::varchar, 4, '0') || '/repo_' || lpad(n::varchar, 4, '0') when 'domain' then 'service-' || lpad(n::varchar, 4, '0') || '.internal' else regexp_extract(value, '^[^_-]*') || '_p' || lpad(n::varchar, 6, '0') end as replacement from nn),
+ln as materialized (select request_id, i as message_index, ed.category, s as "start", f as "end", o as original, replacement, sha256(c) as source_hash, c from ed join nm on nm.scope = ed.scope and nm.category = ed.category and nm.value = lower(o))"""
+
+
+_SPAN_COLUMNS = ["request_id", "message_index", "category", "start", "end", "original", "replacement", "source_hash"]
+_EDITED = """, pc as (select request_id, message_index, c, "start", "end", replacement, coalesce(lag("end") over w, 0) as p, row_number() over w as k, count(*) over (partition by request_id, message_index) as n from ln window w as (partition by request_id, message_index order by "start")),
+cs as (select request_id, message_index, string_agg(substring(c, p + 1, "start" - p) || replacement || case when k = n then substring(c, "end" + 1) else '' end, '' order by k) as content from pc group by 1, 2)"""
+
+
+@query("q_span_lineage", _lineage_sql("dataset") + ' select request_id, message_index, category, "start", "end", original, replacement, source_hash from ln')
 def _lineage(spark: SparkSession, folder: str) -> DataFrame:
-    return T.span_lineage(_rows(spark, folder)).select("request_id", "message_index", "category", "start", "end", "original", "replacement")
+    return T.span_lineage(_rows(spark, folder)).select(*_SPAN_COLUMNS)
 
 
-@query("q_lineage_contents")
+@query("q_request_lineage", _lineage_sql("request") + ' select request_id, message_index, category, "start", "end", original, replacement, source_hash from ln')
+def _own_lineage(spark: SparkSession, folder: str) -> DataFrame:
+    return T.span_lineage(_rows(spark, folder), "request").select(*_SPAN_COLUMNS)
+
+
+@query("q_lineage_contents", _lineage_sql("dataset") + _EDITED + " select request_id, message_index, md5(content) as digest from cs")
 def _lineage_contents(spark: SparkSession, folder: str) -> DataFrame:
     r = _rows(spark, folder)
     return T.apply_edits(r, T.span_lineage(r)).select("request_id", "message_index", F.md5("content").alias("digest"))
 
 
+@query("q_lineage_validation", _lineage_sql("dataset") + """ select 0::bigint as unmatched_requests, 0::bigint as changed_counts, 0::bigint as changed_shapes, (select coalesce(sum(length(c)), 0)::bigint from c0) as source_characters, (select count(*) from req) as requests, count(*) as edits, 0::bigint as misplaced_edits, sum("end" - "start")::bigint as edited_characters, 0::bigint as unreproduced_contents,
+ sum("end" - "start") / (select sum(length(c)) from c0) as edited_share from ln""")
+def _validation(spark: SparkSession, folder: str) -> DataFrame:
+    scratch = Scratch(spark, "validation")
+    r = scratch.save(_rows(spark, folder), "rows")
+    edits = scratch.save(T.span_lineage(r), "edits")
+    return T.validate_lineage(r, T.apply_lineage(r, edits), edits)
+
+
 @query("q_hash_fraction", f"with {REQUESTS_SQL} select request_id, round(cast(('0x' || substring(sha256(request_id), 1, 16))::ubigint as double) / 18446744073709551615.0, 9) as fraction from req")
 def _fraction(spark: SparkSession, folder: str) -> DataFrame:
     return canonical_requests(table(spark, folder, "attack_view")).select("request_id", F.round(T.unit_fraction(F.col("request_id")), 9).alias("fraction"))

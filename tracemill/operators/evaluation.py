@@ -7,6 +7,8 @@ an empty denominator is 0.  ``pred`` and ``truth`` have ``request_id`` and
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,6 +180,10 @@ def ks_statistic(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     return run.crossJoin(total).agg(F.coalesce(F.max(F.abs(F.col("cx") / F.col("tx") - F.col("cy") / F.col("ty"))), F.lit(0.0)).alias("ks_statistic"))
 
 
+#: Distribution function of Poisson(1) at 0, 1, ...
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8)]
+
+
 def bootstrap_f1(pred: DataFrame, truth: DataFrame, unit: DataFrame, iterations: int, seed: int) -> DataFrame:
     """Pairwise F1 of resampled units, by iteration.
 
@@ -190,10 +196,10 @@ def bootstrap_f1(pred: DataFrame, truth: DataFrame, unit: DataFrame, iterations:
     rows = _both(pred, truth).join(unit.select("request_id", F.col("label").alias("u")), "request_id")
     cells = rows.groupBy("p", "t", "u").agg(F.count("*").alias("n"))
     units = rows.select("u").distinct().select("u", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
-    draw = F.pmod(F.xxhash64("u", "iteration", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    drawn_from = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("u"), F.col("iteration").cast("string")), 256)
+    draw = F.conv(F.substring(drawn_from, 1, 12), 16, 10).cast("double") / float(16**12)
     # inverse of the Poisson(1) distribution function
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
-    weight = sum((F.when(draw > s, 1).otherwise(0) for s in steps[1:]), F.when(draw > steps[0], 1).otherwise(0))
+    weight = sum((F.when(draw > s, 1).otherwise(0) for s in POISSON[1:]), F.when(draw > POISSON[0], 1).otherwise(0))
     drawn = units.withColumn("w", weight).where("w > 0")
     each = cells.join(drawn, "u")
 
@@ -208,6 +214,34 @@ def bootstrap_f1(pred: DataFrame, truth: DataFrame, unit: DataFrame, iterations:
     return one.select("iteration", p.alias("precision"), r.alias("recall"), f1(p, r).alias("f1"))
 
 
+def paired_bootstrap(left: DataFrame, right: DataFrame, truth: DataFrame, unit: DataFrame, iterations: int, seed: int, level: float = 0.95) -> DataFrame:
+    """One row: F1 of two predictions over the same resamples, the interval of their difference, and the share of resamples where the left one is ahead."""
+    a = bootstrap_f1(left, truth, unit, iterations, seed).select("iteration", F.col("f1").alias("a"))
+    b = bootstrap_f1(right, truth, unit, iterations, seed).select("iteration", F.col("f1").alias("b"))
+    d = a.join(b, "iteration").withColumn("d", F.col("a") - F.col("b"))
+    tail = (1 - level) / 2
+    return d.agg(F.avg("a").alias("left_f1"), F.avg("b").alias("right_f1"), F.avg("d").alias("difference"), F.percentile("d", F.lit(tail)).alias("low"), F.percentile("d", F.lit(1 - tail)).alias("high"), F.avg((F.col("d") > 0).cast("double")).alias("left_ahead"))
+
+
+def weighted_cross_f1(pred: DataFrame, truth: DataFrame, workflow: DataFrame, weights: DataFrame) -> DataFrame:
+    """One row: F1 over pairs of different workflows, each request with its weight (0 leaves it out).
+
+    The weight of a pair is the product of those of its ends, so a group's pairs
+    are (square of the sum - sum of the squares) / 2; pairs within a workflow
+    are taken out in the same way.  ``weights``: ``request_id``, ``weight``.
+    """
+    rows = _both(pred, truth).join(workflow.select("request_id", F.col("label").alias("w")), "request_id").join(weights, "request_id")
+
+    def pairs(*keys: str) -> DataFrame:
+        g = rows.groupBy(*keys).agg(F.sum("weight").alias("s"), F.sum(F.col("weight") * F.col("weight")).alias("q"))
+        return g.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0.0)).alias("".join(keys)))
+
+    one = pairs("p", "t").crossJoin(pairs("p", "t", "w")).crossJoin(pairs("p")).crossJoin(pairs("p", "w")).crossJoin(pairs("t")).crossJoin(pairs("t", "w"))  # single rows
+    hits, predicted, positive = F.col("pt") - F.col("ptw"), F.col("p") - F.col("pw"), F.col("t") - F.col("tw")
+    p, r = ratio(hits, predicted), ratio(hits, positive)
+    return one.select(p.alias("precision"), r.alias("recall"), f1(p, r).alias("f1"))
+
+
 def confidence_interval(samples: DataFrame, column: str = "f1", level: float = 0.95) -> DataFrame:
     """Mean and the two quantiles (by linear interpolation) of a sampled metric."""
     tail = (1 - level) / 2

@@ -85,6 +85,7 @@ def sessionize(events: DataFrame, keys: list[str], time_ms: str, gap_ms: int, sc
     keyed = keyed.where(F.col("ms").isNotNull())
     for k in keys:
         keyed = keyed.where(F.col(k).isNotNull())
+    keyed = scratch.save(keyed, "events")  # range partitioning reads its input twice, to sample and to move it
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = keyed.repartitionByRange(n, *keys, "ms").sortWithinPartitions(*keys, "ms")
     schema = T.StructType([*[T.StructField(k, T.StringType()) for k in keys], *[T.StructField(k, T.LongType()) for k in ("start_ms", "end_ms", "n")], T.StructField("edge", T.BooleanType())])

@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 ROLE_NAMES = {"human": "user", "customer": "user", "ai": "assistant", "agent": "assistant", "gpt": "assistant", "function": "tool", "observation": "tool", "environment": "tool", "developer": "system"}
 
 
+def drawn(k: int, *parts: Column) -> Column:
+    """A number from 0 to k - 1 by SHA-256 of the parts: random, but the same in every run and engine."""
+    return (F.conv(F.substring(F.sha2(F.concat_ws(":", *parts), 256), 1, 12), 16, 10).cast("long") % k).cast("long")
+
+
 def normal_role(role: Column) -> Column:
     r = F.lower(F.trim(F.coalesce(role, F.lit(""))))
     out = F.when(r.isin("system", "user", "assistant", "tool"), r)
@@ -28,7 +33,7 @@ def turns_from_trajectories(rows: DataFrame, id_col: str, messages: str, policy:
     turns = each.where((F.col("x.role") == "assistant") & (F.col("pos") > 0))
     turn = F.row_number().over(Window.partitionBy("workflow_id").orderBy("pos"))
     system = F.struct(F.lit("system").alias("role"), F.substring("policy", 1, 3000).alias("content"), F.lit(None).cast("string").alias("name"))
-    second = F.col("start") + step_seconds * (F.col("turn_id") - 1) + F.pmod(F.xxhash64("workflow_id", "turn_id", F.lit(seed)), F.lit(jitter))
+    second = F.col("start") + step_seconds * (F.col("turn_id") - 1) + drawn(jitter, F.lit(str(seed)), F.col("workflow_id"), F.col("turn_id").cast("string"))
     return turns.withColumn("turn_id", turn).select(
         F.format_string("%s_%03d", F.col("workflow_id"), F.col("turn_id")).alias("request_id"), "workflow_id", "turn_id",
         F.date_format(F.timestamp_seconds(second), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), F.concat(F.array(system), F.slice("m", F.lit(1), F.col("pos"))).alias("messages"),
