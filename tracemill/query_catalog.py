@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog_audits, catalog_documents, catalog_features, catalog_linkage, catalog_metrics, catalog_sources, catalog_stream, catalog_transforms, catalog_watch  # noqa: F401
+from . import catalog_audits, catalog_documents, catalog_features, catalog_generators, catalog_linkage, catalog_metrics, catalog_sources, catalog_stream, catalog_transforms, catalog_watch  # noqa: F401
 from .operators.sessions import request_sessions
 from .queries import query, table
 

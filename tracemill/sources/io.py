@@ -64,8 +64,14 @@ def write_table(parts: Iterable[DataFrame], path: str) -> None:
 
 
 def markdown(df: DataFrame, most: int = 200) -> str:
-    """A small summary as a Markdown table (floats with three digits); at most ``most`` rows, as it is a report."""
-    rows = df.limit(most).collect()
+    """A small summary as a Markdown table (floats with three digits).
+
+    A report holds at most ``most`` rows; a longer table raises an error and is
+    never cut silently.
+    """
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows; write a table instead")
     cell = lambda v: "" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v).replace("|", "\\|")
     lines = ["| " + " | ".join(df.columns) + " |", "| " + " | ".join("---" for _ in df.columns) + " |"]
     return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows]) + "\n"
@@ -77,6 +83,21 @@ def summary_json(df: DataFrame) -> str:
     return json.dumps(row.asDict(recursive=True) if row else {}, indent=2, sort_keys=True, default=str)
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """A one-row summary as an indented JSON file."""
+    with open(path, "w", encoding="utf-8") as out:
+        out.write(summary_json(df) + "\n")
+
+
+def removed_fields(df: DataFrame) -> DataFrame:
+    """``field``, ``n_rows``: the columns that ``provider_view`` drops, and in how many rows each has a value."""
+    gone = [c for c in df.columns if c not in REQUEST_LOG.fieldNames()]
+    if not gone:
+        return df.sparkSession.createDataFrame([], "field string, n_rows bigint")
+    counted = df.agg(*[F.count(c).alias(c) for c in gone])
+    return counted.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("n_rows")) for c in gone])).alias("x")).select("x.*")
+
+
 def provider_view(df: DataFrame) -> DataFrame:
     """The columns that linkage may see; labels and all other columns are dropped, nested metadata too."""
     kept = [c for c in REQUEST_LOG.fieldNames() if c in df.columns]
