@@ -1,5 +1,8 @@
+import random
+
 from pyspark.sql import functions as F
 
+from tracemill.operators import encoders as C
 from tracemill.operators import similarity as S
 from tracemill.operators import states as A
 from tracemill.operators import watchlists as W
@@ -54,11 +57,61 @@ def test_similarity(spark):
     assert S.top_k_cosine(v.where("false"), v, 3).count() == 0
 
 
-def test_hashed_index_recall(spark):
-    rows = spark.range(400).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: (F.sin(F.floor(F.col("id") / 20) * 7 + i * i) + 0.1 * F.sin(F.col("id") * (i + 1))).cast("float")).alias("embedding"))
+def test_index_of_cells(spark):
+    """Rows in groups: the index finds nearly all neighbours and compares few rows."""
+    rows = spark.range(1200).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: (F.sin(F.floor(F.col("id") / 20) * 7 + i * i) + 0.1 * F.sin(F.col("id") * (i + 1))).cast("float")).alias("embedding"))
     q = rows.where("vec_id % 50 = 0")
-    found = S.hashed_neighbours(rows, q, 5, size=16)
-    assert S.recall_of(found, S.top_k_cosine(rows, q, 5)).head()["recall"] >= 0.9
+    got = C.index_report(rows, q, S.top_k_cosine(rows, q, 5), 5).head()
+    assert got["recall"] >= 0.9 and got["compared_share"] < 0.2
+    with_nulls = rows.unionByName(spark.createDataFrame([(5000, None)], "vec_id long, embedding array<float>"))
+    assert C.index_report(with_nulls, q, S.top_k_cosine(rows, q, 5), 5).head()["recall"] >= 0.9
+    assert C.index_report(rows.where("false"), q, S.top_k_cosine(rows, q, 5), 5).head()["found"] == 0
+
+
+def test_nearest_earlier_text_against_all_pairs(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(90):
+        base = rows[rng.randrange(len(rows))][2].split() if rows and rng.random() < 0.6 else rng.sample(words, 12)
+        rows.append((f"r{i:03}", i * 100, " ".join([*base, rng.choice(words)])))
+    df = spark.createDataFrame([*rows, ("none", None, "x"), ("empty", 50, None)], "request_id string, second long, text string")
+    places = {r["request_id"]: r["p"] for r in df.select("request_id", C.hashed_places(C.terms(F.col("text")), 1 << 15).alias("p")).collect()}
+
+    def vector(i):
+        out = {}
+        for p in places[i] or []:
+            out[p] = out.get(p, 0) + 1
+        n = sum(x * x for x in out.values()) ** 0.5
+        return {k: x / n for k, x in out.items()}
+
+    order = sorted((s, i) for i, s, _ in [*rows, ("empty", 50, None)])
+    want = {}
+    for n, (s, i) in enumerate(order):
+        scored = sorted(((round(sum(x * vector(j).get(k, 0) for k, x in vector(i).items()), 6), j) for t, j in order[max(0, n - 20) : n] if s - t <= 2_000), reverse=True)
+        best, second = (scored[0] if scored else (0.0, None)), (scored[1][0] if len(scored) > 1 else 0.0)
+        want[i] = (best[1], best[0], "accept" if scored and best[0] >= 0.72 and best[0] - second >= 0.04 else "abstain")
+    got = {r["request_id"]: r for r in C.nearest_earlier(df, window_seconds=2_000, active=20).collect()}
+    assert got["none"]["disposition"] == "abstain" and len(got) == len(rows) + 2
+    for i, (best, score, verdict) in want.items():
+        assert abs(got[i]["score"] - score) < 2e-6 and got[i]["disposition"] == verdict, i
+    assert sum(v[2] == "accept" for v in want.values()) > 10
+
+
+def test_heavy_hitters_candidates_and_late_rows_in_the_bucket_linker():
+    rules = A.VARIANTS["full"]
+    state = lambda i, second, replay=(), user=(): {"id": i, "second": second, "n": 1, **{f: set() for f in A.COMPARED}, "replay": set(replay), "user_handles": set(user)}
+    linker = K.BucketLinker([], [], rules, cap=3, most=2)
+    for n in range(5):
+        linker.link(state(f"r{n}", n, ["hot"]))
+    assert linker.suppressed == {"replay:hot"} and linker.link(state("r9", 9, ["hot"]))[4] == "no_candidate"
+    linker = K.BucketLinker([], [], rules, cap=64, most=2)
+    for n in range(5):
+        linker.link(state(f"r{n}", n, ["x"], ["u"]))
+    assert linker.link(state("late", 2, ["x"], ["u"]))[1] == "r0"  # later ones are no predecessors, and of the earlier ones two are compared
+    assert linker.link(state("after", 2 + rules.window, ["x"], ["u"]))[5] == 4 and "r0" not in linker.held
+    again = K.BucketLinker(*K._unpack(K._pack(linker)), rules, 64, 2)
+    assert set(again.held) == set(linker.held) and again.postings.keys() == linker.postings.keys()
 
 
 def test_watchlist(spark):

@@ -10,11 +10,13 @@ from .functions import features as X
 from .functions.handles import stable_handles
 from .operators import blocking as B
 from .operators import documents as D
+from .operators import encoders as C
 from .operators import linkage as L
 from .operators import states as S
 from .operators import watchlists as W
 from .operators.requests import REQUESTS_SQL, TEXT_SQL, canonical_requests, request_text
 from .queries import query, table
+from .scratch import Scratch
 
 
 def _rows(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -207,3 +209,38 @@ def _sketched(spark: SparkSession, folder: str) -> DataFrame:
     t = _texts(spark, folder).withColumn("w", X.word_list(F.col("text"))).where("size(w) >= 5")
     runs = F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: S.hashed(F.array_join(F.slice("w", i, 5), " ")))
     return B.candidate_pairs(B.postings(t.withColumn("h", runs), B.sketch_bands(F.col("h")), F.col("bucket")), 80)
+
+
+_TFIDF = f"""with c as (select doc_id as id, t as term, count(*) as n from (select doc_id, unnest(regexp_extract_all(lower(text), '{C.WORD}')) as t from documents where text is not null) where t not in ({", ".join(f"'{w}'" for w in C.STOP)}) group by 1, 2), d as (select term, count(*) as df from c group by 1),
+w as (select id, term, (1 + ln(n)) * (1 + ln((1 + (select count(*) from documents where text is not null)) / (1 + df))) as w from c join d using (term)), x as (select id, term, w / sqrt(sum(w * w) over (partition by id)) as weight from w)"""
+
+
+@query("q_tfidf_terms", _TFIDF + " select id, term, round(weight, 6) as weight, rank from (select *, row_number() over (partition by id order by round(weight, 9) desc, term) as rank from x) where rank <= 3")
+def _tfidf(spark: SparkSession, folder: str) -> DataFrame:
+    """The three weightiest terms of each document."""
+    t = C.tfidf(table(spark, folder, "documents").where("text is not null"), "doc_id")
+    return B.top_k(t, ["id"], [F.desc(F.round("weight", 9)), F.col("term")], 3).select("id", "term", F.round("weight", 6).alias("weight"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("q_text_decisions")
+def _text_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """The nearest earlier text of each request within the window."""
+    r = _rows(spark, folder, "messages")
+    return C.nearest_earlier(r.select("request_id", F.floor(F.col("ms") / 1000).alias("second"), request_text(F.col("messages")).alias("text")))
+
+
+@query("q_semantic_profiles")
+def _semantic_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Profiles of cache buckets by spans near to descriptions, with the hashing encoder."""
+    r = _rows(spark, folder, "messages")
+    ontology = {f: {v: " ".join([v, *ns]) for v, ns in vs.items()} for f, vs in D.CLUES.items()}
+    return C.semantic_profiles(D.evidence_spans(r).select("request_id", "span"), ontology, r.select("request_id", F.col("bucket").alias("label")))
+
+
+@query("q_combined_scores")
+def _combined(spark: SparkSession, folder: str) -> DataFrame:
+    """Dense and sparse scores of requests that share a band of shingles, over their dense documents."""
+    pairs = Scratch(spark, "combined").save(_sketched(spark, folder).select("left", "right").distinct(), "pairs")
+    used = pairs.select(F.explode(F.array("left", "right")).alias("request_id")).distinct()
+    docs = Scratch(spark, "combined").save(_rows(spark, folder, "messages").where("messages is not null").join(used, "request_id").select(F.col("request_id").alias("id"), D.dense_document(F.col("messages")).alias("text")), "documents")
+    return C.combined_scores(pairs, C.encode_documents(docs, C.hashing_encoder()).select("id", "vector"), C.tfidf(docs), 0.5, 0.2)

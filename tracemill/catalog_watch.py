@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import features as X
 from .operators import audits as A
+from .operators import encoders as C
 from .operators import similarity as S
 from .operators import watchlists as W
 from .operators.components import components
@@ -48,11 +49,11 @@ def _mutual_all(spark: SparkSession, folder: str) -> DataFrame:
     return S.mutual_among_all(v, _queries(v), 0.01).select("left", "right", F.round("score", 6).alias("score"))
 
 
-@query("q_hashed_recall")
-def _hashed(spark: SparkSession, folder: str) -> DataFrame:
-    """Recall of the hashed index against the exact neighbours."""
+@query("q_index_recall")
+def _index(spark: SparkSession, folder: str) -> DataFrame:
+    """Recall of the index of cells against the exact neighbours, and the share of rows it compares."""
     v = table(spark, folder, "embeddings")
-    return S.recall_of(S.hashed_neighbours(v, _queries(v), 10), S.top_k_cosine(v, _queries(v), 10))
+    return C.index_report(v, _queries(v), S.top_k_cosine(v, _queries(v), 10))
 
 
 # -- watchlists: clusters are cache buckets, tokens are domains and repositories -----------

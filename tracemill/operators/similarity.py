@@ -1,4 +1,4 @@
-"""Dense similarity: exact top-k, mutual neighbours, thresholds, and a hashed index."""
+"""Dense similarity: exact top-k, mutual neighbours and thresholds (an index is in ``encoders``)."""
 
 from __future__ import annotations
 
@@ -136,38 +136,6 @@ def threshold_links(vectors: DataFrame, least: float, id_col: str = "vec_id", ve
     return blocks.join(other, blocks["ids"][0] <= other["o_ids"][0]).mapInArrow(run, "u long, v long")
 
 
-def hyperplane_bands(v: Column, size: int, bands: int, bits: int, seed: int) -> Column:
-    """Signs of projections on random planes, ``bits`` a band; planes come from the seed, not from the data."""
-    planes = np.random.default_rng(seed).standard_normal((bands, bits, size)).round(4)
-
-    def band(b: int) -> Column:
-        signs = [F.when(F.aggregate(F.zip_with(v, F.array(*map(F.lit, map(float, p))), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x) >= 0, "1").otherwise("0") for p in planes[b]]
-        return F.concat(F.lit(f"{b}:"), *signs)
-
-    return F.array(*[band(b) for b in range(bands)])
-
-
-def hashed_neighbours(vectors: DataFrame, queries: DataFrame, k: int, size: int = 64, bands: int = 16, bits: int = 5, probes: int = 1, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Approximate top-k: candidates that share a band with the query (or one at a flipped bit), then exact scores.
-
-    Every row is indexed, in bands computed by native expressions; a band's
-    bucket grows with the data by a factor of 2^-bits, so ``bits`` goes up with
-    the number of rows.
-    """
-    kept = lambda df: df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), unit(F.col(vec_col)).alias("v"))
-    base = kept(vectors).withColumn("bands", hyperplane_bands(F.col("v"), size, bands, bits, seed))
-    asked = kept(queries).withColumn("bands", hyperplane_bands(F.col("v"), size, bands, bits, seed))
-    flip = lambda b, i: F.concat(F.substr(b, F.lit(1), F.length(b) - bits + i), F.when(F.substr(b, F.length(b) - bits + i + 1, F.lit(1)) == "1", "0").otherwise("1"), F.substr(b, F.length(b) - bits + i + 2))
-    near = F.flatten(F.transform("bands", lambda b: F.array(b, *[flip(b, i) for i in range(bits)] if probes else []))) if probes else F.col("bands")
-    a = asked.select(F.col("id").alias("query_id"), F.explode(near).alias("band"))
-    b = base.select("id", F.explode("bands").alias("band"))
-    pairs = a.join(b, "band").where("query_id <> id").select("query_id", "id").distinct()
-    dot = F.aggregate(F.zip_with("qv", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = pairs.join(base.select("id", "v"), "id").join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id").select("query_id", "id", dot.alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def recall_of(found: DataFrame, exact: DataFrame) -> DataFrame:
     """One row: the share of exact neighbours that were found."""
     hit = exact.join(found.select("query_id", "id").withColumn("hit", F.lit(1)), ["query_id", "id"], "left")

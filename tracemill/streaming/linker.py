@@ -212,7 +212,8 @@ def link_stream(states: DataFrame, rules: S.LinkRules = S.VARIANTS["full"], cap:
         newest = max(h["second"] for h in linker.held.values())
         if (newest + rules.window) * 1000 > state.getCurrentWatermarkMs():
             state.setTimeoutTimestamp((newest + rules.window) * 1000)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in DECISIONS.split(", ")])
+        names = [c.split()[0] for c in DECISIONS.split(", ")]
+        yield pd.DataFrame({n: pd.Series([r[i] for r in out], dtype=object if n in ("request_id", "predecessor_id", "disposition", "reason") else None) for i, n in enumerate(names)})
 
     timed = states.where("second is not null").withColumn("event_time", F.timestamp_seconds("second")).withWatermark("event_time", f"{rules.window} seconds")
     kept = timed.select("bucket", "request_id", "second", "message_count", "event_time", *[F.transform(f, lambda v: v.cast("string")).alias(f) for f in _KEPT])
