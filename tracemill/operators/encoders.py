@@ -172,7 +172,7 @@ def _probes(x: np.ndarray, c: np.ndarray, k: int, want: float) -> int:
     return int(needed[min(len(needed) - 1, int(np.ceil(want * len(needed))) - 1)]) + 1
 
 
-def cell_index(vectors: DataFrame, k: int = 10, want: float = 0.95, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, np.ndarray, int]:
+def cell_index(vectors: DataFrame, k: int = 10, want: float = 0.92, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, np.ndarray, int]:
     """Every row with its cell (``id``, ``v``, ``cell``), the cells' centres, and how many cells a query looks into.
 
     Cells are as many as the root of the number of rows (at most 4,096, so the
@@ -203,7 +203,7 @@ def nearest_cells(v: Column, centres: np.ndarray, probes: int) -> Column:
     return run(v)
 
 
-def cell_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, want: float = 0.95, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
+def cell_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, want: float = 0.92, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
     """Approximate top-k of each query by the cells it looks into (``query_id``, ``id``, ``score``, ``rank``), and the number of candidates of each query."""
     from .similarity import unit
 
@@ -220,7 +220,7 @@ def cell_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, want: f
     return top, scored.groupBy("query_id").agg(F.count("*").alias("candidates"))
 
 
-def index_report(vectors: DataFrame, queries: DataFrame, exact: DataFrame, k: int = 10, want: float = 0.95, **names: str) -> DataFrame:
+def index_report(vectors: DataFrame, queries: DataFrame, exact: DataFrame, k: int = 10, want: float = 0.92, **names: str) -> DataFrame:
     """One row: recall of the index against the exact neighbours, and the share of all rows that a query is compared with."""
     found, candidates = cell_neighbours(vectors, queries, k, want, **names)
     hit = exact.join(found.select("query_id", "id").withColumn("hit", F.lit(1)), ["query_id", "id"], "left").agg(F.count("*").alias("neighbours"), F.coalesce(F.sum("hit"), F.lit(0)).alias("found"))
