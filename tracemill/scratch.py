@@ -57,10 +57,10 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(schema).parquet(self.path(name))
 
-    def save_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
-        """``save``, and the number of rows, which comes with the write and costs no job of its own."""
+    def save_counted(self, df: DataFrame, name: str, of: str = "true") -> tuple[DataFrame, int]:
+        """``save``, and the number of rows where ``of`` holds, which comes with the write and costs no job of its own."""
         seen = Observation()
-        return self.save(df.observe(seen, F.count(F.lit(1)).alias("rows")), name), seen.get["rows"]
+        return self.save(df.observe(seen, F.count_if(F.expr(of)).alias("rows")), name), seen.get["rows"]
 
     def drop(self, *names: str) -> None:
         for name in names:
