@@ -82,10 +82,9 @@ def _propagate(links: DataFrame, scratch: Scratch) -> DataFrame | None:
         named = labels.select(F.col("u").alias("label"), F.col("label").alias("jump"))
         both = labels.join(offers, "u", "left").join(named, "label", "left")
         least = F.least("label", F.coalesce("offer", "label"), F.coalesce("jump", "label"))
-        last = f"labels{k}"
-        labels, _ = scratch.save_counted(both.select("u", least.alias("label"), (least < F.col("label")).alias("fell")), last)
+        labels, fell = scratch.save_counted(both.select("u", least.alias("label"), (least < F.col("label")).alias("fell")), f"labels{k}", "fell")
         scratch.drop(f"labels{k - 1}")
-        if not labels.where("fell").head(1):
+        if not fell:
             return labels.select("u", "label")
 
 
