@@ -9,7 +9,7 @@ from . import linkage_sql as Q
 from .functions.features import FeatureOptions
 from .operators import evaluation as E
 from .operators import linkage as L
-from .operators.requests import REQUESTS_SQL, all_truth
+from .operators.requests import REQUESTS_SQL, all_truth, truth_sql
 from .queries import query, table
 
 
@@ -60,7 +60,12 @@ def _context(spark: SparkSession, folder: str) -> DataFrame:
     return L.context_only(_features(spark, folder))
 
 
-@query("q_low_cost_metrics")
+_METRICS = f"""{Q.LOW_COST_SQL.split(" select 'low_cost' as method")[0]}, tt as ({" union all ".join(f"select '{level}' as level, request_id, label from {truth_sql(level)}" for level in L.LEVELS)}), xx as (select lb.level, lb.label as p, tt.label as t, count(*) as n from lb join tt on tt.level = lb.level and tt.request_id = lb.id group by 1, 2, 3),
+h_ as (select level, sum(n * (n - 1) / 2) as h, sum(n)::bigint as items from xx group by 1), p_ as (select level, sum(n * (n - 1) / 2) as a, count(*) as clusters from (select level, p, sum(n) as n from xx group by 1, 2) group by 1), t_ as (select level, sum(n * (n - 1) / 2) as b from (select level, t, sum(n) as n from xx group by 1, 2) group by 1),
+m_ as (select level, items, clusters, case when a > 0 then h / a else 0 end as p, case when b > 0 then h / b else 0 end as r from h_ join p_ using (level) join t_ using (level)) select 'low_cost' as method, level, items, clusters, p as precision, r as recall, case when p + r > 0 then 2 * p * r / (p + r) else 0 end as f1 from m_"""
+
+
+@query("q_low_cost_metrics", _METRICS)
 def _low_cost_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Pair metrics of the low-cost method at every level."""
     labels = L.low_cost(_features(spark, folder))
