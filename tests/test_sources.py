@@ -84,3 +84,33 @@ def test_exchangeable_sessions_cannot_be_told_apart(spark):
     alike = G.exchangeable_features(f, 2)
     labels = L.low_cost(alike.drop("truth_session", "truth_user")).where("level = 'session'")
     assert labels.select("label").distinct().count() == 5
+
+
+def test_summary_file_and_sizes_of_states(spark, make_log, tmp_path):
+    from tracemill.operators import states as S
+
+    IO.write_json(spark.createDataFrame([(1, "é")], "a int, b string"), str(tmp_path / "s.json"))
+    assert json.loads((tmp_path / "s.json").read_text(encoding="utf-8")) == {"a": 1, "b": "é"}
+    states = S.agent_states(make_log(("r", ["read order_778899 in /workspace/a"], "2026-01-01T00:00:00Z", "k"), ("s", None)))
+    got = {r["request_id"]: (r["n"], r["b"]) for r in states.select("request_id", S.state_size().alias("n"), S.state_bytes().alias("b")).collect()}
+    assert got["s"] == (0, 160 + 49 + len("cache_unavailable")) and got["r"][0] >= 5 and got["r"][1] > 160 + 49 * got["r"][0]
+
+
+def test_methods_by_name(spark):
+    f = A.synthetic_features(spark, 1, 12).drop("truth_session", "truth_user")
+    got = L.run_methods(f, ["temporal", "tool", "rare", "random"])
+    assert {r["method"]: r["n"] for r in got.groupBy("method").agg(F.count("*").alias("n")).collect()} == {m: 48 for m in ("temporal", "tool", "rare", "random")}
+    with pytest.raises(ValueError):
+        L.run_methods(f, ["nothing"])
+
+
+def test_merges_above_the_session(spark):
+    from tracemill.operators import states as S
+
+    sessions = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c"), ("d", "d")], "request_id string, label string")
+    empty = []
+    states = spark.createDataFrame([("a", ["stable_user:user:u_1"], empty, empty), ("b", empty, ["stable_project:queue:q_1"], empty), ("c", ["stable_user:user:u_1"], ["stable_project:queue:q_1"], empty), ("d", empty, empty, ["stable_org:org:o_1"])], "request_id string, user_handles array<string>, project_handles array<string>, org_handles array<string>")
+    got = {(r["level"], r["request_id"]): r["label"] for r in S.higher_levels(sessions, states).collect()}
+    assert [got["user", x] for x in "abcd"] == ["a", "a", "a", "d"]
+    assert [got["project", x] for x in "abcd"] == ["a", "a", "c", "d"]  # a queue is no kind that merges
+    assert [got["org", x] for x in "abcd"] == ["a", "a", "c", "d"]
