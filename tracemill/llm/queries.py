@@ -112,5 +112,9 @@ select id as request_id, min(label) as group_id from r group by id
 """
 
 
+#: What the labels say: a document is found if and only if it is labelled so.
+_P8 = "select spam, spam as found, count(*) as n_documents from spam_labels group by 1"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _P2, "p3_found": _P3}
+    return {"p2_found": _P2, "p3_found": _P3, "p8_against_labels": _P8}
