@@ -282,11 +282,62 @@ def low_cost(features: DataFrame, budget: int = PAIRS_PER_REQUEST) -> DataFrame:
     return named.join(least, ["level", "part"]).select("method", "level", "request_id", "label")
 
 
+def _held_sets(f: DataFrame, scratch: Scratch) -> DataFrame:
+    """``block``, ``value``, ``n``, ``weight``, ``id``: one value of each set of values that the same requests hold.
+
+    Requests repeat earlier ones, so most values have the same holders as many
+    others.  Their sets are told apart by number and two 64-bit hashes;
+    ``weight`` is how many values the set has, ``n`` how many holders.  Values
+    of one request count for no pair and are left out.
+    """
+    ids, coded = not_stable(F.col("identifiers")), lambda c: F.transform(c, lambda v: F.xxhash64(v))
+    families = {"shingles": F.col("shingles"), "ids": coded(ids), "repo": coded(_starting(F.col("identifiers"), "repo_full:")), "domain": coded(F.col("domains"))}
+    posted = reduce(DataFrame.unionByName, [B.postings(f, v, F.lit(name)) for name, v in families.items()])
+    holders = posted.groupBy("block", "value").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("y")).where("n > 1")
+    sets = scratch.save(holders.groupBy("block", "n", "x", "y").agg(F.min("value").alias("value"), F.count("*").alias("weight")).select("block", "value", "n", "weight"), "sets")
+    return scratch.save(posted.join(sets, ["block", "value"]), "held")
+
+
+def prefix_pairs(f: DataFrame, cap: int, scratch: Scratch, least: float = 0.08, slices: int | None = None) -> DataFrame:
+    """Pairs that share a shingle of at most ``cap`` requests and have a similarity of ``least``: ``left``, ``right``, ``jaccard``, ``ids``, ``repo``, ``domain``.
+
+    No features move with the pairs.  Shared shingles up to the cap are counted
+    where the pairs come from; of the others, and of identifiers and domains,
+    one value of each set goes along.  Pairs are made in slices of about four a
+    request, each written before the next one, so disk grows as the requests do.
+    """
+    held = _held_sets(f, scratch)
+    few = (F.col("block") == "shingles") & (F.col("n") <= cap)
+    lists = scratch.save(held.where(few).groupBy("value").agg(F.array_sort(F.collect_list("id")).alias("members"), F.first("weight").alias("values")).select(F.lit("").alias("block"), "members", "values"), "lists")
+    each = lambda name: F.collect_list(F.when(F.col("block") == name, F.struct("value", "weight"))).alias(name)
+    names = ("shingles", "ids", "repo", "domain")
+    profiles = held.where(~few).groupBy("id").agg(*[each(name) for name in names])
+    profiles = scratch.save(f.select(F.col("request_id").alias("id"), F.size("shingles").alias("size")).join(profiles, "id", "left"), "profiles")
+    scratch.drop("held", "sets")
+    if slices is None:
+        made = lists.agg(F.sum(F.size("members") * (F.size("members") - 1) / 2)).first()[0] or 0
+        slices = max(1, -int(-made // max(1, 4 * profiles.count())))
+    a = profiles.select(F.col("id").alias("left"), *[F.col(c).alias(f"a_{c}") for c in ("size", *names)])
+    b = profiles.select(F.col("id").alias("right"), *[F.col(c).alias(f"b_{c}") for c in ("size", *names)])
+
+    def over(name: str) -> Column:
+        theirs = F.transform(f"b_{name}", lambda x: x["value"])
+        return F.coalesce(F.aggregate(F.filter(f"a_{name}", lambda x: F.array_contains(theirs, x["value"])), F.lit(0).cast("long"), lambda n, x: n + x["weight"]), F.lit(0).cast("long"))
+
+    out = []
+    for k in range(slices):
+        pairs = B._expanded(lists, "values").where(F.pmod(F.xxhash64("left"), F.lit(slices)) == k).groupBy("left", "right").agg(F.sum("values").alias("few"))
+        both = pairs.join(a, "left").join(b, "right").withColumn("shared", F.col("few") + over("shingles"))
+        alike = both.withColumn("jaccard", F.col("shared") / (F.col("a_size") + F.col("b_size") - F.col("shared"))).where(F.col("jaccard") >= least)
+        out.append(scratch.save(alike.select("left", "right", "jaccard", *[over(name).alias(name) for name in names[1:]]), f"pairs{k}"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def prefix(features: DataFrame, cap: int = 40) -> DataFrame:
     """Links of pairs that share a shingle, by similarity and what else they share."""
-    scratch = Scratch(features.sparkSession, "prefix")
-    f = scratch.save(features, "features")
-    s = scratch.save(pair_scores(B.candidate_pairs(B.postings(f, F.col("shingles")), cap), f, ("jaccard", "ids", "repo", "domain")), "scored")
+    scratch = Scratch(features.sparkSession, "prefix", lean=True)
+    f = scratch.save(features.select("request_id", "shingles", "identifiers", "domains"), "features")
+    s = prefix_pairs(f, cap, scratch)
     c = F.col
     rules = {"session": c("jaccard") >= 0.22, "user": (c("jaccard") >= 0.12) & (c("ids") >= 3), "project": (c("jaccard") >= 0.08) & (c("repo") >= 1), "org": (c("jaccard") >= 0.08) & (c("domain") + c("ids") >= 3)}
     return _components("prefix", {level: _uv(s.where(rule)) for level, rule in rules.items()}, f)
