@@ -13,7 +13,7 @@ from .operators.requests import REQUESTS_SQL, all_truth, truth_sql
 from .queries import query, table
 
 
-def _features(spark: SparkSession, folder: str, **off: bool) -> DataFrame:
+def _features(spark: SparkSession, folder: str, **off: bool | None) -> DataFrame:
     return L.feature_table(table(spark, folder, "attack_view"), FeatureOptions(**off))
 
 
@@ -52,7 +52,7 @@ def _hybrid(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("q_prefix", Q.PREFIX_SQL)
 def _prefix(spark: SparkSession, folder: str) -> DataFrame:
-    return L.prefix(_features(spark, folder, signatures=False))
+    return L.prefix(_features(spark, folder, signatures=False, handles=False, window_chars=None, max_shingles=None))
 
 
 @query("q_context_only", Q.CONTEXT_SQL + " where level = 'session' union all select 'context_only', level, id, id from vx where level <> 'session'")

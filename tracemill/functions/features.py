@@ -39,7 +39,7 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class FeatureOptions:
-    """Which families to compute and their budgets; a family that is off is an empty array."""
+    """Which families to compute and their budgets (None: no budget); a family that is off is an empty array."""
 
     words: bool = True
     shingles: bool = True
@@ -50,10 +50,11 @@ class FeatureOptions:
     signatures: bool = True
     repositories: bool = True
     business: bool = True
+    handles: bool = True
     time: bool = True
     cache: bool = True
-    window_chars: int = WINDOW_CHARS
-    max_shingles: int = MAX_SHINGLES
+    window_chars: int | None = WINDOW_CHARS
+    max_shingles: int | None = MAX_SHINGLES
     max_words: int = MAX_WORDS
     hashed: bool = True
 
@@ -68,8 +69,10 @@ def ablation(name: str) -> FeatureOptions:
     return FeatureOptions(**{family: False})
 
 
-def bounded_text(text: Column, most: int = WINDOW_CHARS) -> Column:
+def bounded_text(text: Column, most: int | None = WINDOW_CHARS) -> Column:
     """The text, or its first and last half-budget around a mark where it is longer than ``most``."""
+    if most is None:
+        return text
     half = most // 2
     return F.when(F.char_length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, half), F.lit(OMITTED), F.right(text, F.lit(half))))
 

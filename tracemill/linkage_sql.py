@@ -86,8 +86,10 @@ def star(level: str, values: str, cap: int, block: bool = False) -> str:
     return f"select '{level}' as level, f as u, request_id as v from (select request_id, min(request_id) over (partition by b, v) as f, count(*) over (partition by b, v) as n from {rows}) where n between 2 and {cap} and request_id <> f"
 
 
-def pairs(values: str, cap: int, block: bool = False) -> str:
-    """Distinct pairs l < r of members of the buckets of at most ``cap``."""
+def pairs(values: str, cap: int | None, block: bool = False) -> str:
+    """Distinct pairs l < r of members of the buckets of at most ``cap`` (of all buckets with None)."""
+    if cap is None:
+        return f"select distinct a.request_id as l, c.request_id as r from ({values}) a join ({values}) c on a.v = c.v and a.request_id < c.request_id"
     rows = f"(select *, count(*) over (partition by b, v) as n from (select request_id, v, {'bucket' if block else chr(39) * 2} as b from ({values}) join bk using (request_id)))"
     return f"select distinct a.request_id as l, c.request_id as r from {rows} a join {rows} c on a.b = c.b and a.v = c.v and a.request_id < c.request_id where a.n between 2 and {cap} and c.n between 2 and {cap}"
 
@@ -113,7 +115,7 @@ _ORG = "select request_id, v from dom union select * from ide where starts_with(
 RARE_SQL = f"with recursive {FEATURES_SQL}, ed as ({star('session', 'select * from trc', 12)} union {star('user', 'select * from usr', 500)} union {star('project', 'select * from ide where ' + _starts('repo_full:'), 2000)} union {star('org', _ORG + ' union select * from ide where contains(v, ' + chr(39) + '-' + chr(39) + ') and not ' + _starts('trace-'), 2000)}), {LEVELS_SQL}, {CLOSURE_SQL} select 'rare' as method, level, id as request_id, label from lb"
 
 _PREFIX_RULES = {"session": "jaccard >= 0.22", "user": "jaccard >= 0.12 and ids >= 3", "project": "jaccard >= 0.08 and repo >= 1", "org": "jaccard >= 0.08 and domain + ids >= 3"}
-PREFIX_SQL = f"with recursive {FEATURES_SQL}, pr as materialized ({pairs('select * from sh', 40)}), sc as materialized ({scored('pr', 'shared', 'ids', 'repo', 'domain')}), ed as ({' union '.join(f'select {chr(39)}{k}{chr(39)} as level, l as u, r as v from sc where {rule}' for k, rule in _PREFIX_RULES.items())}), {LEVELS_SQL}, {CLOSURE_SQL} select 'prefix' as method, level, id as request_id, label from lb"
+PREFIX_SQL = f"with recursive {FEATURES_SQL}, pr as materialized ({pairs('select * from sh', None)}), sc as materialized ({scored('pr', 'shared', 'ids', 'repo', 'domain')}), ed as ({' union '.join(f'select {chr(39)}{k}{chr(39)} as level, l as u, r as v from sc where {rule}' for k, rule in _PREFIX_RULES.items())}), {LEVELS_SQL}, {CLOSURE_SQL} select 'prefix' as method, level, id as request_id, label from lb"
 
 _HYBRID = "select * from inf union select * from trc union select * from dom union select * from usr"
 _SCORES = "3 * least(trace, 1) + least(usern, 1) + least(ids, 5) / 5 + 1.2 * jaccard + case when gap <= 180 then 0.8 else 0 end + 0.2 * least(na, nc) / greatest(1, na, nc)"

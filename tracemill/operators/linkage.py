@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import features as X
 from ..functions.handles import stable_handles
 from ..scratch import Scratch
+from . import alike as A
 from . import blocking as B
 from .components import components
 from .ordered import numbered, running_max, running_sum
@@ -60,13 +61,14 @@ def feature_table(attack_view: DataFrame, options: X.FeatureOptions | None = Non
     """One row of features per request; families that are off are empty arrays."""
     o = options or X.FeatureOptions()
     r = canonical_requests(attack_view, "messages", "tool_schemas", "token_count")
-    r = r.withColumn("text", F.lower(request_text(F.col("messages")))).withColumn("handles", stable_handles(F.col("messages")) if o.business else F.array().cast("array<string>"))
+    r = r.withColumn("text", F.lower(request_text(F.col("messages")))).withColumn("handles", stable_handles(F.col("messages")) if o.business and o.handles else F.array().cast("array<string>"))
     t = F.col("text")
     window = X.bounded_text(t, o.window_chars)
     none, numbers = F.array().cast("array<string>"), F.array().cast("array<bigint>")
     ids = [X.plain_identifiers(window)] if o.identifiers else []
     ids += [X.repositories(t)] if o.repositories else []
-    ids += [X.business_keys(t), F.col("handles")] if o.business else []
+    ids += [X.business_keys(t)] if o.business else []
+    ids += [F.col("handles")] if o.business and o.handles else []
     systems = F.array_join(F.transform(F.filter("messages", lambda m: m["role"] == "system"), lambda m: F.coalesce(m["content"], F.lit(""))), "\n")
     tools = F.array_join(F.array_sort(F.transform("tool_schemas", lambda s: F.concat_ws("|", s["name"], F.array_join(s["parameters"], ",")))), ";")
     return r.select(
@@ -333,14 +335,26 @@ def prefix_pairs(f: DataFrame, cap: int, scratch: Scratch, least: float = 0.08,
     return reduce(DataFrame.unionByName, out)
 
 
-def prefix(features: DataFrame, cap: int = 40) -> DataFrame:
-    """Links of pairs that share a shingle, by similarity and what else they share."""
+#: Links of ``prefix`` by similarity and shared identifiers, repositories and domains.
+PREFIX_RULES = {
+    "session": lambda alike, ids, repo, domain: alike >= 0.22,
+    "user": lambda alike, ids, repo, domain: (alike >= 0.12) & (ids >= 3),
+    "project": lambda alike, ids, repo, domain: (alike >= 0.08) & (repo >= 1),
+    "org": lambda alike, ids, repo, domain: (alike >= 0.08) & (domain + ids >= 3),
+}
+
+
+def prefix(features: DataFrame, block: int | None = None) -> DataFrame:
+    """Links of all pairs that share a shingle, however many requests hold it, by similarity and what else they share."""
     scratch = Scratch(features.sparkSession, "prefix", lean=True)
-    f = scratch.save(features.select("request_id", "shingles", "identifiers", "domains"), "features")
-    s = prefix_pairs(f, cap, scratch)
-    c = F.col
-    rules = {"session": c("jaccard") >= 0.22, "user": (c("jaccard") >= 0.12) & (c("ids") >= 3), "project": (c("jaccard") >= 0.08) & (c("repo") >= 1), "org": (c("jaccard") >= 0.08) & (c("domain") + c("ids") >= 3)}
-    return _components("prefix", {level: _uv(s.where(rule)) for level, rule in rules.items()}, f)
+    values = A.coded(shingles=F.col("shingles"), ids=not_stable(F.col("identifiers")), repo=_starting(F.col("identifiers"), "repo_full:"), domain=F.col("domains"))
+    f = scratch.save(features.select("request_id", F.xxhash64("request_id").alias("key"), F.size("shingles").alias("size"), values.alias("values")), "features")
+    held = A.held_sets(f, scratch)
+    requests = scratch.save(f.drop("values"), "requests")
+    scratch.drop("features", "sets")
+    found = A.links(requests, held, PREFIX_RULES, 0.08, scratch, block)
+    scratch.drop("held", "blocks")
+    return _components("prefix", {level: found.where(F.col("level") == level).select("u", "v") for level in PREFIX_RULES}, requests)
 
 
 def hybrid_scores(scored: DataFrame) -> DataFrame:
