@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -81,12 +82,17 @@ def found(text: Column, pattern: str, group: int = 0) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), group))
 
 
+def matches(text: Column, pattern: str, group: int, *marks: str) -> Column:
+    """All matches in lower-case text of a pattern of which every match has one of the marks; texts without a mark are not searched."""
+    return F.when(reduce(lambda a, b: a | b, [F.contains(text, F.lit(m)) for m in marks]), F.regexp_extract_all(text, F.lit(pattern), group)).otherwise(F.array().cast("array<string>"))
+
+
 def paths(text: Column) -> Column:
     return found(text, PATH)
 
 
 def domains(text: Column) -> Column:
-    return found(text, DOMAIN)
+    return F.array_distinct(matches(text, DOMAIN, 0, ".internal", ".local", ".prod", ".corp"))
 
 
 def traces(text: Column) -> Column:
@@ -105,19 +111,20 @@ def usernames(path_list: Column) -> Column:
 
 def repositories(text: Column) -> Column:
     """Three typed ids (owner, name, full) of each repository field and workspace path."""
-    fields = F.transform(F.regexp_extract_all(text, F.lit(REPOSITORY), 0), lambda m: F.array(F.regexp_extract(m, REPOSITORY, 1), F.regexp_extract(m, REPOSITORY, 2)))
-    slugs = F.filter(F.transform(paths(text), lambda p: F.regexp_extract(p, WORKSPACE, 1)), lambda s: F.contains(s, F.lit("__")))
+    fields = F.transform(matches(text, REPOSITORY, 0, "repository="), lambda m: F.array(F.regexp_extract(m, REPOSITORY, 1), F.regexp_extract(m, REPOSITORY, 2)))
+    slugs = F.filter(F.transform(F.array_distinct(matches(text, PATH, 0, "/workspace/")), lambda p: F.regexp_extract(p, WORKSPACE, 1)), lambda s: F.contains(s, F.lit("__")))
     parts = F.transform(slugs, lambda s: F.array(F.substring_index(s, "__", 1), F.substr(s, F.instr(s, "__") + 2)))
     typed = lambda p: F.array(F.concat(F.lit("repo_owner:"), F.lower(p[0])), F.concat(F.lit("repo_name:"), F.lower(p[1])), F.concat(F.lit("repo_full:"), F.lower(p[0]), F.lit("/"), F.lower(p[1])))
     return F.array_distinct(F.flatten(F.transform(F.concat(fields, parts), typed)))
 
 
+_KEYS = ("tenant", "customer_ref", "account_cache", "case_id", "queue", "service_line", "internal_domain", "loyalty_tier", "region")
 _TRIM = "._-/:@;,'\"`()[]{}"
 
 
 def business_keys(text: Column) -> Column:
     """Typed ids of ``key=value`` fields and of named objects: of users, projects and organisations."""
-    pairs = F.transform(F.regexp_extract_all(text, F.lit(KEY_VALUE), 0), lambda m: F.struct(F.substring_index(m, "=", 1).alias("k"), F.btrim(F.lower(F.substr(m, F.instr(m, "=") + 1)), F.lit(_TRIM)).alias("v")))
+    pairs = F.transform(matches(text, KEY_VALUE, 0, *[f"{k}=" for k in _KEYS]), lambda m: F.struct(F.substring_index(m, "=", 1).alias("k"), F.btrim(F.lower(F.substr(m, F.instr(m, "=") + 1)), F.lit(_TRIM)).alias("v")))
     pairs = F.filter(pairs, lambda p: (F.char_length(p["v"]) >= 3) & (F.char_length(p["v"]) <= 120))
 
     def typed(p: Column) -> Column:
@@ -133,10 +140,12 @@ def business_keys(text: Column) -> Column:
             )
         )
 
-    objects = F.zip_with(F.regexp_extract_all(text, F.lit(BUSINESS_OBJECT), 1), F.regexp_extract_all(text, F.lit(BUSINESS_OBJECT), 2), lambda k, v: F.struct(F.lower(k).alias("k"), F.btrim(F.lower(v), F.lit(_TRIM)).alias("v")))
+    lower = F.lower(text)  # the pattern takes capitals too
+    named = lambda group: F.when(F.contains(lower, F.lit("-airline-")) | F.contains(lower, F.lit("-retail-")), F.regexp_extract_all(text, F.lit(BUSINESS_OBJECT), group)).otherwise(F.array().cast("array<string>"))
+    objects = F.zip_with(named(1), named(2), lambda k, v: F.struct(F.lower(k).alias("k"), F.btrim(F.lower(v), F.lit(_TRIM)).alias("v")))
     objects = F.filter(objects, lambda p: (F.char_length(p["v"]) >= 3) & (F.char_length(p["v"]) <= 120))
-    named = F.transform(objects, lambda p: F.concat(F.lit("business_project:"), p["k"], F.lit(":"), p["v"]))
-    return F.array_distinct(F.concat(F.flatten(F.transform(pairs, typed)), named))
+    projects = F.transform(objects, lambda p: F.concat(F.lit("business_project:"), p["k"], F.lit(":"), p["v"]))
+    return F.array_distinct(F.concat(F.flatten(F.transform(pairs, typed)), projects))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -160,10 +169,13 @@ def words(text: Column, most: int | None = MAX_WORDS) -> Column:
 
 def shingles(text: Column, size: int = 5, most: int | None = MAX_SHINGLES, hashed: bool = False) -> Column:
     """Distinct runs of ``size`` words in order, at most ``most`` (all with None); fewer words than that are their own shingles."""
-    runs = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(t) - (size - 1))), lambda i: F.array_join(F.slice(t, i, size), " "))
-    out = let(word_list(text), lambda t: F.when(F.size(t) < size, t).otherwise(runs(t)))
-    if hashed:
-        out = F.transform(out, lambda s: F.xxhash64(s))
+    starts = lambda t: F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(t) - (size - 1)))
+    if hashed:  # of the words' hashes: no text is put together
+        runs = lambda t: F.transform(starts(t), lambda i: F.xxhash64(*[F.get(t, i + (k - 1)) for k in range(size)]))
+        out = let(F.transform(word_list(text), lambda w: F.xxhash64(w)), lambda t: F.when(F.size(t) < size, t).otherwise(runs(t)))
+    else:
+        runs = lambda t: F.transform(starts(t), lambda i: F.array_join(F.slice(t, i, size), " "))
+        out = let(word_list(text), lambda t: F.when(F.size(t) < size, t).otherwise(runs(t)))
     return F.array_distinct(out) if most is None else F.slice(F.array_distinct(out), 1, most)
 
 

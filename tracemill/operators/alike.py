@@ -23,6 +23,8 @@ from ..scratch import Scratch
 FAMILIES = ("shingles", "ids", "repo", "domain")
 #: Requests a block; small tables get at least four blocks, so that all cores have work.
 BLOCK = 32_768
+#: Holders in a block from which on a value counts as one of many, at least (a sixteenth of the block otherwise).
+HOT = 8
 #: Bits of a count of identifiers, repositories or domains where the three are added up as one number.
 _BITS = 17
 
@@ -38,16 +40,80 @@ def coded(**families: Column) -> Column:
     return F.concat(*[marked(families[name], k) for k, name in enumerate(FAMILIES)])
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Hashes of 64-bit numbers (the finalizer of splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _postings(parts: int, negative: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The values of a batch of requests, those below zero or the others, by part: keys, and places among the keys and values as arrays of numbers."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, lists = batch["key"].to_numpy(), batch["values"]
+            values = lists.flatten().to_numpy()
+            at = np.repeat(np.arange(len(keys), dtype=np.int32), pc.list_value_length(lists).to_numpy())
+            mine = (values < 0) == negative
+            values, at = values[mine], at[mine]
+            part = ((values >> 2) % parts).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            values, at, bounds = values[order], at[order], np.concatenate(([0], np.cumsum(np.bincount(part, minlength=parts))))
+            rows = [(p, i, j) for p, (i, j) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if j > i]
+            blobs = lambda x: pa.array([x[i:j].tobytes() for _, i, j in rows], pa.binary())
+            yield pa.record_batch({"part": pa.array([p for p, _, _ in rows], pa.int32()), "keys": pa.array([keys.tobytes()] * len(rows), pa.binary()), "at": blobs(at), "values": blobs(values)})
+
+    return cut
+
+
+def _part_sets(table: pa.Table) -> pa.Table:
+    """The sets of holders of a part's values: family, number and two hashes, smallest value, and number of values."""
+    keys, values = [], []
+    for row in table.to_pylist():
+        keys.append(np.frombuffer(row["keys"], np.uint64)[np.frombuffer(row["at"], np.int32)])
+        values.append(np.frombuffer(row["values"], np.int64))
+    keys, values = np.concatenate(keys), np.concatenate(values)
+    order = np.argsort(values, kind="stable")
+    keys, values = keys[order], values[order]
+    first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    n = np.diff(np.append(first, len(values)))
+    x, y = np.bitwise_xor.reduceat(_mixed(keys), first), np.add.reduceat(_mixed(keys ^ np.uint64(0x9E3779B97F4A7C15)), first)
+    many = n > 1
+    value, n, x, y = values[first][many], n[many], x[many].view(np.int64), y[many].view(np.int64)
+    order = np.lexsort((value, n, y, x, value & 3))
+    value, n, x, y = value[order], n[order], x[order], y[order]
+    new = np.concatenate(([True], ((value[1:] ^ value[:-1]) & 3 != 0) | (n[1:] != n[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))[: len(value)]
+    first = np.flatnonzero(new)
+    return pa.table({"family": (value & 3)[first], "n": n[first].astype(np.int64), "x": x[first], "y": y[first], "value": value[first], "weight": np.diff(np.append(first, len(value))).astype(np.int64)})
+
+
+#: Values that one task groups at a time.
+PART = 2_000_000
+
+
 def held_sets(f: DataFrame, scratch: Scratch) -> DataFrame:
     """``key``, ``value``, ``weight``: of every set of values that the same requests hold, its smallest value, and how many they are.
 
-    ``f``: ``key``, ``values``.  Sets are told apart by family, number and two
-    64-bit hashes of the holders; values of one request are left out.
+    ``f``: ``key``, ``values`` (distinct).  Sets are told apart by family,
+    number and two 64-bit hashes of the holders; values of one request are left
+    out.  The values below zero and the others go one after the other, so that
+    only half of them is in shuffle files at a time.
     """
-    posted = f.select("key", F.explode("values").alias("value"))
-    holders = posted.groupBy("value").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "key")).alias("y")).where("n > 1")
-    sets = holders.groupBy(F.col("value").bitwiseAND(F.lit(3)).alias("family"), "n", "x", "y").agg(F.min("value").alias("value"), F.count("*").alias("weight"))
-    return scratch.save(posted.join(scratch.save(sets.select("value", "weight"), "sets"), "value"), "held")
+    total = f.agg(F.sum(F.size("values"))).first()[0] or 0
+    parts = max(8, -(-total // (2 * PART)))
+    local = []
+    for negative in (True, False):
+        cut = f.select("key", "values").mapInArrow(_postings(parts, negative), "part int, keys binary, at binary, values binary")
+        local.append(scratch.save(cut.groupBy("part").applyInArrow(_part_sets, "family long, n long, x long, y long, value long, weight long"), f"local{negative}"))
+    sets = local[0].unionByName(local[1]).groupBy("family", "n", "x", "y").agg(F.min("value").alias("value"), F.sum("weight").alias("weight"))
+    sets = scratch.save(sets.select("value", "weight"), "sets")
+    scratch.drop("localTrue", "localFalse")
+    out = []
+    for negative in (True, False):
+        half = (F.col("value") < 0) == F.lit(negative)
+        out.append(scratch.save(f.select("key", F.explode("values").alias("value")).where(half).join(sets.where(half), "value"), f"held{negative}"))
+    return out[0].unionByName(out[1])
 
 
 def _pack(key: tuple, table: pa.Table) -> pa.Table:
@@ -88,28 +154,46 @@ def scores(a: Block, b: Block, least: float) -> Iterator[tuple[int, np.ndarray,
     share = least / (1 + least) * (1 - 1e-9)
     wanted = b.sizes * share
     n = len(b.sizes)
+    hot = common & (np.diff(np.append(bounds, bounds[-1]))[place] >= max(HOT, n // 16)) if len(b.values) else common
 
     def added(at: np.ndarray) -> np.ndarray:
         from_, to = bounds[place[at]], bounds[place[at] + 1]
         lists = [holders[i:j] for i, j in zip(from_.tolist(), to.tolist(), strict=True)]
-        return np.bincount(np.concatenate(lists), np.repeat(weight[at], to - from_), n)
-
-    for x in range(len(a.sizes)):
-        at = a.at[a.bounds[x] : a.bounds[x + 1]]
-        at = at[common[at]]
-        light = family[at] == 0
-        if not light.any():
+        return np.bincount(np.concatenate(lists), np.repeat(weight[at], to - from_), n) if lists else np.zeros(n)
+
+    def parted(mine: np.ndarray) -> tuple[list[np.ndarray], list[bytes]]:
+        """Each request's values of few holders, and its values of many (as bytes, for requests share these)."""
+        owner = np.repeat(np.arange(len(a.sizes)), np.diff(a.bounds))
+        keep = common[a.at] & mine[a.at]
+        owner, at = owner[keep], a.at[keep]
+        order = np.lexsort((at, owner))
+        owner, at = owner[order], at[order]
+        many = hot[at]
+        cut = lambda of: np.split(at[of], np.cumsum(np.bincount(owner[of], minlength=len(a.sizes)))[:-1])
+        return cut(~many), [x.tobytes() for x in cut(many)]
+
+    few, many = parted(family == 0)
+    other_few, other_many = parted(family > 0)
+    base, of_base, other_base, of_other = np.zeros(0), None, np.zeros(0), None
+    low = (1 << _BITS) - 1
+    # requests with the same values of many holders follow one another, so these are added up once for them
+    for x in sorted(range(len(a.sizes)), key=lambda i: (many[i], other_many[i])):
+        if not (len(few[x]) or many[x]):
             continue
-        shared = added(at[light])
-        near = np.flatnonzero(shared >= np.maximum(wanted + share * a.sizes[x], 1))
-        shared = shared[near]
+        if many[x] != of_base:
+            base, of_base = added(np.frombuffer(many[x], np.int32)) - wanted, many[x]
+        over = base + added(few[x]) if len(few[x]) else base
+        near = np.flatnonzero(over >= share * a.sizes[x])
+        shared = np.rint(over[near] + wanted[near])
         alike = shared / (a.sizes[x] + b.sizes[near] - shared)
         near, alike = near[alike >= least], alike[alike >= least]
         if not len(near):
             continue
-        rest = at[~light]
-        other = added(rest)[near].astype(np.int64) if len(rest) else np.zeros(len(near), np.int64)
-        low = (1 << _BITS) - 1
+        if other_many[x] != of_other:
+            other_base, of_other = added(np.frombuffer(other_many[x], np.int32)).astype(np.int64), other_many[x]
+        other = other_base[near]
+        if len(other_few[x]):
+            other = other + added(other_few[x])[near].astype(np.int64)
         yield x, near, alike, other & low, (other >> _BITS) & low, other >> 2 * _BITS
 
 

@@ -353,7 +353,7 @@ def prefix(features: DataFrame, block: int | None = None) -> DataFrame:
     requests = scratch.save(f.drop("values"), "requests")
     scratch.drop("features", "sets")
     found = A.links(requests, held, PREFIX_RULES, 0.08, scratch, block)
-    scratch.drop("held", "blocks")
+    scratch.drop("heldTrue", "heldFalse", "blocks")
     return _components("prefix", {level: found.where(F.col("level") == level).select("u", "v") for level in PREFIX_RULES}, requests)
 
 
