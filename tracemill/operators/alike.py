@@ -198,18 +198,39 @@ def scores(a: Block, b: Block, least: float) -> Iterator[tuple[int, np.ndarray,
 
 
 class Groups:
-    """Groups of numbers, joined by a number and an array of others at a time; a group's label is its smallest number."""
+    """Groups of numbers, joined by a number and an array of others at a time; a group's label is its smallest number.
+
+    A join only notes where labels lead to; all labels are brought up to date every ``LAZY`` joins.
+    """
+
+    LAZY = 32
 
     def __init__(self, n: int):
-        self.label, self.own = np.arange(n, dtype=np.int32), np.arange(n, dtype=np.int32)
+        self.label, self.to, self.late = np.arange(n, dtype=np.int32), np.arange(n, dtype=np.int32), 0
+
+    def _ends(self, labels: np.ndarray) -> np.ndarray:
+        while True:
+            further = self.to[labels]
+            if (further == labels).all():
+                return labels
+            labels = further
 
     def join(self, x: int, others: np.ndarray) -> None:
-        labels = self.label[others]
-        if (labels != self.label[x]).any():
-            labels = np.unique(np.append(labels, self.label[x]))
-            self.own[labels] = labels[0]
-            self.label = self.own[self.label]
-            self.own[labels] = labels
+        labels, mine = self.label[others], self.label[x]
+        labels = labels[labels != mine]
+        if not len(labels):
+            return
+        labels = self._ends(np.append(np.unique(labels), mine))
+        if (labels != labels[0]).any():
+            self.to[labels] = labels.min()
+            self.late += 1
+            if self.late == self.LAZY:
+                self.labels()
+
+    def labels(self) -> np.ndarray:
+        self.label, self.late = self._ends(self.label), 0
+        self.to = np.arange(len(self.label), dtype=np.int32)
+        return self.label
 
 
 def links(requests: DataFrame, held: DataFrame, rules: dict[str, Callable], least: float, scratch: Scratch, block: int | None = None) -> DataFrame:
@@ -239,8 +260,9 @@ def links(requests: DataFrame, held: DataFrame, rules: dict[str, Callable], leas
         ids = pa.array(ids, pa.string())
         out = []
         for level, g in groups.items():
-            moved = np.flatnonzero(g.label != np.arange(len(g.label)))
-            out.append(pa.table({"level": pa.array([level] * len(moved), pa.string()), "u": ids.take(pa.array(g.label[moved])), "v": ids.take(pa.array(moved))}))
+            label = g.labels()
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            out.append(pa.table({"level": pa.array([level] * len(moved), pa.string()), "u": ids.take(pa.array(label[moved])), "v": ids.take(pa.array(moved))}))
         return pa.concat_tables(out)
 
     every = packed.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("task", F.least("b", "k") * blocks + F.greatest("b", "k"))
